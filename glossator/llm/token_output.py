@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from glossator.llm.common import fresh_path, worker_cache
 
 MAGIC = b"GTS1"
-TRAILER = struct.Struct("<4sBIIII")
+TRAILER = "<4sBIIII"
+TRAILER_SIZE = struct.calcsize(TRAILER)
 #: Chunks of text that a worker remembers the ids of; the memory is emptied when it is full.
 CACHE_ENTRIES = 1_000_000
 #: Latin letters that every Unicode version lowers alike and that NFC leaves alone.
@@ -164,7 +165,7 @@ class FileWriter:
         columns = [np.array(c, k) for c, k in zip(zip(*self.rows, strict=True), kinds, strict=True)] if self.rows else []
         raw = b"".join(c.tobytes() for c in columns)
         table = self.zip.compress(raw)
-        self.out.write(table + TRAILER.pack(MAGIC, self.width, len(self.rows), len(table), len(raw), zlib.crc32(raw)))
+        self.out.write(table + struct.pack(TRAILER, MAGIC, self.width, len(self.rows), len(table), len(raw), zlib.crc32(raw)))
         self.out.close()
         self.fs.move(self.part, self.path)
         return int(columns[2].sum()) if columns else 0
@@ -180,10 +181,10 @@ class FileReader:
         self.file = self.fs.open_input_file(self.path)
         self.unzip = zstandard.ZstdDecompressor()
         size = self.file.size()
-        magic, self.width, n, zipped, raw_len, crc = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
+        magic, self.width, n, zipped, raw_len, crc = struct.unpack(TRAILER, self.file.read_at(TRAILER_SIZE, size - TRAILER_SIZE))
         if magic != MAGIC:
             raise ValueError(f"{path}: not a token file")
-        raw = self.unzip.decompress(self.file.read_at(zipped, size - TRAILER.size - zipped), max_output_size=raw_len) if raw_len else b""
+        raw = self.unzip.decompress(self.file.read_at(zipped, size - TRAILER_SIZE - zipped), max_output_size=raw_len) if raw_len else b""
         if zlib.crc32(raw) != crc:
             raise ValueError(f"{path}: the seek table is damaged")
         at, cols = 0, []
