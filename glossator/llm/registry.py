@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossator.llm.common import documents
+from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
 
 
@@ -16,8 +17,13 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
+    "op10_simhash": op10_simhash,
 }
 
 
