@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossator.llm.common import documents
 from glossator.llm.mixing import mix_report
+from glossator.llm.repeats import repeats_digest
 from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
 
@@ -16,6 +17,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_digest(documents(spark, sf_dir))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +33,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
+    "op6_repeats": op6_repeats,
     "op9_token_output": op9_token_output,
     "op10_simhash": op10_simhash,
 }
