@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glossator.llm.common import documents
+from glossator.llm.decontamination import contained_items
 from glossator.llm.mixing import mix_report
 from glossator.llm.repeats import repeats_digest
 from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
@@ -32,6 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op6_repeats": op6_repeats,
     "op9_token_output": op9_token_output,
