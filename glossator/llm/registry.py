@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glossator.llm.common import documents
 from glossator.llm.decontamination import contained_items
+from glossator.llm.language import language_report
 from glossator.llm.mixing import mix_report
 from glossator.llm.repeats import repeats_digest
 from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
+from glossator.llm.toxicity import toxicity_report
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(documents(spark, sf_dir))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(documents(spark, sf_dir))
 
@@ -39,6 +49,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
+    "op4_toxicity": op4_toxicity,
+    "op5_language": op5_language,
     "op6_repeats": op6_repeats,
     "op9_token_output": op9_token_output,
     "op10_simhash": op10_simhash,

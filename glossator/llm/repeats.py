@@ -26,7 +26,7 @@ from glossator.llm.common import durable, worker_cache
 LENGTH = 200
 GRAM = 64
 #: Texts are hashed together in blocks of about so many bytes; longer texts are cut with overlap.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Segments of one gram that are compared in one go; more are compared offset by offset.
 TOGETHER = 4096
 BASE = 0x9E3779B97F4A7C15

@@ -19,10 +19,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +32,16 @@ MAGIC = b"GTS1"
 TRAILER = "<4sBIIII"
 TRAILER_SIZE = struct.calcsize(TRAILER)
 #: Chunks of text that a worker remembers the ids of; the memory is emptied when it is full.
-CACHE_ENTRIES = 1_000_000
-#: Latin letters that every Unicode version lowers alike and that NFC leaves alone.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
+CACHE_ENTRIES = 400_000
+#: Latin-1 letters in lower case, and the full stop and comma that may follow them.
+LETTERS = re.compile(b"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+MARKS = (b".", b",")
+PAIRS = (b"..", b".,", b",.", b",,")
+#: Lowers Latin-1 and makes tab, LF and CR spaces.
+LOWER = bytes(32 if i in (9, 10, 13) else ord(chr(i).lower()) if ord(chr(i).lower()) < 256 else i for i in range(256))
 END_ID = 2
+#: Texts are encoded together up to so many bytes.
+TOGETHER = 4 << 20
 DOCS_PER_FILE = 8192
 
 
@@ -43,12 +49,15 @@ DOCS_PER_FILE = 8192
 
 
 class ChunkEncoder:
-    """Whole-text ids by way of a memory of white-space-separated chunks.
-
-    The tokenizer drops white space and splits at it, so a text's ids are its chunks' ids in a row.
-    Only space, tab, LF and CR cut chunks here. New chunks are encoded by the library: those of Latin
-    letters in lower case as one joined text, cut up where an id ends a word, the others on their own.
-    ``exact`` is set for tokenizers of other kinds; texts then always go to the library as they are.
+    """Whole-text ids by way of a memory of words.
+
+    A tokenizer that lowers texts, splits them at white space and drops it gives a text the ids of its
+    white-space-separated chunks in a row, and a full stop or comma after a letter or digit is a token of
+    its own. So Latin-1 texts are lowered and cut at spaces, tabs and line ends and before such marks;
+    Arrow finds the distinct chunks of many texts at once, and each of these is looked up. The library
+    encodes new chunks, those of letters many at a time, cut up where an id ends a word. It encodes texts
+    in other scripts, texts with special tokens, and texts where a mark follows another one, as they are;
+    and all texts, if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, width: int | None = None):
@@ -61,66 +70,115 @@ class ChunkEncoder:
         spec = json.loads(self.tok.to_str())
         vocab = self.tok.get_vocab(with_added_tokens=True)
         suffix = spec["model"].get("end_of_word_suffix")
-        self.exact = not (suffix and '"Removed"' in json.dumps(spec["pre_tokenizer"]) and r"\\s+" in json.dumps(spec["normalizer"]))
+        self.chunked = bool(suffix) and '"Removed"' in json.dumps(spec["pre_tokenizer"]) and '"Lowercase"' in json.dumps(spec["normalizer"])
         self.width = width or (2 if max(vocab.values(), default=0) < 1 << 16 else 4)
         self.dtype = np.dtype(f"<u{self.width}")
-        self.special = [t["content"][:2] for t in spec["added_tokens"]]
+        self.special = [t["content"].lower().encode() for t in spec["added_tokens"]]
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         if suffix:
             self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        known, plain, derived, odd = self.known, set(), [], []
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the memory: chunk to number, and by number its ids' place and whether it ends loosely."""
+        self.numbers: dict[bytes, int] = {}
+        self.used = 0
+        self.flat = np.empty(1 << 16, self.dtype)
+        self.start = np.zeros(1 << 16, np.int64)  # of the next number too
+        self.loose = np.zeros(1 << 16, bool)  # ends in neither letter nor digit
+        self._store([b"", *MARKS], np.concatenate([[0], *(self._ids(m.decode()) for m in MARKS)])[1:], np.array([0, 1, 1]))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _store(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, k = len(self.numbers), len(chunks)
+        while n + k + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.loose = np.concatenate([self.loose, np.zeros_like(self.loose)])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[n : n + k] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.start[n + k] = self.used
+        self.numbers.update(zip(chunks, range(n, n + k), strict=True))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        words, others = [], []
         for c in chunks:
-            base = c[:-1] if c[-1] in ".," else c
-            if LETTERS(base):
-                low = base.lower()
-                if low not in known:
-                    plain.add(low)
-                if low != c:
-                    derived.append((c, low, c[-1] if base is not c else ""))
-            else:
-                odd.append(c)
-        known.update(zip(odd, self._each(odd), strict=True))
-        new = list(plain)
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            (words if LETTERS(c) else others).append(c)
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
+            ids = self._ids(b" ".join(part).decode("latin-1"))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, a = ids.tobytes(), 0
-                for b, z in zip(part, (cuts * self.width).tolist(), strict=True):
-                    known[b] = raw[a:z]
-                    a = z
+                self._store(part, ids, np.diff(cuts, prepend=0))
             else:
-                known.update(zip(part, self._each(part), strict=True))
-        marks = {"": b"", ".": self._ids("."), ",": self._ids(",")}
-        known.update((c, known[low] + marks[mark]) for c, low, mark in derived)
+                others += part
+        if others:
+            found = [np.array(e.ids, self.dtype) for e in self.tok.encode_batch([c.decode("latin-1") for c in others], add_special_tokens=False)]
+            n = len(self.numbers)
+            self._store(others, np.concatenate(found), np.array([len(f) for f in found]))
+            self.loose[n : n + len(others)] = [not chr(c[-1]).isalnum() for c in others]
+
+    def _prepared(self, text: str) -> bytes | None:
+        if not self.chunked:
+            return None
+        try:
+            raw = text.encode("latin-1").translate(LOWER) + b" "
+        except UnicodeEncodeError:
+            return None
+        if any(x in raw for x in PAIRS) or any(x in raw for x in self.special):
+            return None
+        return raw.replace(b". ", b" . ").replace(b", ", b" , ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, ``width`` bytes each."""
-        if self.exact:
-            return self._each(texts)
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        self.known[""] = b""
-        split, new, has = [], set(), self.known.__contains__
-        for t in texts:
-            chunks = None
-            if not any(s in t for s in self.special):
-                chunks = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                new.update(filterfalse(has, chunks))
-            split.append(chunks)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [self._ids(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, split, strict=True)]
+        out: list[bytes | None] = [None] * len(texts)
+        held, which, size = [], [], 0
+        for k, t in enumerate(texts):
+            raw = self._prepared(t)
+            if raw is not None:
+                held.append(raw)
+                which.append(k)
+                size += len(raw)
+                if size > TOGETHER:
+                    self._chunked(held, which, out)
+                    held, which, size = [], [], 0
+        if held:
+            self._chunked(held, which, out)
+        whole = [k for k, ids in enumerate(out) if ids is None]
+        if whole:
+            for k, e in zip(whole, self.tok.encode_batch([texts[k] for k in whole], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, self.dtype).tobytes()
+        return out
+
+    def _chunked(self, held: list[bytes], which: list[int], out: list[bytes | None]) -> None:
+        if len(self.numbers) > CACHE_ENTRIES:
+            self._forget()
+        data = b"".join(held)
+        cut = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+        # Each chunk with its space, so that the offsets lie end to end.
+        offsets = np.concatenate([[0], cut + 1]).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = [c[:-1] for c in chunks.dictionary.to_pylist()]
+        self._learn([c for c in distinct if c not in self.numbers])
+        number = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        number = number[chunks.indices.to_numpy()]
+        first = self.start[number]
+        sizes = self.start[number + 1] - first
+        end = np.cumsum(sizes)
+        ids = self.flat[np.arange(end[-1]) + np.repeat(first - (end - sizes), sizes)]
+        stop = np.searchsorted(cut, np.cumsum([len(h) for h in held]) - 1) + 1  # chunks up to each text's end
+        # A mark after a loose end may belong to what stands before it.
+        doubt = np.flatnonzero(self.loose[number[:-1]] & ((number[1:] == 1) | (number[1:] == 2)))
+        bad = set(np.searchsorted(stop, doubt, "right").tolist())
+        at = 0
+        for i, (k, z) in enumerate(zip(which, end[stop - 1].tolist(), strict=True)):
+            if i not in bad:
+                out[k] = ids[at:z].tobytes()
+            at = z
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -254,11 +312,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
         for batch in batches:
             if out is None:
                 out = FileWriter(name, enc.width, str(task.taskAttemptId()))
-            texts, ids = batch["text"].tolist(), batch["doc_id"]
-            missing = ids.isna().tolist()
-            for i in range(0, len(texts), 256):
-                for k, b in enumerate(enc.encode(texts[i : i + 256]), i):
-                    out.add(None if missing[k] else int(ids.iat[k]), b + tail)
+            texts, ids = batch["text"].tolist(), batch["doc_id"].astype("Int64").tolist()
+            for k, b in zip(ids, enc.encode(texts), strict=True):
+                out.add(None if k is pd.NA else k, b + tail)
             count += len(texts)
         if out is not None and count:
             yield pd.DataFrame({"file_no": [file_no], "path": [name], "docs": [count], "tokens": [out.close()]})
