@@ -1,11 +1,13 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Learning: log-odds, with an informative Dirichlet prior, of words and of the character n-grams inside them
-between toxic and other labelled documents. A token scores the log-odds of its most telling unit less a
+Learning: log-odds, with an informative Dirichlet prior, of words and of their beginnings between toxic and
+other labelled documents. A token scores the log-odds of its most telling unit less a
 drift, and minus the drift where no unit is significant. Every maximal segment of a text is found in one
 pass. The expected number of as good segments in clean text of that length follows the extreme-value law of
-segment scores, whose decay is computed from the scores of clean tokens; the segments that are significant
-by it make up the document's evidence, and a logistic curve turns that into a probability.
+segment scores, whose decay is computed from the scores of clean tokens; a segment is a significant passage by
+that number alone. The numbers of segments are Poisson by the same law, so that the r best segments together
+have a tail probability; the least one over all r is the document's evidence, and a logistic curve turns it
+into a probability.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ from glossator.llm.common import durable, id_crc, worker_cache
 SAMPLE = 20_000
 #: Words that count as features of the sample, at least in so many of its documents.
 LEAST_DOCS = 3
-GRAMS = (4, 5)
-PRIOR = 500.0
-LEAST_Z, LEAST_ODDS = 3.5, 1.0
+#: Lengths of the beginnings that are units besides the word.
+BEGINNINGS = range(3, 13)
+PRIOR, LEAST_PRIOR = 500.0, 0.5
+LEAST_Z, LEAST_ODDS = 3.0, 1.5
 DRIFT = 0.5
 #: Expected number of as good segments in clean text up to which a passage is significant.
 SIGNIFICANT = 0.01
@@ -40,9 +43,19 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def units(word: str) -> list[str]:
-    """The word itself and the character n-grams in it, its bounds included."""
-    bound = f"^{word}$"
-    return [f"={word}", *dict.fromkeys(bound[i : i + n] for n in GRAMS for i in range(len(bound) - n + 1))]
+    """The word itself and its beginnings."""
+    return [f"={word}", *(f"^{word[:n]}" for n in BEGINNINGS if n < len(word))]
+
+
+def poisson_tail(r: int, mean: float) -> float:
+    """-log10 of the probability of r events or more."""
+    if mean >= r:
+        return 0.0
+    term = total = 1.0
+    for i in range(1, 60):
+        term *= mean / (r + i)
+        total += term
+    return max(0.0, (mean - r * math.log(mean) + math.lgamma(r + 1) - math.log(total)) / math.log(10))
 
 
 def segments(positions: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -99,21 +112,23 @@ class ToxicityModel:
     def key(self) -> tuple:
         return len(self.odds), sum(self.odds.values())
 
-    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
-        """Significant segments (first token, last token, -log10 of the expected number) and the number of tokens."""
+    def found(self, text: str | None) -> list[tuple[int, int, float]]:
+        """All maximal segments: first token, last token, natural logarithm of the expected number."""
         tokens = WORDS((text or "").lower())
         if not tokens:
-            return [], 0
+            return []
         scores = np.fromiter(map(self.memo().__getitem__, tokens), np.float64, len(tokens))
         at = np.flatnonzero(scores > 0)
-        if not len(at):
-            return [], len(tokens)
-        size = math.log10(SCALE * len(tokens))
-        found = [(a, b, self.decay * s / math.log(10) - size) for a, b, s in segments(at, scores[at], DRIFT)]
-        return [x for x in found if x[2] >= -math.log10(SIGNIFICANT)], len(tokens)
+        size = math.log(SCALE * len(tokens))
+        return [(a, b, size - self.decay * s) for a, b, s in segments(at, scores[at], DRIFT)]
+
+    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
+        """Significant segments: first token, last token, -log10 of the expected number."""
+        return [(a, b, -e / math.log(10)) for a, b, e in self.found(text) if e <= math.log(SIGNIFICANT)]
 
     def evidence(self, text: str | None) -> float:
-        return math.log1p(sum(e for _, _, e in self.passages(text)[0]))
+        expected = sorted(e for _, _, e in self.found(text))
+        return math.log1p(max((poisson_tail(r, math.exp(max(e, -600.0))) for r, e in enumerate(expected, 1)), default=0.0))
 
     def probability(self, evidence: float) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * evidence))))
@@ -191,9 +206,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     by_word = train.mapInPandas(words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     by_unit = durable(by_word.mapInPandas(split, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     n_clean, n_toxic = by_unit.agg(F.sum("clean"), F.sum("toxic")).first()
-    # The prior: as many pseudo-counts as PRIOR, dealt out as the unit is in all of the sample.
-    prior = (F.col("clean") + F.col("toxic")) * (PRIOR / (n_clean + n_toxic))
-    side = lambda c, n: F.log((F.col(c) + prior) / (float(n) + PRIOR - F.col(c) - prior))
+    # The prior: PRIOR pseudo-counts dealt out as the unit is in all of the sample, and LEAST_PRIOR for each unit.
+    prior = LEAST_PRIOR + (F.col("clean") + F.col("toxic")) * (PRIOR / (n_clean + n_toxic))
+    side = lambda c, n: F.log((F.col(c) + prior) / (float(n) + PRIOR))
     odds = side("toxic", n_toxic) - side("clean", n_clean)
     z = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     telling = by_unit.where(F.col("toxic") >= LEAST_DOCS).select("unit", odds.alias("odds"), z.alias("z")).where((F.col("odds") >= LEAST_ODDS + DRIFT) & (F.col("z") >= LEAST_Z))
@@ -249,7 +264,7 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, *p) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for p in model.passages(t)[0]]
+            rows = [(d, *p) for d, t in zip(b["doc_id"].astype("Int64"), b["text"], strict=True) for p in model.passages(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "first", "last", "evidence"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, first int, last int, evidence double")
