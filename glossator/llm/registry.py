@@ -11,6 +11,7 @@ from glossator.llm.decontamination import contained_items
 from glossator.llm.language import language_report
 from glossator.llm.mixing import mix_report
 from glossator.llm.repeats import repeats_digest
+from glossator.llm.secrets import secret_report
 from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
 from glossator.llm.toxicity import toxicity_report
@@ -36,6 +37,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_digest(documents(spark, sf_dir))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_repeats": op6_repeats,
+    "op7_secrets": op7_secrets,
     "op9_token_output": op9_token_output,
     "op10_simhash": op10_simhash,
 }
