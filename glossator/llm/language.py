@@ -186,7 +186,7 @@ def predict_language(model: LanguageFilter, text: Column) -> Column:
         for t in texts:
             yield pd.DataFrame(model.predict(clean(t)), columns=["lang_pred", "score"])
 
-    return F.pandas_udf(run, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, "lang_pred string, score double")(text)
 
 
 def language_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from glossator.llm.common import documents
 from glossator.llm.decontamination import contained_items
 from glossator.llm.language import language_report
+from glossator.llm.line_dedup import line_report
+from glossator.llm.media import media_report
 from glossator.llm.mixing import mix_report
 from glossator.llm.repeats import repeats_digest
 from glossator.llm.secrets import secret_report
@@ -17,6 +20,10 @@ from glossator.llm.token_output import token_output
 from glossator.llm.toxicity import toxicity_report
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -41,6 +48,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_report(documents(spark, sf_dir))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,14 +63,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_language": op5_language,
     "op6_repeats": op6_repeats,
     "op7_secrets": op7_secrets,
+    "op8_media": op8_media,
     "op9_token_output": op9_token_output,
     "op10_simhash": op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 
 

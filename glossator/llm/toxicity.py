@@ -244,7 +244,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
         for t in texts:
             yield pd.Series([model.probability(model.evidence(x)) for x in t], dtype="float64")
 
-    return F.pandas_udf(run, T.DoubleType(), F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, T.DoubleType())(text)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
