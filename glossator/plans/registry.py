@@ -1,15 +1,621 @@
-"""Named queries of the review engine and their DuckDB counterparts."""
+"""Named queries of the review engine over the sample tables, and their DuckDB counterparts.
+
+The sample tables hold no bibliographies, blank lines or model answers, so inputs are built from their rows,
+alike on both sides. Queries that no SQL can express have no counterpart; tests hold them against goldens.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glossator.functions import citations as ct
+from glossator.functions import responses as rs
+from glossator.functions import text as tx
+from glossator.operators import costs
+from glossator.operators import references as rf
+from glossator.operators import review as rv
+from glossator.plans import methods as me
+from glossator.plans import prompts as pr
+from glossator.plans import reference_review as rr
+from glossator.plans import report
+from glossator.plans.ledger import ChatOptions, Ledger
+from glossator.sources import catalogs, formats
+from glossator.sources.html import page_title, parse_pages
+from glossator.sources.storage import fresh_path
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- inputs ---------------------------------------------------------------------------------------
+
+
+def papers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are paragraphs."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.blocks_from_lines(F.col("text")).alias("text"), (F.col("doc_id") % 7 == 0).alias("was_ocr"))
+
+
+def t(x: str) -> str:
+    r"""DuckDB: without white space at the ends."""
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+PAPERS = f"papers AS (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {t('x')}), lambda x: x <> ''), chr(10) || chr(10)) AS text, doc_id % 7 = 0 AS was_ocr FROM documents)"
+PARAS = """paras AS (SELECT doc_id, was_ocr, text, CASE WHEN r.open = '' THEN r.done WHEN len(r.done) = 0 THEN [r.open] ELSE list_append(list_slice(r.done, 1, len(r.done) - 1), r.done[len(r.done)] || chr(10) || chr(10) || r.open) END AS ps
+FROM (SELECT doc_id, was_ocr, text, list_reduce(list_transform(list_filter(string_split(text, chr(10) || chr(10)), lambda x: x <> ''), lambda p: {'done': []::VARCHAR[], 'open': p}), lambda a, x: CASE WHEN length(CASE WHEN a.open = '' THEN x.open ELSE a.open || chr(10) || chr(10) || x.open END) >= 100
+ THEN {'done': list_append(a.done, CASE WHEN a.open = '' THEN x.open ELSE a.open || chr(10) || chr(10) || x.open END), 'open': ''}
+ ELSE {'done': a.done, 'open': CASE WHEN a.open = '' THEN x.open ELSE a.open || chr(10) || chr(10) || x.open END} END, {'done': []::VARCHAR[], 'open': ''}) AS r FROM papers))"""
+
+
+def packed(target: int) -> str:
+    """DuckDB: paragraphs packed into passages by a recursive walk."""
+    return f"""p AS (SELECT doc_id, i - 1 AS paragraph_index, ps[i] AS para, len(ps) AS n FROM paras, unnest(range(1, len(ps) + 1)) AS u(i)),
+w AS (SELECT doc_id, paragraph_index, para, n, 0 AS passage_index, length(para) AS size FROM p WHERE paragraph_index = 0
+ UNION ALL SELECT p.doc_id, p.paragraph_index, p.para, p.n, CASE WHEN w.size + length(p.para) > {target} THEN w.passage_index + 1 ELSE w.passage_index END, CASE WHEN w.size + length(p.para) > {target} THEN length(p.para) ELSE w.size + 2 + length(p.para) END
+ FROM w JOIN p ON p.doc_id = w.doc_id AND p.paragraph_index = w.paragraph_index + 1),
+passages AS (SELECT doc_id, passage_index::INT AS passage_index, min(paragraph_index)::INT AS first_paragraph, count(*)::INT AS n_paragraphs, string_agg(para, chr(10) || chr(10) ORDER BY paragraph_index) AS text FROM w GROUP BY doc_id, passage_index)"""
+
+
+# --- documents ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {PAPERS}, {PARAS} SELECT doc_id, (i - 1)::INT AS paragraph_index, ps[i] AS text FROM paras, unnest(range(1, len(ps) + 1)) AS u(i)")
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rv.paragraph_rows(papers_in(spark, sf_dir))
+
+
+def _passages(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
+    rows = rv.passage_rows(papers_in(spark, sf_dir), target)
+    return rows.select("doc_id", "passage_index", F.element_at("paragraph_indices", 1).alias("first_paragraph"), F.size("paragraph_indices").alias("n_paragraphs"), "text")
+
+
+@query(f"WITH RECURSIVE {PAPERS}, {PARAS}, {packed(8000)} SELECT * FROM passages")
+def passages_8k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir, 8000)
+
+
+@query(f"WITH RECURSIVE {PAPERS}, {PARAS}, {packed(4000)} SELECT * FROM passages")
+def passages_4k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _passages(spark, sf_dir, 4000)
+
+
+CONTEXT = """context AS (SELECT a.doc_id, a.passage_index, any_value(a.text) AS text, string_agg((CASE WHEN b.passage_index = a.passage_index THEN '>>> ' ELSE '    ' END) || '[section ' || b.passage_index || '] ' || b.text, chr(10) || chr(10) ORDER BY b.passage_index) AS c
+ FROM passages a JOIN passages b ON a.doc_id = b.doc_id AND b.passage_index BETWEEN a.passage_index - 5 AND a.passage_index + 2 GROUP BY a.doc_id, a.passage_index)"""
+
+
+@query(f"WITH RECURSIVE {PAPERS}, {PARAS}, {packed(1000)}, {CONTEXT} SELECT doc_id, passage_index, CASE WHEN floor(length(c) / 4) > 1500 THEN substr(c, 1, 6000) ELSE c END AS context FROM context")
+def window_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rv.with_context(rv.passage_rows(papers_in(spark, sf_dir), 1000), 3, 1500).select("doc_id", "passage_index", "context")
+
+
+@query(f"WITH RECURSIVE {PAPERS}, {PARAS}, {packed(8000)} SELECT d.doc_id, len(ps)::INT AS paragraphs, coalesce(k, 0)::INT AS passages, floor(length(d.text) / 4)::BIGINT AS doc_tokens, greatest(4000, floor(floor(length(d.text) / 4) / 10))::BIGINT AS max_summary_tokens FROM paras d LEFT JOIN (SELECT doc_id, count(*) AS k FROM passages GROUP BY doc_id) USING (doc_id)")
+def review_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rv.review_plan(papers_in(spark, sf_dir))
+
+
+@query("SELECT doc_id, ((i - 1) / 1120)::INT AS chunk, substr(text, i, 1200) AS text FROM documents, unnest(range(1, length(text) + 1, 1120)) AS u(i)")
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.token_chunks(F.col("text"), 300, 20)).alias("chunk", "text"))
+
+
+@query("SELECT doc_id, floor(length(text) / 4)::BIGINT AS tokens, substr(text, 1, 400) AS head FROM documents")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens"), tx.truncate_tokens(F.col("text"), 100).alias("head"))
+
+
+TITLES = f"titles AS (SELECT doc_id, coalesce(substr(regexp_replace(list_filter(list_transform(string_split('# ' || text, chr(10)), lambda x: {t('x')}), lambda x: x <> '')[1], '^#+\\s*', ''), 1, 200), 'Untitled') AS title FROM documents)"
+
+
+@query(rf"WITH {TITLES} SELECT doc_id, title, nullif(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace({t('lower(title)')}, '[^A-Za-z0-9_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 1, 80), '') AS slug FROM titles")
+def title_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    titled = table(spark, sf_dir, "documents").select("doc_id", tx.default_title(F.concat(F.lit("# "), F.col("text"))).alias("title"))
+    return titled.select("doc_id", "title", tx.slug(F.col("title")).alias("slug"))
+
+
+@query(rf"SELECT doc_id, {t("regexp_replace(substr(text, 1, 40), '[\\n#*]', ' ', 'g')")} AS title FROM documents")
+def markdown_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = tx.trim(F.regexp_replace(F.substring("text", 1, 40), r"[\n#*]", " "))
+    made = F.concat(F.lit("some words\n\n  ## **"), head, F.lit("**\n# later\n"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.markdown_title(made).alias("title"))
+
+
+@query(r"""WITH u AS (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '/a.PDF?x=1.txt' WHEN 1 THEN '/b.md' WHEN 2 THEN '/c.docx#top' WHEN 3 THEN '/d' ELSE '/e.zip' END AS url, CASE page_id % 4 WHEN 0 THEN 'text/plain; charset=utf-8' WHEN 1 THEN 'text/html' WHEN 2 THEN ' Application/PDF ' END AS media_type FROM pages),
+e AS (SELECT page_id, media_type, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\.[^./]*)$', 1)) AS x FROM u)
+SELECT page_id, coalesce(CASE x WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.tex' THEN 'tex' WHEN '.txt' THEN 'txt' WHEN '.md' THEN 'md' WHEN '.markdown' THEN 'md' END,
+ CASE lower(trim(split_part(media_type, ';', 1))) WHEN 'application/pdf' THEN 'pdf' WHEN 'text/plain' THEN 'txt' WHEN 'text/markdown' THEN 'md' END) AS format FROM e""")
+def detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    url = F.concat(F.col("url"), F.when(k % 5 == 0, "/a.PDF?x=1.txt").when(k % 5 == 1, "/b.md").when(k % 5 == 2, "/c.docx#top").when(k % 5 == 3, "/d").otherwise("/e.zip"))
+    media = F.when(k % 4 == 0, "text/plain; charset=utf-8").when(k % 4 == 1, "text/html").when(k % 4 == 2, " Application/PDF ")
+    return table(spark, sf_dir, "pages").select("page_id", formats.detect_format(url, media).alias("format"))
+
+
+@query(r"SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')) AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "text", "error")
+
+
+@query(rf"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Paper ' || doc_id WHEN 1 THEN coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: {t('x')}), lambda x: x <> '')[1], 1, 200), '') ELSE 'Head ' || doc_id END AS title, doc_id % 3 = 0 AS was_ocr, length(CASE doc_id % 3 WHEN 2 THEN '## Head ' || doc_id || chr(10) || text ELSE text END)::INT AS n FROM documents")
+def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, body = F.col("doc_id"), F.col("text")
+    front = F.concat(F.lit('---\ntitle: draft\nocr_engine: x\ntitle: "Paper '), k.cast("string"), F.lit('"\n---\n'), body)
+    raw = F.when(k % 3 == 0, front).when(k % 3 == 1, body).otherwise(F.concat(F.lit("## Head "), k.cast("string"), F.lit("\n"), body))
+    parsed = table(spark, sf_dir, "documents").select("doc_id", formats.text_content(raw).alias("c"))
+    return parsed.select("doc_id", "c.title", "c.was_ocr", F.length("c.text").alias("n"))
+
+
+@query(r"SELECT p_partkey, 'On ' || p_name || ' and more' AS title FROM part")
+def tex_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("\\documentclass{x}\n\\title{On \\\\ \\emph"), F.lit("   "), F.col("p_name"), F.lit("  and\n more }\n\\begin"))
+    raw = F.replace(raw, F.lit("\\emph"), F.lit(""))
+    return table(spark, sf_dir, "part").select("p_partkey", formats.tex_title(raw).alias("title"))
+
+
+@query()
+def reflow_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = F.regexp_replace("text", r"(.{50,70}) ", "$1\n")
+    return table(spark, sf_dir, "documents").select("doc_id", formats.reflowed(broken).alias("text"))
+
+
+# --- citations ------------------------------------------------------------------------------------
+
+
+def entries_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation for each part: some are true to the record, some not, some are no paper."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS k",
+        "p_partkey DIV 20 AS doc_id",
+        "CAST(p_partkey % 20 AS INT) AS ref_index",
+        "CAST(p_partkey % 20 + 1 AS STRING) AS label",
+        "concat('[', p_partkey % 20 + 1, '] Smith', p_partkey % 13, ', A. ', p_name, '. J. Parts ', p_size, '(', p_partkey % 9, '), ', 1950 + p_partkey % 70) AS raw",
+        "p_name AS title",
+        "array(concat('A. Smith', CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE CHR(97 + p_partkey % 13) END), 'Brown, Ada') AS authors",
+        "CAST(1950 + p_partkey % 70 + CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 0 END AS INT) AS year",
+        "p_brand AS venue",
+        "CASE WHEN p_partkey % 4 = 0 THEN concat('https://doi.org/10.', 1000 + p_partkey, '/AB c', p_partkey) END AS doi",
+        "CASE WHEN p_partkey % 10 = 1 THEN concat('arXiv:', 1000 + p_partkey, '.0001v2') END AS arxiv_id",
+        "CASE WHEN p_partkey % 17 = 0 THEN 'web' WHEN p_partkey % 19 = 0 THEN 'book' ELSE 'paper' END AS kind",
+    )
+
+
+ENTRIES = """entries AS (SELECT p_partkey AS k, p_partkey // 20 AS doc_id, (p_partkey % 20)::INT AS ref_index, (p_partkey % 20 + 1)::VARCHAR AS label,
+ '[' || (p_partkey % 20 + 1) || '] Smith' || (p_partkey % 13) || ', A. ' || p_name || '. J. Parts ' || p_size || '(' || (p_partkey % 9) || '), ' || (1950 + p_partkey % 70) AS raw, p_name AS title,
+ ['A. Smith' || CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE chr((97 + p_partkey % 13)::INT) END, 'Brown, Ada'] AS authors, (1950 + p_partkey % 70 + CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 0 END)::INT AS year, p_brand AS venue,
+ CASE WHEN p_partkey % 4 = 0 THEN 'https://doi.org/10.' || (1000 + p_partkey) || '/AB c' || p_partkey END AS doi, CASE WHEN p_partkey % 10 = 1 THEN 'arXiv:' || (1000 + p_partkey) || '.0001v2' END AS arxiv_id,
+ CASE WHEN p_partkey % 17 = 0 THEN 'web' WHEN p_partkey % 19 = 0 THEN 'book' ELSE 'paper' END AS kind FROM part)"""
+
+
+def catalog_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of two sources; some parts have none."""
+    return table(spark, sf_dir, "part").selectExpr("*", "explode(array('crossref', 'openalex')) AS source").where("p_partkey % 6 <> 0 OR source = 'openalex'").where("p_partkey % 23 <> 0").selectExpr(
+        "p_partkey * 2 + CAST(source = 'openalex' AS INT) AS record_id",
+        "source",
+        "CAST(source = 'openalex' AS INT) AS source_rank",
+        "p_name AS title",
+        "array(concat('Alice Smith', CHR(97 + p_partkey % 13)), 'Ada Brown') AS authors",
+        "CAST(1950 + p_partkey % 70 AS INT) AS year",
+        "p_brand AS venue",
+        "CASE WHEN p_partkey % 4 = 0 THEN concat('10.', 1000 + p_partkey, '/abc', p_partkey) END AS doi",
+        "CASE WHEN p_partkey % 10 = 1 THEN concat(1000 + p_partkey, '.0001') END AS arxiv_id",
+        "concat('https://example.org/', p_partkey) AS url",
+    )
+
+
+CATALOG = """catalog AS (SELECT p_partkey * 2 + (source = 'openalex')::INT AS record_id, source, (source = 'openalex')::INT AS source_rank, p_name AS title, ['Alice Smith' || chr((97 + p_partkey % 13)::INT), 'Ada Brown'] AS authors, (1950 + p_partkey % 70)::INT AS year, p_brand AS venue,
+ CASE WHEN p_partkey % 4 = 0 THEN '10.' || (1000 + p_partkey) || '/abc' || p_partkey END AS doi, CASE WHEN p_partkey % 10 = 1 THEN (1000 + p_partkey) || '.0001' END AS arxiv_id, 'https://example.org/' || p_partkey AS url
+ FROM part, unnest(['crossref', 'openalex']) AS s(source) WHERE (p_partkey % 6 <> 0 OR source = 'openalex') AND p_partkey % 23 <> 0)"""
+
+
+def n_title(x: str) -> str:
+    return rf"{t(f'''regexp_replace(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower({x})), '\\\\[a-zA-Z]+', ' ', 'g'), '[{{}}$]', '', 'g'), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')''')}"
+
+
+def n_doi(x: str) -> str:
+    inner = rf"lower(regexp_replace(regexp_replace(regexp_replace({t(x)}, '^https?://(dx\.)?doi\.org/', '', 'i'), '^doi:\s*', '', 'i'), '\s+', '', 'g'))"
+    return f"CASE WHEN starts_with({inner}, '10.') THEN {inner} END"
+
+
+def n_arxiv(x: str) -> str:
+    return rf"nullif(regexp_replace(regexp_replace({t(x)}, '^arxiv:\s*', '', 'i'), 'v\d+$', '', 'i'), '')"
+
+
+def family(x: str) -> str:
+    base = rf"regexp_replace({x}, '\bet al\.?', '', 'gi')"
+    return rf"strip_accents(lower(coalesce(list_filter(list_transform(regexp_split_to_array(CASE WHEN strpos({t(base)}, ',') > 1 THEN split_part({t(base)}, ',', 1) ELSE {t(base)} END, '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}''-]', '', 'g')), lambda w: length(w) > 1)[-1], '')))"
+
+
+@query(f"SELECT doc_id, {n_title('substr(text, 1, 120)')} AS title FROM documents")
+def normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ct.normal_title(F.substring("text", 1, 120)).alias("title"))
+
+
+@query(rf"WITH {ENTRIES} SELECT k, {n_doi('doi')} AS doi, {n_doi('raw')} AS no_doi, {n_arxiv('arxiv_id')} AS arxiv_id, nullif(regexp_extract({n_doi("'doi: 10.48550/arXiv.' || k || ' v1'")}, '^10\.48550/arxiv\.(.+)$', 1), '') AS of_doi FROM entries")
+def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of_doi = ct.arxiv_id_of_doi(F.concat(F.lit("doi: 10.48550/arXiv."), F.col("k").cast("string"), F.lit(" v1")))
+    return entries_in(spark, sf_dir).select("k", ct.normal_doi(F.col("doi")).alias("doi"), ct.normal_doi(F.col("raw")).alias("no_doi"), ct.normal_arxiv_id(F.col("arxiv_id")).alias("arxiv_id"), of_doi.alias("of_doi"))
+
+
+@query(f"SELECT doc_id, {family('substr(text, 1, 30)')} AS a, {family("'Müller-Lüdén, ' || substr(text, 1, 3)")} AS b, {family("'J. van der ' || substr(text, 1, 8) || ' et al.'")} AS c FROM documents")
+def family_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", ct.family_name(F.substring(d, 1, 30)).alias("a"), ct.family_name(F.concat(F.lit("Müller-Lüdén, "), F.substring(d, 1, 3))).alias("b"), ct.family_name(F.concat(F.lit("J. van der "), F.substring(d, 1, 8), F.lit(" et al."))).alias("c"))
+
+
+OVERLAP = f"len(list_filter(list_transform(e.authors, lambda x: {family('x')}), lambda f: list_contains(list_transform(c.authors, lambda x: {family('x')}), f))) / len(e.authors)"
+YEAR = "CASE WHEN e.year IS NULL OR c.year IS NULL THEN 0.5 WHEN abs(e.year - c.year) = 0 THEN 1.0 WHEN abs(e.year - c.year) = 1 THEN 0.8 ELSE 0.0 END"
+
+
+@query(f"WITH {ENTRIES}, {CATALOG} SELECT e.k, c.record_id, ({OVERLAP})::DOUBLE AS overlap, ({YEAR})::DOUBLE AS year_score FROM entries e JOIN catalog c ON e.title = c.title")
+def author_year_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, c = entries_in(spark, sf_dir).alias("e"), catalog_in(spark, sf_dir).alias("c")
+    rows = e.join(c, F.col("e.title") == F.col("c.title"))
+    return rows.select("e.k", "c.record_id", ct.author_overlap(F.col("e.authors"), F.col("c.authors")).alias("overlap"), ct.year_score(F.col("e.year"), F.col("c.year")).alias("year_score"))
+
+
+SCORE = r"(regexp_matches({x}, '\b(1[89]|20)\d{{2}}[a-z]?\b')::INT + regexp_matches({x}, '\bdoi\b|\barxiv\b|https?://', 'i')::INT + regexp_matches({x}, '^\s*\[\d{{1,3}}\]')::INT + regexp_matches({x}, '\b(?:vol|no|pp?)\.\s*\d|\d+\(\d+\)', 'i')::INT + regexp_matches({x}, '[A-Z][\p{{L}}''-]+,\s*(?:[A-Z]\.\s*)+')::INT)"
+
+
+@query(f"WITH {ENTRIES}, l AS (SELECT k, raw AS x FROM entries UNION ALL SELECT -1 - doc_id, substr(text, 1, 200) FROM documents) SELECT k, {SCORE.format(x='x')}::INT AS score FROM l")
+def entry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = entries_in(spark, sf_dir).select("k", F.col("raw").alias("x"))
+    prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("k"), F.substring("text", 1, 200).alias("x"))
+    return own.union(prose).select("k", ct.entry_score(F.col("x")).alias("score"))
+
+
+def cited_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a bibliography under a heading, without one, or without any, and some with an appendix."""
+    lists = entries_in(spark, sf_dir).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref_index", "raw"))), lambda x: x.raw), "\n").alias("refs"))
+    k = F.col("doc_id")
+    head = F.when(k % 3 == 0, "\n## 7. R e f e r e n c e s:\n").when(k % 3 == 1, "\n\n").otherwise(F.lit(None))
+    tail = F.when(k % 2 == 0, "\nAppendix A\nmore").otherwise("")
+    docs = table(spark, sf_dir, "documents").join(lists, "doc_id")
+    return docs.select("doc_id", F.concat("text", F.coalesce(F.concat(head, F.col("refs"), tail), F.lit(""))).alias("text"), F.lit(False).alias("was_ocr"))
+
+
+CITED = """refs AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY ref_index) AS refs FROM entries GROUP BY doc_id),
+cited AS (SELECT doc_id, text || coalesce(CASE doc_id % 3 WHEN 0 THEN chr(10) || '## 7. R e f e r e n c e s:' || chr(10) WHEN 1 THEN chr(10) || chr(10) END || refs || CASE doc_id % 2 WHEN 0 THEN chr(10) || 'Appendix A' || chr(10) || 'more' ELSE '' END, '') AS text FROM documents JOIN refs USING (doc_id)),
+lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cited), unnest(range(1, len(ls) + 1)) AS u(i)),
+placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS off FROM lines)"""
+CUT = r"CASE WHEN regexp_matches({x}, '(^|\n)[ \t]*(#{{1,6}}[ \t]*)?(appendix|appendices|supplementary)\b', 'i') THEN regexp_replace({x}, '\n[ \t]*(#{{1,6}}[ \t]*)?(appendix|appendices|supplementary)\b(.|\n)*$', '', 'i') ELSE {x} END"
+
+
+@query(rf"""WITH {ENTRIES}, {CITED}, h AS (SELECT doc_id, arg_max(off + length(line), line_no) AS off FROM placed WHERE length(line) <= 80 AND regexp_replace(strip_accents(lower(regexp_replace(line, '^\s*[IVXLCivxlc]+[.)]\s+', ''))), '[^a-z]+', '', 'g') IN ('references', 'reference', 'referencescited', 'bibliography', 'workscited', 'literaturecited', 'bibliographie', 'bibliografia', 'referencias', 'literaturverzeichnis') GROUP BY doc_id)
+SELECT doc_id, off::INT AS "offset", {t(CUT.format(x="substr(text, off + 1)"))} AS section FROM h JOIN cited USING (doc_id)""")
+def find_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rf.by_heading(cited_in(spark, sf_dir)).select("doc_id", "offset", "section")
+
+
+@query(rf"""WITH {ENTRIES}, {CITED}, s AS (SELECT *, ({SCORE.format(x='line')} >= 2)::INT AS flag FROM placed WHERE {t('line')} <> ''), w AS (SELECT *, sum(flag) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS dense FROM s),
+f AS (SELECT w.doc_id, min(off) AS off FROM w JOIN cited USING (doc_id) WHERE flag = 1 AND dense >= 5 AND off >= floor(length(text) * 0.4) GROUP BY w.doc_id) SELECT doc_id, off::INT AS "offset", {t(CUT.format(x="substr(text, off + 1)"))} AS section FROM f JOIN cited USING (doc_id)""")
+def find_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rf.by_shape(cited_in(spark, sf_dir)).select("doc_id", "offset", "section")
+
+
+@query("SELECT doc_id, substr(text, 1, 50) || chr(10) || 'x' AS a, '## Appendix' || chr(10) || substr(text, 1, 9) AS b FROM documents WHERE NOT regexp_matches(substr(text, 1, 50), 'appendix|supplementary|appendices', 'i')")
+def cut_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where(~F.lower(F.substring("text", 1, 50)).rlike("appendix|supplementary|appendices"))
+    a = F.concat(F.substring("text", 1, 50), F.lit("\nx\n  ### SUPPLEMENTARY notes\nAppendix\n"), F.col("text"))
+    b = F.concat(F.lit("## Appendix\n"), F.substring("text", 1, 9))
+    return d.select("doc_id", F.regexp_replace(ct.before_appendix(a), r"\n$", "").alias("a"), ct.before_appendix(b).alias("b"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 30 THEN array_to_string(list_sort(list_distinct(list_filter(list_concat([l_quantity::INT], range(l_quantity::INT + 1, l_quantity::INT + 4), [l_linenumber]), lambda n: n > l_linenumber + 5))), ',') ELSE array_to_string(list_sort(list_distinct(list_filter([l_quantity::INT, l_linenumber], lambda n: n > l_linenumber + 5))), ',') END AS cited FROM lineitem")
+def overflow_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    s = lambda c: c.cast("string")
+    narrow = F.concat(F.lit("as in ["), s(q), F.lit(", "), s(q + 1), F.lit("–"), s(q + 3), F.lit("] and ["), s(F.col("l_linenumber")), F.lit("]."))
+    wide = F.concat(F.lit("as in ["), s(q), F.lit("; "), s(q + 1), F.lit("-"), s(q + 60), F.lit("] and ["), s(F.col("l_linenumber")), F.lit("] not [x]."))
+    body = F.when(q < 30, narrow).otherwise(wide)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(ct.overflow_citations(body, F.col("l_linenumber") + 5), ",").alias("cited"))
+
+
+# --- lookup and classification --------------------------------------------------------------------
+
+
+def firsts(name: str, key: str, other: str) -> str:
+    return f"{name} AS (SELECT doc_id, ref_index, arg_min(source, source_rank) AS source FROM (SELECT e.doc_id, e.ref_index, c.source, c.source_rank FROM entries e JOIN catalog c ON {key} = {other}) GROUP BY doc_id, ref_index)"
+
+
+@query(f"WITH {ENTRIES}, {CATALOG}, {firsts('a', n_arxiv('e.arxiv_id'), n_arxiv('c.arxiv_id'))}, {firsts('d', n_doi('e.doi'), n_doi('c.doi'))} SELECT doc_id, ref_index, source, 'arxiv' AS matched_by FROM a UNION ALL SELECT doc_id, ref_index, source, 'doi' FROM d")
+def lookup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, cat = entries_in(spark, sf_dir), catalog_in(spark, sf_dir)
+    arxiv = rf.first_by_source(refs, cat, ct.normal_arxiv_id(F.col("arxiv_id")), ct.normal_arxiv_id(F.col("arxiv_id")), "arxiv")
+    doi = rf.first_by_source(refs, cat, ct.normal_doi(F.col("doi")), ct.normal_doi(F.col("doi")), "doi")
+    return arxiv.union(doi).select("doc_id", "ref_index", "source", "matched_by")
+
+
+@query(f"""WITH {ENTRIES}, {CATALOG}, c AS (SELECT record_id, source_rank, title, {n_title('title')} AS norm FROM catalog), n AS (SELECT count(*) AS n FROM c), post AS (SELECT DISTINCT record_id, unnest(string_split(norm, ' ')) AS word FROM c),
+wt AS (SELECT word, ln(1 + n / count(*)) AS w FROM post, n GROUP BY word, n HAVING count(*) <= greatest(20, n * 0.05)), e AS (SELECT doc_id, ref_index, {n_title('title')} AS norm FROM entries WHERE doc_id < 20), q AS (SELECT DISTINCT doc_id, ref_index, unnest(string_split(norm, ' ')) AS word FROM e),
+s AS (SELECT doc_id, ref_index, record_id, max(score) AS score FROM (SELECT doc_id, ref_index, record_id, sum(w) AS score FROM q JOIN wt USING (word) JOIN post USING (word) GROUP BY ALL UNION ALL SELECT doc_id, ref_index, record_id, 1e9 FROM e JOIN c USING (norm)) GROUP BY ALL),
+r AS (SELECT doc_id, ref_index, source_rank, record_id, row_number() OVER (PARTITION BY doc_id, ref_index, source_rank ORDER BY round(score, 6) DESC, title, record_id) AS k FROM s JOIN c USING (record_id)) SELECT doc_id, ref_index, source_rank, count(*) AS n, max(CASE WHEN k = 1 THEN record_id END) AS best FROM r WHERE k <= 5 GROUP BY ALL""")
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rf.title_search(entries_in(spark, sf_dir).where("doc_id < 20"), catalog_in(spark, sf_dir))
+    ids = catalog_in(spark, sf_dir).select("source", "url", "record_id")
+    named = found.join(ids, ["source", "url"])
+    return named.groupBy("doc_id", "ref_index", "source_rank").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 1, F.col("record_id"))).alias("best"))
+
+
+@query(f"""WITH {ENTRIES}, {CATALOG}, x AS (SELECT e.doc_id, e.ref_index, c.source, c.title, c.year, coalesce({n_doi('c.doi')}, {n_title('c.title')} || '|' || c.year) AS key, row_number() OVER (PARTITION BY e.doc_id, e.ref_index ORDER BY c.source_rank, c.record_id) - 1 AS cand_ord FROM entries e JOIN catalog c ON e.title = c.title)
+SELECT doc_id, ref_index, source, title, year, cand_ord::INT AS cand_ord FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, ref_index, key ORDER BY cand_ord) = 1""")
+def dedupe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rf.dedupe_candidates(candidates_in(spark, sf_dir)).select("doc_id", "ref_index", "source", "title", "year", "cand_ord")
+
+
+def candidates_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the cited titles themselves, as a search would give them."""
+    from pyspark.sql import Window
+
+    e, c = entries_in(spark, sf_dir).select("doc_id", "ref_index", F.col("title").alias("cited")), catalog_in(spark, sf_dir)
+    w = Window.partitionBy("doc_id", "ref_index").orderBy("source_rank", "record_id")
+    rows = e.join(c, F.col("cited") == F.col("title")).withColumn("cand_ord", F.row_number().over(w) - 1)
+    return rows.select("doc_id", "ref_index", *rf.CANDIDATE, F.lit("search").alias("matched_by"), "cand_ord")
+
+
+JUDGED = f"""cand AS (SELECT e.doc_id, e.ref_index, e.raw, e.title, e.year, e.doi, c.source AS c_source, c.year AS c_year, coalesce(({n_doi('e.doi')}) = ({n_doi('c.doi')}), false) AS same_doi, {OVERLAP} AS overlap, {YEAR} AS ys, c.source_rank, c.record_id FROM entries e JOIN catalog c ON e.title = c.title),
+ranked AS (SELECT *, CASE WHEN same_doi THEN 1.0 ELSE 0.6 * 1.0 + 0.25 * overlap + 0.15 * ys END AS score FROM cand),
+best AS (SELECT *, (CASE WHEN abs(year - c_year) > 1 THEN 1 ELSE 0 END) + (CASE WHEN overlap < 0.5 THEN 1 ELSE 0 END) AS n_problems FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id, ref_index ORDER BY score DESC, source_rank, record_id) = 1),
+judged AS (SELECT e.doc_id, e.ref_index, CASE WHEN b.doc_id IS NULL THEN 'not_found' WHEN n_problems > 0 THEN 'mismatch' ELSE 'verified' END AS status, b.c_source, CASE WHEN b.doc_id IS NULL THEN 1 ELSE n_problems END::INT AS n_problems FROM entries e LEFT JOIN best b USING (doc_id, ref_index))"""
+
+
+@query(f"WITH {ENTRIES}, {CATALOG}, {JUDGED} SELECT * FROM judged")
+def classify_exact_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rf.classify(entries_in(spark, sf_dir), candidates_in(spark, sf_dir))
+    return out.select("doc_id", "ref_index", "status", "c_source", F.size("problems").alias("n_problems"))
+
+
+@query()
+def check_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = entries_in(spark, sf_dir).withColumn("title", F.when(F.col("k") % 5 == 0, F.concat(F.lit("The "), F.initcap("title"))).when(F.col("k") % 5 == 1, F.regexp_replace("title", "[aeiou]", "x")).otherwise(F.col("title")))
+    out = rf.check(refs, catalog_in(spark, sf_dir))
+    return out.select("doc_id", "ref_index", "status", F.round("score", 6).alias("score"), "c_source", "c_matched_by", F.array_join("problems", "; ").alias("problems"))
+
+
+@query(f"WITH {ENTRIES} SELECT k, CASE WHEN kind IN ('web', 'software', 'other') THEN false WHEN kind IN ('book', 'thesis') AND {n_doi('doi')} IS NULL THEN false ELSE true END AS checkable FROM entries")
+def checkable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries_in(spark, sf_dir).select("k", ct.is_checkable(F.col("kind"), F.col("title"), F.col("doi"), F.col("arxiv_id")).alias("checkable"))
+
+
+COUNTS = "counts AS (SELECT doc_id, count(*) AS entries, count(*) FILTER (status = 'verified') AS verified, count(*) FILTER (status = 'mismatch') AS mismatched, count(*) FILTER (status = 'not_found') AS not_found, count(*) FILTER (status = 'unverifiable') AS unverifiable, count(*) FILTER (status = 'ambiguous') AS ambiguous, 0::BIGINT AS adjudicated FROM judged GROUP BY doc_id)"
+
+
+@query(f"WITH {ENTRIES}, {CATALOG}, {JUDGED}, {COUNTS} SELECT *, 'Checked ' || entries || ' references against crossref, openalex: ' || verified || ' verified, ' || mismatched || ' with metadata mismatches, ' || not_found || ' not found' || CASE WHEN ambiguous > 0 THEN ', ' || ambiguous || ' inconclusive' ELSE '' END || CASE WHEN unverifiable > 0 THEN ', ' || unverifiable || ' unverifiable' ELSE '' END || '.' AS said FROM counts")
+def status_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = rf.status_counts(rf.classify(entries_in(spark, sf_dir), candidates_in(spark, sf_dir)))
+    return counts.withColumn("said", rf.summary(("crossref", "openalex")))
+
+
+@query(f"WITH {ENTRIES} SELECT doc_id, max(ref_index + 1)::INT AS max_label FROM entries GROUP BY doc_id")
+def highest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rf.highest_label(entries_in(spark, sf_dir))
+
+
+# --- cost -----------------------------------------------------------------------------------------
+
+
+def calls_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr("user_id AS doc_id", "CASE event_type WHEN 'click' THEN 'openai/gpt-5-mini' WHEN 'view' THEN 'x/gpt-5-mini-2027' WHEN 'purchase' THEN 'gpt-5.2' ELSE concat('other-', event_type) END AS model", "CAST(event_id % 1000 AS BIGINT) AS prompt_tokens", "CAST(event_id % 77 AS BIGINT) AS completion_tokens")
+
+
+CALLS = "calls AS (SELECT user_id AS doc_id, CASE event_type WHEN 'click' THEN 'openai/gpt-5-mini' WHEN 'view' THEN 'x/gpt-5-mini-2027' WHEN 'purchase' THEN 'gpt-5.2' ELSE 'other-' || event_type END AS model, event_id % 1000 AS prompt_tokens, event_id % 77 AS completion_tokens FROM events)"
+PRICE_ROWS = ", ".join(f"({i}, '{k}', {p}::DOUBLE, {c}::DOUBLE)" for i, (k, p, c) in enumerate(costs.PRICES))
+PRICED = f"""prices(ord, key, prompt, completion) AS (VALUES {PRICE_ROWS}), short AS (SELECT *, regexp_extract(key, '[^/]*$') AS short FROM prices),
+models AS (SELECT DISTINCT model, regexp_extract(model, '[^/]*$') AS ms FROM calls), met AS (SELECT model, s.*, CASE WHEN key = model THEN 0 WHEN key = ms THEN 1 ELSE 2 END AS tier FROM models LEFT JOIN short s ON contains(model, key) OR contains(model, short)),
+priced AS (SELECT model, coalesce(prompt, 5) AS prompt, coalesce(completion, 25) AS completion FROM met QUALIFY row_number() OVER (PARTITION BY model ORDER BY tier, length(short) DESC, ord) = 1)"""
+
+
+@query(f"WITH {CALLS} SELECT doc_id, model, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM calls GROUP BY ALL")
+def usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costs.usage(calls_in(spark, sf_dir), "doc_id", "model")
+
+
+@query(f"WITH {CALLS}, {PRICED} SELECT * FROM priced")
+def price_longest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costs.price_models(calls_in(spark, sf_dir), costs.price_table(spark))
+
+
+@query(f"WITH {CALLS}, {PRICED} SELECT doc_id, floor(sum(prompt_tokens / 1e6 * prompt + completion_tokens / 1e6 * completion) * 10000 + 0.5) / 10000 AS cost_usd FROM calls JOIN priced USING (model) GROUP BY doc_id")
+def cost_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return costs.cost_by_model(calls_in(spark, sf_dir), costs.price_table(spark), "doc_id").select("doc_id", costs.rounded(F.col("cost")).alias("cost_usd"))
+
+
+LIVE = """{"sample_spec": {"input_cost_per_token": 1, "output_cost_per_token": 1}, "openai/gpt-5": {"input_cost_per_token": 0.25, "output_cost_per_token": 0.5}, "free": {"input_cost_per_token": 0, "output_cost_per_token": 0}, "bad": {"mode": "x"}}"""
+
+
+@query(f"WITH prices(ord, key, prompt, completion) AS (VALUES {PRICE_ROWS}) SELECT key, CASE WHEN key = 'openai/gpt-5' THEN 250000.0 ELSE prompt END AS prompt, CASE WHEN key = 'openai/gpt-5' THEN 500000.0 ELSE completion END AS completion FROM prices UNION ALL SELECT 'free', 0.0, 0.0")
+def pricing_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = costs.live_prices(spark.createDataFrame([(LIVE,)], "value string"))
+    return costs.overlay_prices(costs.price_table(spark), live).select("key", "prompt", "completion")
+
+
+# --- answers --------------------------------------------------------------------------------------
+
+
+def answers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model answers made of conversations: fenced arrays, and objects with feedback."""
+    c = table(spark, sf_dir, "conversations")
+    item = F.to_json(F.struct(F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), F.substring("text", 1, 80).alias("quote"), F.when(F.col("turn") % 2 == 0, "A wrong FORMULA here").otherwise("Unclear").alias("message"), F.when(F.col("turn") % 3 == 0, "logical").otherwise("other").alias("type")))
+    listed = F.concat(F.lit("["), item, F.lit("]"))
+    text = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```"))).otherwise(F.concat(F.lit('{"overall_feedback": "good", "comments": '), listed, F.lit("}")))
+    return c.select("conv_id", "turn", text.alias("response"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'good' END AS overall_feedback, 'Turn ' || turn AS title, substr(text, 1, 80) AS quote, CASE WHEN turn % 2 = 0 THEN 'A wrong FORMULA here' ELSE 'Unclear' END AS explanation, CASE WHEN turn % 3 = 0 THEN 'logical' WHEN turn % 2 = 0 THEN 'technical' ELSE 'logical' END AS comment_type, NULL::INT AS paragraph_index FROM conversations")
+def parse_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answers_in(spark, sf_dir).withColumn("r", rs.parse_review(F.col("response")))
+    return rows.select("conv_id", "turn", "r.overall_feedback", F.explode("r.comments").alias("c")).select("conv_id", "turn", "overall_feedback", "c.*")
+
+
+def quotes_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote of each document: one that is in it, or that of another one."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.lit(0).alias("ord"), F.lit("t").alias("title"), F.concat(F.lit(" *"), F.substring(tx.for_matching(F.col("text")), 130, 60), F.lit("_ ")).alias("quote"), F.lit("e").alias("explanation"), F.lit("logical").alias("comment_type"))
+
+
+MATCH = r"regexp_replace(regexp_replace(replace(replace(replace(replace(replace(lower({x}), '<br>', ' '), '|', ' '), '*', ''), '_', ''), '’', ''''), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"WITH {PAPERS}, {PARAS}, q AS (SELECT doc_id, {MATCH.format(x=f'substr({MATCH.format(x="text")}, 130, 60)')} AS quote FROM documents) SELECT doc_id, (nullif(list_position(list_transform(ps, lambda p: contains({MATCH.format(x='p')}, quote)), true), 0) - 1)::INT AS paragraph_index FROM paras JOIN q USING (doc_id) WHERE quote <> ''")
+def locate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rv.exact_anchors(quotes_in(spark, sf_dir), papers_in(spark, sf_dir)).where(tx.for_matching(F.col("quote")) != "")
+    return rows.select("doc_id", "paragraph_index")
+
+
+@query()
+def locate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    garbled = quotes_in(spark, sf_dir).withColumn("quote", F.regexp_replace("quote", "(.{9}).", "$1~"))
+    return rv.anchor_in_document(garbled, papers_in(spark, sf_dir)).select("doc_id", "paragraph_index")
+
+
+@query("SELECT conv_id AS doc_id, o.turn AS ord, coalesce(CASE WHEN o.turn % 2 = 0 THEN 7 END, l.p) AS paragraph_index FROM conversations o LEFT JOIN (SELECT conv_id, substr(text, 1, 200) AS k, arg_max(turn, turn) * 10 AS p FROM conversations GROUP BY ALL) l USING (conv_id) WHERE substr(o.text, 1, 200) = l.k")
+def consolidate_backjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.col("text").alias("quote"))
+    merged = c.withColumn("paragraph_index", F.when(F.col("ord") % 2 == 0, F.lit(7).cast("long")))
+    return rv.back_join(merged, c.withColumn("paragraph_index", F.col("ord") * 10)).select("doc_id", "ord", "paragraph_index")
+
+
+@query(rf"""WITH {PAPERS}, {PARAS}, ti AS (SELECT doc_id, coalesce(substr(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda x: {t('x')}), lambda x: x <> '')[1], '^#+\s*', ''), 1, 200), 'Untitled') AS title FROM papers)
+SELECT doc_id, title, (len(ps) + (CASE WHEN was_ocr THEN 1 ELSE 0 END))::INT AS n_paragraphs, 'Zero Shot (gpt-5-mini)' AS label, 'zero_shot__gpt-5-mini' AS key, 'zero_shot__gpt-5-mini_0' AS first_id, floor((1000 + doc_id) / 1e6 * 0.25 * 10000 + 50 / 1e6 * 2.0 * 10000 + 0.5) / 10000 AS cost_usd FROM paras JOIN ti USING (doc_id)""")
+def paper_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = papers_in(spark, sf_dir)
+    made = lambda c: c.withColumn("method", F.lit("zero_shot"))
+    results = made(docs.select("doc_id")).withColumn("model", F.lit("openai/gpt-5-mini")).withColumn("overall_feedback", F.lit("fine"))
+    comments = made(quotes_in(spark, sf_dir)).withColumn("paragraph_index", F.lit(0))
+    calls = made(docs.select("doc_id", F.lit("openai/gpt-5-mini").alias("model"), (F.col("doc_id") + 1000).alias("prompt_tokens"), F.lit(50).cast("long").alias("completion_tokens")))
+    rows = report.papers(docs, report.method_blocks(results, comments, calls, costs.price_table(spark)))
+    e = F.element_at(F.map_entries("methods"), 1)
+    return rows.select("doc_id", "title", F.size("paragraphs").alias("n_paragraphs"), e.value.label.alias("label"), e.key.alias("key"), F.element_at(e.value.comments, 1).id.alias("first_id"), e.value.cost_usd.alias("cost_usd"))
+
+
+@query("SELECT doc_id, 'Look at {passage} of ' || text || ' on 2026-01-02, {unknown}' AS prompt FROM documents")
+def prompts_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = {"a": F.lit("{passage}"), "passage": F.col("text"), "currentDate": F.lit("2026-01-02")}
+    return table(spark, sf_dir, "documents").select("doc_id", pr.interpolate("Look at {a} of {passage} on {currentDate}, {unknown}", values).alias("prompt"))
+
+
+# --- model stages, with a stand-in for the model --------------------------------------------------
+
+
+def stub(prompt: str, model: str, max_tokens: int) -> tuple[str, int, int]:
+    """A model that answers by the kind of prompt, with a quote of the prompt itself."""
+    import json
+
+    n = len(prompt) // 4
+    if prompt.startswith("SUMMARY SO FAR") and "Update the summary" in prompt:
+        return f"summary of {len(prompt)} characters", n, 8
+    if "yes or no" in prompt:
+        return "Yes" if n % 3 else "no", n, 1
+    if "one paragraph of overall feedback" in prompt:
+        return " Sound work. ", n, 4
+    if prompt.startswith("FINDINGS:"):
+        found = json.loads(prompt[len("FINDINGS:\n") :].split("\n\nMerge those")[0])
+        return json.dumps([{k: f[k] for k in ("title", "quote", "explanation")} for f in found[::2]]), n, 20
+    body = prompt.split("PASSAGE TO CHECK:\n")[-1].split("PAPER:\n")[-1].split("PART ")[-1]
+    item = {"title": "Wrong sign", "quote": body[5:90], "explanation": "It should be the other one.", "type": "other"}
+    return json.dumps([item]) if "PASSAGE TO CHECK" in prompt else json.dumps({"overall_feedback": "Fine.", "comments": [item]}), n, 30
+
+
+def config(spark: SparkSession, name: str, **more) -> me.ReviewConfig:
+    return me.ReviewConfig(stub, Ledger(spark, fresh_path(spark, f"ledger-{name}")), ChatOptions(wait=lambda s: None), "2026-01-02", **more)
+
+
+def _reviewed(review: me.Review) -> DataFrame:
+    spent = costs.usage(review.calls, "doc_id")
+    n = review.comments.groupBy("doc_id").agg(F.count("*").alias("comments"), F.count("paragraph_index").alias("anchored"))
+    return review.feedback.join(n, "doc_id", "left").join(spent, "doc_id", "left")
+
+
+@query()
+def review_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(me.zero_shot(papers_in(spark, sf_dir), config(spark, "zero")))
+
+
+@query()
+def review_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(me.local(papers_in(spark, sf_dir), config(spark, "local")))
+
+
+@query()
+def review_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(me.progressive(papers_in(spark, sf_dir), config(spark, "progressive", skip_nontechnical=True)))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND text IN (SELECT text FROM documents GROUP BY text HAVING max((doc_id % 3 = 0)::INT) = 0) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = config(spark, "pending")
+    rows = table(spark, sf_dir, "documents").select(F.lit("x").alias("stage"), "doc_id", F.lit(0).alias("ord"), F.col("text").alias("prompt"))
+    cfg.ledger.run(rows.where("doc_id % 3 = 0"), stub, cfg.chat)
+    return cfg.ledger.pending(rows, cfg.chat).select("doc_id")
+
+
+def reference_stub(prompt: str, model: str, max_tokens: int) -> tuple[str, int, int]:
+    """Reads the entries of the sample bibliographies back out of the prompt."""
+    import json
+    import re
+
+    n = len(prompt) // 4
+    if "ENTRY:" in prompt:
+        return '{"verdict": "verified", "explanation": "same work"}', n, 9
+    if prompt.startswith("END OF A PAPER"):
+        return "NONE", n, 1
+    found = re.findall(r"\[(\d+)\] (\w+), A\. (.*?)\. J\. Parts (\d+)\(\d+\), (\d{4})", prompt)
+    return "Here: " + json.dumps([{"label": a, "raw": f"[{a}] {b}, A. {c}. J. Parts {v}", "title": c, "authors": [f"A. {b}"], "year": y, "kind": "paper"} for a, b, c, v, y in found]), n, 50
+
+
+@query()
+def review_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = me.ReviewConfig(reference_stub, Ledger(spark, fresh_path(spark, "ledger-references")), ChatOptions(wait=lambda s: None), "2026-01-02")
+    return rr.review_references(cited_in(spark, sf_dir), catalog_in(spark, sf_dir), cfg).stats
+
+
+@query()
+def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records read from a source's answers."""
+    work = F.struct(F.array("p_name").alias("title"), F.array(F.struct(F.lit("Ada").alias("given"), F.lit("Brown").alias("family"))).alias("author"), F.struct(F.array(F.array(F.lit(2020), F.lit(5))).alias("date-parts")).alias("issued"), F.col("p_brand").alias("publisher"), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("DOI"))
+    answers = table(spark, sf_dir, "part").select(F.lit("crossref").alias("source"), F.lit("id").alias("kind"), F.col("p_partkey").cast("string").alias("asked"), F.to_json(F.struct(work.alias("message"))).alias("body"))
+    return catalogs.records_of(answers).select("asked", "title", "authors", "year", "venue", "doi")
+
+
+@query()
+def streaming_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running summaries of passages that come as a stream of files."""
+    from glossator.streaming.progressive import running_summaries
+
+    path, out = fresh_path(spark, "passages"), fresh_path(spark, "summaries")
+    rv.passage_rows(papers_in(spark, sf_dir), 2000).select("doc_id", "passage_index", "text").write.parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = spark.readStream.schema("doc_id long, passage_index int, text string").parquet(path)
+    summaries = running_summaries(stream, lambda s, p, i: f"{s}{i}:{len(p)};")
+    q = summaries.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
