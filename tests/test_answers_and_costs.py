@@ -1,0 +1,174 @@
+import json
+import warnings
+
+import pytest
+from pyspark.sql import functions as F
+
+from glossator.functions import responses as rs
+from glossator.operators import costs
+from glossator.plans import ledger as lg
+from glossator.plans import prompts as pr
+from glossator.plans import report
+from glossator.sources import catalogs
+from glossator.sources.html import parse_page
+from tests.test_text import one
+
+ITEM = {"title": "T", "quote": "q", "explanation": "e", "type": "logical"}
+
+
+def parsed(spark, text):
+    r = spark.createDataFrame([(text,)], "t string").select(rs.parse_review(F.col("t")).alias("r")).first().r
+    return r.overall_feedback, [(c.title, c.quote, c.explanation, c.comment_type, c.paragraph_index) for c in r.comments]
+
+
+def test_answers(spark):
+    full = ("T", "q", "e", "logical", None)
+    assert parsed(spark, json.dumps([ITEM])) == ("", [full])
+    assert parsed(spark, f"```json\n{json.dumps({'overall_feedback': 'ok', 'comments': [ITEM]})}\n```") == ("ok", [full])
+    assert parsed(spark, f"Sure: [1] {json.dumps({'comments': [ITEM]})} done") == ("", [full])
+    assert parsed(spark, '{"overall_feedback": "a \\"b\\"", "comments": [{"title": "T", "quote": "q", "explanation": "e", "type": "logical"}, {"title": ') == ('a "b"', [full])
+    assert parsed(spark, "no json") == ("", [])
+    assert parsed(spark, None) == ("", [])
+    assert parsed(spark, json.dumps([{"name": "Wrong formula", "text": "q", "type": "other", "paragraph_index": 3.0}])) == ("", [("Wrong formula", "q", "", "technical", 3)])
+    assert parsed(spark, "[]") == ("", [])
+
+
+def test_references(spark):
+    raw = json.dumps([{"raw": " R ", "year": "2020", "doi": "doi:10.1/X", "arxiv_id": "arXiv:1", "kind": "Paper", "authors": ["A", ""]}, {"text": "only", "year": 1200, "kind": "?"}, {"title": "no text"}])
+    got = spark.createDataFrame([(raw,)], "t string").select(F.explode(rs.references_of(rs.first_json_text(F.concat(F.lit("So: "), F.col("t")))).alias("r"))).select("col.*").collect()
+    assert [(r.raw, r.year, r.doi, r.arxiv_id, r.kind, r.authors) for r in got] == [("R", 2020, "10.1/x", "1", "paper", ["A"]), ("only", None, None, None, "other", [])]
+
+
+def test_interpolation(spark):
+    assert one(spark, pr.interpolate("{a} {b} {c}", {"a": F.lit("{b}"), "b": F.lit("x")})) == "{b} x {c}"
+    assert pr.templates({"blocks": {"checkCriteria": "MINE"}})["deepCheck"].count("MINE") == 1
+    assert pr.templates({"templates": {"zeroShot": "Z {paperText}", "deepCheck": None}})["zeroShot"] == "Z {paperText}"
+    assert pr.problems({"templates": {"zeroShot": "none", "nope": "x"}}) == ["template 'zeroShot' lacks {paperText}", "unknown template 'nope'"]
+    bad = {"templates": {"nope": "x"}}
+    with warnings.catch_warnings(record=True) as seen:
+        warnings.simplefilter("always")
+        pr.warn(bad)
+        pr.warn(bad)
+    assert len(seen) == 1
+
+
+def test_prices(spark):
+    def cost(model, p, c):
+        calls = spark.createDataFrame([(1, model, p, c)], "doc_id long, model string, prompt_tokens long, completion_tokens long")
+        return costs.cost_by_model(calls, costs.price_table(spark), "doc_id").first().cost
+
+    m = 1_000_000
+    assert cost("gpt-5-mini", m, m) == pytest.approx(2.25)
+    assert cost("some/gpt-5-mini-2027", m, m) == pytest.approx(2.25)
+    assert cost("unknown", m, 0) == pytest.approx(5.0)
+    assert cost("gpt-5.2+gpt-5-mini", m, 0) == pytest.approx(0.3 * 1.75 + 0.7 * 0.25)
+    assert one(spark, costs.rounded(costs.dollars(F.lit(1000), F.lit(500), F.lit(5.0), F.lit(25.0)))) == 0.0175
+
+
+def test_live_prices(spark):
+    live = costs.live_prices(spark.createDataFrame([('{"data": [{"id": "a/b", "pricing": {"prompt": "0.000001", "completion": "0.000002"}}, {"id": "c", "pricing": {}}]}',)], "value string"), "openrouter")
+    assert [(r.key, round(r.prompt, 9), round(r.completion, 9)) for r in live.collect()] == [("a/b", 1.0, 2.0)]
+
+
+def test_usage(spark):
+    calls = spark.createDataFrame([(1, "a", 100, 10), (1, "b", 50, 5), (1, None, 1, 1)], "doc_id long, model string, prompt_tokens long, completion_tokens long")
+    r = costs.usage_maps(calls, "doc_id").first()
+    assert (r.prompt_tokens, r.completion_tokens) == (151, 16)
+    assert {k: tuple(v) for k, v in r.usage_by_model.items()} == {"a": (100, 10), "b": (50, 5)}
+
+
+def test_chat_retries():
+    waits, tokens = [], []
+
+    def client(prompt, model, n):
+        tokens.append(n)
+        if len(tokens) == 1:
+            raise OSError
+        return ("" if len(tokens) < 4 else "x"), 10, 1
+
+    assert lg.chat(client, "p", lg.ChatOptions(max_tokens=8, wait=waits.append)) == ("x", 30, 3, 4)
+    assert (tokens, waits) == ([8, 8, 16, 32], [1.0])
+
+
+def test_ledger_pays_once(spark, tmp_path):
+    book, cfg = lg.Ledger(spark, str(tmp_path / "calls")), lg.ChatOptions(wait=lambda s: None)
+    rows = spark.createDataFrame([("s", 1, 0, "a"), ("s", 2, 0, "a"), ("s", 3, 0, "bad")], "stage string, doc_id long, ord int, prompt string")
+
+    def client(prompt, model, n):
+        if prompt == "bad":
+            raise OSError("down")
+        return f"<{prompt}>", 1, 1
+
+    first = {r.doc_id: r.response for r in book.run(rows, client, cfg).collect()}
+    assert first == {1: "<a>", 2: "<a>", 3: None}
+    assert book.pending(rows, cfg).count() == 1
+    again = {r.doc_id: r.response for r in book.run(rows, lambda p, m, n: ("new", 1, 1), cfg).collect()}
+    assert again == {1: "<a>", 2: "<a>", 3: "new"}
+
+
+def test_providers():
+    assert lg.resolve_provider({"ANTHROPIC_API_KEY": "k", "GEMINI_API_KEY": "k"}, model="google/x") == "gemini"
+    assert lg.resolve_provider({"ANTHROPIC_API_KEY": "k"}, model="openai/x") == "anthropic"
+    assert lg.resolve_provider({}, api_key="k") == "openai"
+    with pytest.raises(ValueError, match="no provider"):
+        lg.resolve_provider({})
+    assert lg.reasoning_fields("anthropic", "low", 4096) == {"thinking": {"type": "enabled", "budget_tokens": 1024}}
+
+
+def test_papers(spark):
+    docs = spark.createDataFrame([(1, "# My Paper\n\n" + "x" * 120, True)], "doc_id long, text string, was_ocr boolean")
+    results = spark.createDataFrame([(1, "progressive_full", "v/m", "ok")], "doc_id long, method string, model string, overall_feedback string")
+    comments = spark.createDataFrame([(1, "progressive_full", 0, "t", "q", "e", "logical", None)], "doc_id long, method string, ord int, title string, quote string, explanation string, comment_type string, paragraph_index int")
+    calls = spark.createDataFrame([(1, "progressive_full", "v/m", 1000, 500)], "doc_id long, method string, model string, prompt_tokens long, completion_tokens long")
+    blocks = report.method_blocks(results, comments, calls, costs.price_table(spark))
+    papers = report.papers(docs, blocks)
+    out = json.loads(report.as_json(papers).first().json)
+    assert (out["slug"], out["title"], len(out["paragraphs"])) == ("my-paper", "My Paper", 2)
+    block = out["methods"]["progressive_full__m"]
+    assert (block["label"], block["cost_usd"], block["comments"][0]["id"]) == ("Progressive Full (m)", 0.0175, "progressive_full__m_0")
+    other = blocks.withColumn("key", F.lit("local__m"))
+    merged = report.papers(docs.withColumn("text", F.lit("Other title")), other, papers).first()
+    assert merged.title == "My Paper" and sorted(merged.methods) == ["local__m", "progressive_full__m"]
+
+
+def test_catalog_answers(spark):
+    crossref = json.dumps({"message": {"items": [{"title": ["A"], "author": [{"given": "X", "family": "Y"}], "issued": {"date-parts": [[2020, 1]]}, "container-title": [], "publisher": "P", "DOI": "10.1/a"}, {"title": []}]}})
+    openalex = json.dumps({"id": "https://o/W1", "display_name": "B", "publication_year": 2019, "authorships": [{"author": {"display_name": "Q"}}]})
+    atom = "<feed><title>q</title><entry><id>http://arxiv.org/abs/1.2v1</id><published>2021-01-01</published><title>C\n d</title><author><name>Z</name></author></entry></feed>"
+    rows = [("crossref", "search", "q", crossref), ("openalex", "id", "d", openalex), ("arxiv", "id", "1.2v1", atom), ("arxiv", "id", "0", "<entry><title>Error</title></entry>"), ("crossref", "id", "x", "broken")]
+    got = {r.source: r for r in catalogs.records_of(spark.createDataFrame(rows, "source string, kind string, asked string, body string")).collect()}
+    assert (got["crossref"].title, got["crossref"].authors, got["crossref"].year, got["crossref"].venue) == ("A", ["X Y"], 2020, "P")
+    assert (got["openalex"].title, got["openalex"].url) == ("B", "https://o/W1")
+    assert (got["arxiv"].title, got["arxiv"].arxiv_id, got["arxiv"].url, len(got)) == ("C d", "1.2", "http://arxiv.org/abs/1.2v1", 3)
+
+
+def test_asking():
+    def server(*answers):
+        it = iter(answers)
+        return lambda url: next(it)
+
+    waits = []
+    assert catalogs.ask(server((429, {"retry-after": "60"}, ""), (500, {}, ""), (200, {}, "b")), "u", waits.append) == catalogs.Outcome("hit", "b", 3)
+    assert waits == [30.0, 1.0]
+    assert catalogs.ask(server((404, {}, "")), "u").state == "miss"
+    assert catalogs.ask(server((403, {}, "")), "u") == catalogs.Outcome("error", None, 1)
+    with pytest.raises(ValueError, match="unknown source"):
+        catalogs.source_order(("nope",))
+
+
+PAGE = """<html><title>Short</title><body><nav>menu</nav><div class="ltx_document"><h1 class="ltx_title ltx_title_document">My  Title</h1>
+<div class="ltx_abstract"><h6 class="ltx_title ltx_title_abstract">Abstract</h6><p class="ltx_p">We do.</p></div>
+<h2 class="ltx_title ltx_title_section">1 Intro</h2><div class="ltx_para">Text <b>one</b>.</div>
+<figure class="ltx_table"><figcaption class="ltx_caption">Table 1</figcaption><table class="ltx_tabular"><tr><td>a|b</td><td>c</td></tr><tr><td>d</td></tr></table></figure>
+<section class="ltx_bibliography">gone</section></div></body></html>"""
+
+
+def test_pages():
+    title, text, error = parse_page(PAGE)
+    assert (title, error) == ("My Title", None)
+    assert "## 1 Intro" in text and "## Abstract\nWe do." in text and "Text one." in text
+    assert "**Table 1**\n\n| a\\|b | c |\n| --- | --- |\n| d |  |" in text
+    assert "gone" not in text and "menu" not in text
+    assert "gone" in parse_page(PAGE.replace("gone", '<div class="ltx_para">gone</div>'), keep_bibliography=True)[1]
+    assert parse_page("<article>Just <br>text<nav>x</nav></article>")[1] == "Just text"
+    assert parse_page("nothing")[2] == "no content found"
