@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossator.sources.storage import durable, fresh_path, shared_dir
+
+__all__ = ["SPACE", "WORD", "documents", "durable", "fresh_path", "id_crc", "shared_dir", "spare_name", "worker_cache"]
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,30 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            found = held.get()
-        else:
-            found = tempfile.mkdtemp(prefix="glossator-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and cut off from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def spare_name(df: DataFrame, name: str) -> str:
     """name, lengthened until df has no such column (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}
@@ -56,7 +34,9 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker does, across its tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dict that lives as long as the Python worker does, across its tasks, until another owner asks for one."""
     home = sys.modules.setdefault("_glossator_worker", types.ModuleType("_glossator_worker"))
-    return home.__dict__.setdefault("cache", {})
+    if getattr(home, "owner", None) != owner:
+        home.owner, home.cache = owner, {}
+    return home.cache

@@ -34,7 +34,7 @@ BLOCK = 1 << 20
 
 def letter_table() -> np.ndarray:
     """By code point: whether it is a letter."""
-    cache = worker_cache()
+    cache = worker_cache("language")
     if "letters" not in cache:
         cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return cache["letters"]

@@ -57,7 +57,7 @@ class Header:
 
 def parse_header(word: int) -> Header | None:
     """The header in four bytes; None where there is none, or one of a free or bad bit rate."""
-    cache = worker_cache().setdefault("mpeg", {})
+    cache = worker_cache("media").setdefault("mpeg", {})
     key = word & 0xFFFFFFC0  # mode extension, copyright and emphasis don't matter
     if key not in cache:
         if len(cache) > 4096:
@@ -81,7 +81,7 @@ def _parse_header(word: int) -> Header | None:
 
 def crc16(data: bytes, crc: int = 0xFFFF) -> int:
     """The format's checksum: polynomial 0x8005, high bit first."""
-    cache = worker_cache()
+    cache = worker_cache("media")
     if "crc16" not in cache:
         table = []
         for i in range(256):
@@ -106,7 +106,7 @@ OVERHEAD = 4 + 2 + SIDE
 
 def frame_kinds() -> list[tuple[int, bytes]]:
     """(sample bytes, bytes before them) of each bit rate, in ascending order."""
-    cache = worker_cache()
+    cache = worker_cache("media")
     if "frames" not in cache:
         kinds = []
         for i in range(1, 15):

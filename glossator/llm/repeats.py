@@ -38,7 +38,7 @@ MASK = (1 << 64) - 1
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    cache = worker_cache()
+    cache = worker_cache("repeats")
     if len(cache.get("powers", ((),))[0]) < n:
         both = []
         for base in (BASE, pow(BASE, -1, 1 << 64)):

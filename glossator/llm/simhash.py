@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def golay_decoder() -> np.ndarray:
     """For every 23-bit word the index (its 12 data bits) of the codeword within three bits of it."""
-    cache = worker_cache()
+    cache = worker_cache("simhash")
     if "golay" not in cache:
 
         def rest(words: np.ndarray) -> np.ndarray:
@@ -89,8 +89,8 @@ def golay_decoder() -> np.ndarray:
         errors = np.array(errors, np.int64)
         leader = np.zeros(2048, np.int64)
         leader[rest(errors)] = errors  # one error pattern for each of the 2048 remainders: the code is perfect
-        words = np.arange(1 << 23, dtype=np.int64)
-        cache["golay"] = ((words ^ leader[rest(words)]) >> 11).astype(np.uint16)
+        parts = (np.arange(i, i + (1 << 18), dtype=np.int64) for i in range(0, 1 << 23, 1 << 18))
+        cache["golay"] = np.concatenate([((w ^ leader[rest(w)]) >> 11).astype(np.uint16) for w in parts])
     return cache["golay"]
 
 

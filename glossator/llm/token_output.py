@@ -32,7 +32,7 @@ MAGIC = b"GTS1"
 TRAILER = "<4sBIIII"
 TRAILER_SIZE = struct.calcsize(TRAILER)
 #: Chunks of text that a worker remembers the ids of; the memory is emptied when it is full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 #: Latin-1 letters in lower case, and the full stop and comma that may follow them.
 LETTERS = re.compile(b"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 MARKS = (b".", b",")
@@ -41,7 +41,7 @@ PAIRS = (b"..", b".,", b",.", b",,")
 LOWER = bytes(32 if i in (9, 10, 13) else ord(chr(i).lower()) if ord(chr(i).lower()) < 256 else i for i in range(256))
 END_ID = 2
 #: Texts are encoded together up to so many bytes.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 DOCS_PER_FILE = 8192
 
 
@@ -182,7 +182,7 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    cache = worker_cache()
+    cache = worker_cache("tokens")
     if ("encoder", path) not in cache:
         cache["encoder", path] = ChunkEncoder(path)
     return cache["encoder", path]

@@ -39,6 +39,8 @@ DRIFT = 0.5
 SIGNIFICANT = 0.01
 #: Scale of the extreme-value law; the decay is fitted, and a constant factor is left to the logistic curve.
 SCALE = 0.1
+#: Words that a worker remembers the scores of, and texts that it counts words of together.
+REMEMBERED, COUNTED = 150_000, 500
 WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -88,7 +90,7 @@ class Memo(dict):
     def __missing__(self, word: str) -> float:
         found = [self.odds[u] for u in units(word) if u in self.odds]
         score = max(found) - self.drift if found else -self.drift
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = score
         return score
@@ -104,9 +106,9 @@ class ToxicityModel:
     slope: float = 1.0
 
     def memo(self) -> Memo:
-        held = worker_cache().get("toxicity")
+        held = worker_cache("toxicity").get("toxicity")
         if held is None or held[0] != self.key():
-            held = worker_cache()["toxicity"] = (self.key(), Memo(self.odds, DRIFT))
+            held = worker_cache("toxicity")["toxicity"] = (self.key(), Memo(self.odds, DRIFT))
         return held[1]
 
     def key(self) -> tuple:
@@ -185,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         return ToxicityModel(intercept=-5.0 if not size[1] else 5.0, slope=0.0)
 
     def words(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (b.iloc[i : i + COUNTED] for b in batches for i in range(0, len(b), COUNTED)):
             counts: dict[str, list[int]] = {}
             for t, y in zip(b["text"], b["y"], strict=True):
                 for w in set(WORDS((t or "").lower())):
