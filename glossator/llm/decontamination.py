@@ -31,6 +31,10 @@ def shingles(tokens: Column, width: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*(F.element_at(tokens, i + k) for k in range(width))))
 
 
+def sized_shingles(tokens: Column, width: int) -> Column:
+    return F.transform(shingles(tokens, width), lambda h: F.struct(F.lit(width).alias("width"), h.alias("hash")))
+
+
 def item_table(items: DataFrame, item_id: str, text: str, width: int, threshold: float) -> DataFrame:
     """item, width, n, need, hash and sketch (whether it is in the item's sketch) of each distinct shingle.
 
@@ -62,7 +66,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
         shape = (0, [width])
     small = shape[0] <= BROADCAST_ROWS
     tokens = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w"))
-    arrays = F.flatten(F.array(*(F.transform(shingles(F.col("w"), k), lambda h, k=k: F.struct(F.lit(k).alias("width"), h.alias("hash"))) for k in sorted(shape[1])))) if shape[1] != [width] else None
+    arrays = None if shape[1] == [width] else F.flatten(F.array(*(sized_shingles(F.col("w"), k) for k in sorted(shape[1]))))
     if arrays is None:
         rows = tokens.select("doc_id", F.explode(shingles(F.col("w"), width)).alias("hash"))
         on = ["hash"]
