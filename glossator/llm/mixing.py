@@ -1,10 +1,12 @@
 """Mixing sources to target weights by balanced sampling (the cube method).
 
 Every document of a source is wanted ``target / source size`` times. The whole part of that rate is taken
-as it is; its fraction is an inclusion probability. The flight phase moves the probabilities of three
-documents at a time along the one direction that changes neither their expected words nor their expected
-number, until one of the three is 0 or 1: after n documents at most two fractions are left. Blocks of a
-source fly on their own, their leftovers fly together, and what is left of the source lands by words.
+as it is; its fraction is an inclusion probability. The flight phase moves the probabilities of a pool of
+documents along a direction that changes neither their expected words nor their expected number, until one of
+them is 0 or 1, and takes in the next one. Of all such directions it takes the one nearest to moving the
+pool's largest document alone, so that large documents settle first and small ones make up for them. Blocks
+of a source fly on their own, their leftovers fly together, and the last dozen of the source land together on
+the nearest number of words.
 """
 
 from __future__ import annotations
@@ -21,7 +23,12 @@ from glossator.llm.common import WORD, durable, spare_name
 MOST = 3
 WEIGHTS = (1, 2, 3)
 #: Documents to a block, about.
-BLOCK = 1024
+BLOCK = 8192
+#: Open fractions in a flight, at most: so many that the others can make up for the largest one.
+POOL = 64
+BROADCAST_SOURCES = 100_000
+#: Units of a source that land together.
+LANDING = 12
 EPS = 1e-9
 
 
@@ -61,59 +68,74 @@ def source_targets(sizes: DataFrame, most: float = MOST, weights: tuple[int, ...
 
 
 class Flight:
-    """The flight phase of one group: at most two open fractions between two calls."""
+    """The flight phase of one group: a pool of open fractions between two calls."""
 
     def __init__(self, rng_seed: int):
         self.rng = np.random.default_rng(rng_seed)
-        self.open: list[list] = []  # [key, size, p]
+        self.open: list[tuple] = []  # (key, size)
+        self.p: list[float] = []
 
     def add(self, key, size: float, p: float) -> Iterator[tuple]:
         """Takes one unit in; yields the (key, 0 or 1) that this settles."""
         if p <= EPS or p >= 1 - EPS:
             yield key, int(p >= 0.5)
             return
-        self.open.append([key, size, p])
-        while len(self.open) == 3:
-            (_, a, pa), (_, b, pb), (_, c, pc) = self.open
-            # A direction that keeps the sums of p and of p * size.
-            u = (b - c, c - a, a - b)
-            if not any(u):
-                u = (1.0, -1.0, 0.0)
-            self._move(u, (pa, pb, pc))
-            yield from self._settled()
-
-    def _move(self, u: tuple, p: tuple) -> None:
-        up = min((1 - x) / v if v > 0 else x / -v for x, v in zip(p, u, strict=True) if v)
-        down = min(x / v if v > 0 else (1 - x) / -v for x, v in zip(p, u, strict=True) if v)
-        step = up if self.rng.random() * (up + down) < down else -down
-        for unit, v in zip(self.open, u, strict=True):
-            unit[2] += step * v
-
-    def _settled(self) -> Iterator[tuple]:
-        still = []
-        for unit in self.open:
-            if unit[2] <= EPS or unit[2] >= 1 - EPS:
-                yield unit[0], int(unit[2] >= 0.5)
-            else:
-                still.append(unit)
-        self.open = still
+        self.open.append((key, size))
+        self.p.append(p)
+        while len(self.open) >= POOL:
+            yield from self._step()
+
+    def _step(self, both: bool = True) -> Iterator[tuple]:
+        """Moves along the direction nearest to the largest unit's own that keeps the sum of p * size and, if
+        ``both``, of p."""
+        size = np.array([s for _, s in self.open], float)
+        p = np.array(self.p)
+        u = np.zeros(len(p))
+        u[size.argmax()] = 1.0
+        if both:
+            size -= size.mean()
+            u -= u.mean()
+        norm = size @ size
+        if norm > EPS:
+            u -= size * (size @ u / norm)
+        if np.abs(u).max() <= EPS:  # the largest cannot move: all sizes but its own are equal
+            u = np.zeros(len(p))
+            u[np.argsort(size)[:2]] = (1.0, -1.0)
+        live = np.abs(u) > EPS
+        up = np.where(u > 0, 1 - p, p)[live] / np.abs(u[live])
+        down = np.where(u > 0, p, 1 - p)[live] / np.abs(u[live])
+        rise, fall = up.min(), down.min()
+        p += u * (rise if self.rng.random() * (rise + fall) < fall else -fall)
+        done = (p <= EPS) | (p >= 1 - EPS)
+        if not done.any():  # rounding: what stopped the step is settled
+            done[np.minimum(p, 1 - p).argmin()] = True
+        for i in np.flatnonzero(done).tolist():
+            yield self.open[i][0], int(p[i] >= 0.5)
+        keep = np.flatnonzero(~done).tolist()
+        self.open = [self.open[i] for i in keep]
+        self.p = p[keep].tolist()
 
     def land(self) -> Iterator[tuple]:
-        """Settles what is left: first by words alone, then the last unit by its own fraction."""
-        if len(self.open) == 2:
-            (_, a, pa), (_, b, pb) = self.open
-            self._move((b, -a) if a or b else (1.0, -1.0), (pa, pb))
-            yield from self._settled()
-        for key, _, p in self.open:
-            yield key, int(self.rng.random() < p)
-        self.open = []
+        """Settles what is left: by words alone down to LANDING units, and of these the choice whose words come
+        nearest to what is expected of them; of equal ones the likeliest."""
+        while len(self.open) > LANDING:
+            yield from self._step(both=False)
+        if self.open:
+            size, p = np.array([s for _, s in self.open], float), np.array(self.p)
+            choices = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+            off = np.abs(choices @ size - p @ size)
+            odds = np.log(np.where(choices, p, 1 - p)).sum(axis=1)
+            best = choices[np.lexsort((-odds, np.round(off, 6)))[0]]
+            for (key, _), taken in zip(self.open, best.tolist(), strict=True):
+                yield key, taken
+        self.open, self.p = [], []
 
 
 def fly(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
     """One round over rows (source, block, tie, doc_id, size, p); each group of ``keys`` is a flight.
 
     Adds ``p`` as it is after the round; in the last round the rest lands. Larger documents go first, so
-    that what is left over is small. A task streams over its sorted rows and holds two units a group.
+    that what is left over is small. A task streams over its sorted rows and holds one pool.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys, F.desc("size"), "tie", "doc_id", "p")
@@ -141,7 +163,7 @@ def fly(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
             return []
         if landing:
             return [(*k, float(v)) for k, v in flight.land()]
-        return [(*key, p) for key, _, p in flight.open]
+        return [(*key, p) for (key, _), p in zip(flight.open, flight.p, strict=True)]
 
     def frame(rows: list) -> pd.DataFrame:
         df = pd.DataFrame(rows, columns=columns)
@@ -161,12 +183,21 @@ def mix_sizes(sizes: DataFrame, most: float = MOST, weights: tuple[int, ...] = W
     plan = targets.join(counts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.select(F.col("source").alias("_s"), "source_size", "target", "rate", F.ceil(F.col("_n") / block).alias("_blocks"))
+    # A few dozen bytes a source: broadcast up to BROADCAST_SOURCES of them, so that a hot source stays dealt out.
+    plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
     rows = sizes.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("whole", F.floor(F.col("rate") + EPS)).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    units = rows.select("source", F.pmod(F.xxhash64("doc_id", "tie"), F.col("_blocks")).alias("block"), "tie", "doc_id", "size", "p")
-    first = durable(fly(units, ["source", "block"], last=False))
+    dealt = F.pmod(F.xxhash64("doc_id", "tie"), F.col("_blocks"))
+    open_ = rows.select("source", dealt.alias("block"), "tie", "doc_id", "size", "p")
     settled = (F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)
-    final = first.where(settled).union(fly(first.where(~settled), ["source"], last=True))
+    final, blocks = None, rows.agg(F.max("_blocks")).first()[0] or 0
+    while blocks > 1:  # what POOL leaves of each block flies again, in fewer blocks
+        flown = durable(fly(open_, ["source", "block"], last=False))
+        final = flown.where(settled) if final is None else final.union(flown.where(settled))
+        blocks = -(-blocks * POOL // block)
+        open_ = flown.where(~settled).withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(blocks)), F.lit(blocks)))
+    last = fly(open_, ["source"], last=True)
+    final = last if final is None else final.union(last)
     taken = final.groupBy("doc_id", "tie", "source", "size").agg(F.sort_array(F.collect_list(F.col("p").cast("int"))).alias("extra"))
     # Repeated rows are told apart by their number only.
     keys = ["doc_id", "tie", "source", "size"]
