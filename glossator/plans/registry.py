@@ -598,6 +598,21 @@ def review_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rr.review_references(cited_in(spark, sf_dir), catalog_in(spark, sf_dir), cfg).stats
 
 
+def both_stubs(prompt: str, model: str, max_tokens: int) -> tuple[str, int, int]:
+    mine = ("ENTRY:", "END OF A PAPER", "REFERENCES:\n")
+    return reference_stub(prompt, model, max_tokens) if any(m in prompt[:40] for m in mine) else stub(prompt, model, max_tokens)
+
+
+@query()
+def review_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole papers: the local method and the check of references, with their cost."""
+    from glossator.plans import corpus
+
+    cfg = me.ReviewConfig(both_stubs, Ledger(spark, fresh_path(spark, "ledger-corpus")), ChatOptions(wait=lambda s: None), "2026-01-02")
+    papers = corpus.review_corpus(cited_in(spark, sf_dir), cfg, "local", catalog_in(spark, sf_dir)).papers
+    return papers.select("doc_id", "slug", "title", F.size("paragraphs").alias("n_paragraphs"), F.explode("methods").alias("key", "m")).select("doc_id", "slug", "title", "n_paragraphs", "key", "m.label", F.size("m.comments").alias("n_comments"), "m.cost_usd", "m.prompt_tokens")
+
+
 @query()
 def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read from a source's answers."""

@@ -228,3 +228,20 @@ def fetch(urls: DataFrame, get, url: str = "url") -> DataFrame:
             yield pd.DataFrame(rows, columns=["url", "media_type", "content", "error"])
 
     return urls.select(F.col(url).alias("url")).mapInPandas(run, "url string, media_type string, content binary, error string")
+
+
+def parse_fetched(fetched: DataFrame, pdf_pages=None) -> DataFrame:
+    """url, format, title, text, was_ocr, error of what ``fetch`` brought: by the URL's extension or the media type,
+    else as a web page if it is one or does not say."""
+    from glossator.sources.html import parse_pages
+
+    mime = F.lower(trim(F.substring_index("media_type", ";", 1)))
+    rows = fetched.withColumn("format", detect_format(F.col("url"), F.col("media_type"))).withColumn("_mime", mime)
+    failed = rows.where("content is null").select("url", "format", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("was_ocr"), F.coalesce("error", F.lit("no content")).alias("error"))
+    got = rows.where("content is not null")
+    files = parse_files(got.where("format is not null").select(F.col("url").alias("path"), "format", "content"), pdf_pages).withColumnRenamed("path", "url")
+    is_page = F.col("_mime").isNull() | F.col("_mime").isin("", "text/html", "application/xhtml+xml")
+    pages = parse_pages(got.where(F.col("format").isNull() & is_page).select("url", "format", F.decode("content", "UTF-8").alias("html")))
+    pages = pages.select("url", "format", "title", "text", F.lit(False).alias("was_ocr"), "error")
+    other = got.where(F.col("format").isNull() & ~is_page).select("url", "format", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("was_ocr"), F.concat(F.lit("unsupported media type: "), F.col("media_type")).alias("error"))
+    return files.select("url", "format", "title", "text", "was_ocr", "error").unionByName(pages).unionByName(other).unionByName(failed)

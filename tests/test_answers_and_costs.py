@@ -172,3 +172,59 @@ def test_pages():
     assert "gone" in parse_page(PAGE.replace("gone", '<div class="ltx_para">gone</div>'), keep_bibliography=True)[1]
     assert parse_page("<article>Just <br>text<nav>x</nav></article>")[1] == "Just text"
     assert parse_page("nothing")[2] == "no content found"
+
+
+def test_price_book(spark):
+    from glossator.plans.corpus import PriceBook
+
+    now, answers = [0.0], [OSError(), '{"m": {"input_cost_per_token": 1e-6, "output_cost_per_token": 2e-6}}', OSError()]
+
+    def get(source):
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    book = PriceBook(get, 10, lambda: now[0])
+    assert book.prices(spark).count() == len(costs.PRICES)
+    assert book.prices(spark).count() == len(costs.PRICES) + 1
+    now[0] = 20.0
+    assert book.prices(spark).count() == len(costs.PRICES) + 1 and not answers
+    book.clear()
+
+
+def test_review_corpus(spark, tmp_path):
+    from glossator.plans import corpus, registry
+    from glossator.plans.methods import ReviewConfig
+
+    docs = spark.createDataFrame([(1, "# Paper\n\n" + "one sentence. " * 30, False), (2, "", True)], "doc_id long, text string, was_ocr boolean")
+    cfg = ReviewConfig(registry.stub, lg.Ledger(spark, str(tmp_path / "l")), lg.ChatOptions(wait=lambda s: None), "2026-01-02")
+    out = corpus.review_corpus(docs, cfg, "progressive")
+    papers = {r.doc_id: r for r in out.papers.collect()}
+    assert sorted(papers[1].methods) == ["progressive__gpt-5-mini", "progressive_original__gpt-5-mini"]
+    assert papers[1].methods["progressive__gpt-5-mini"].prompt_tokens > 0
+    calls = cfg.ledger.table().count()
+    corpus.review_corpus(docs, cfg, "progressive").papers.collect()
+    assert cfg.ledger.table().count() == calls
+    assert {r.stage for r in corpus.progress(cfg.ledger).collect()} >= {"deep_check", "summary", "feedback"}
+    corpus.write_json(out.papers, str(tmp_path / "json"))
+    assert spark.read.text(str(tmp_path / "json")).count() == 2
+    with pytest.raises(ValueError, match="unknown method"):
+        corpus.review_corpus(docs, cfg, "nope")
+
+
+def test_fetched(spark):
+    from glossator.sources import formats
+
+    def get(url):
+        if "html/" in url:
+            return 404, None, b""
+        if "down" in url:
+            raise OSError("down")
+        return 200, "text/html" if url.endswith("page") else "text/plain", b"<article>Hello</article>" if url.endswith("page") else b"# T\n\nBody"
+
+    urls = spark.createDataFrame([("https://x/a.md",), ("https://x/page",), ("https://x/down",), ("https://arxiv.org/abs/1",)], "url string")
+    got = {r.url: (r.title, r.text, r.error) for r in formats.parse_fetched(formats.fetch(urls, get)).collect()}
+    assert got["https://x/a.md"] == ("T", "# T\n\nBody", None)
+    assert got["https://x/page"][1] == "Hello" and got["https://x/down"][2] == "down"
+    assert got["https://arxiv.org/abs/1"][1].endswith("Body")
