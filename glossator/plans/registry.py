@@ -382,9 +382,9 @@ def candidates_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "ref_index", *rf.CANDIDATE, F.lit("search").alias("matched_by"), "cand_ord")
 
 
-JUDGED = f"""cand AS (SELECT e.doc_id, e.ref_index, e.raw, e.title, e.year, e.doi, c.source AS c_source, c.year AS c_year, coalesce(({n_doi('e.doi')}) = ({n_doi('c.doi')}), false) AS same_doi, {OVERLAP} AS overlap, {YEAR} AS ys, c.source_rank, c.record_id FROM entries e JOIN catalog c ON e.title = c.title),
+JUDGED = f"""cand AS (SELECT e.doc_id, e.ref_index, e.raw, e.title, e.year, e.doi, c.source AS c_source, c.year AS c_year, coalesce(({n_doi('e.doi')}) = ({n_doi('c.doi')}), false) AS same_doi, coalesce(({n_doi('e.doi')}) <> ({n_doi('c.doi')}), false)::INT AS other_doi, {OVERLAP} AS overlap, {YEAR} AS ys, c.source_rank, c.record_id FROM entries e JOIN catalog c ON e.title = c.title),
 ranked AS (SELECT *, CASE WHEN same_doi THEN 1.0 ELSE 0.6 * 1.0 + 0.25 * overlap + 0.15 * ys END AS score FROM cand),
-best AS (SELECT *, (CASE WHEN abs(year - c_year) > 1 THEN 1 ELSE 0 END) + (CASE WHEN overlap < 0.5 THEN 1 ELSE 0 END) AS n_problems FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id, ref_index ORDER BY score DESC, source_rank, record_id) = 1),
+best AS (SELECT *, (CASE WHEN abs(year - c_year) > 1 THEN 1 ELSE 0 END) + (CASE WHEN overlap < 0.5 THEN 1 ELSE 0 END) + other_doi AS n_problems FROM ranked QUALIFY row_number() OVER (PARTITION BY doc_id, ref_index ORDER BY score DESC, source_rank, record_id) = 1),
 judged AS (SELECT e.doc_id, e.ref_index, CASE WHEN b.doc_id IS NULL THEN 'not_found' WHEN n_problems > 0 THEN 'mismatch' ELSE 'verified' END AS status, b.c_source, CASE WHEN b.doc_id IS NULL THEN 1 ELSE n_problems END::INT AS n_problems FROM entries e LEFT JOIN best b USING (doc_id, ref_index))"""
 
 
