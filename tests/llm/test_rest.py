@@ -345,3 +345,24 @@ def test_pipeline(spark):
     final = cp.write_tokens(spark, now, SF).collect()
     assert sorted(r.doc_id for r in final) == sorted(r.doc_id for r in now.collect())
     assert 0 < before.count() <= docs.count()
+
+
+def test_pipeline_edges(spark):
+    """Nulls anywhere, empty and very long texts, repeated rows, extra columns with the operators' own names, no rows."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _first int, _contaminated int, _mix_copies int, size int, taken int, tie int, fp int, score double, found string"
+    extra = (1, 2, 3, 4, 5, 6, 7, 0.5, "x")
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, "one two three", "en", "a", 3, *extra), (1, "one two three", "en", "a", 3, *extra), (2, None, None, None, None, *extra), (None, "four five six seven", "en", None, 1, *extra), (None, None, None, "b", 0, *(None,) * 9), (3, "", "en", "b", 0, *extra), (4, long, "en", "a", 9, *extra), (5, long + " end", "en", "b", 9, *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) <= set(rows), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    kept = [r.doc_id for r in cp.deduplicate(spark, docs, SF).collect()]
+    assert kept.count(1) == 1 and 4 in kept and 5 not in kept and 2 in kept and 3 not in kept
+    assert len(cp.write_tokens(spark, docs, SF).collect()) == len(rows)
+    assert cp.remove_benchmark(spark, docs, SF).count() == len(rows)
