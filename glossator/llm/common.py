@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossator.sources.storage import durable, fresh_path, shared_dir
 
-__all__ = ["SPACE", "WORD", "documents", "durable", "fresh_path", "id_crc", "shared_dir", "spare_name", "worker_cache"]
+__all__ = ["SPACE", "WORD", "documents", "durable", "fresh_path", "id_crc", "shared_dir", "small", "spare_name", "worker_cache"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,3 +42,10 @@ def worker_cache(owner: str) -> dict:
     if getattr(home, "owner", None) != owner:
         home.owner, home.cache = owner, {}
     return home.cache
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at a time; an empty batch stays one."""
+    for b in batches:
+        for i in range(0, max(1, b.num_rows), rows):
+            yield b.slice(i, rows)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import worker_cache
+from glossator.llm.common import small, worker_cache
 
 UNIT = 64
 
@@ -286,7 +286,7 @@ def store_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, n_bytes and media (the stored stream) of every row of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             made = [payload(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([store(s) for _, s in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -321,7 +321,7 @@ def media_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for n, data in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 data = data.as_py()

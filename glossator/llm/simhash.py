@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import durable, spare_name, worker_cache
+from glossator.llm.common import durable, small, spare_name, worker_cache
 from glossator.llm.components import connected_components
 
 SHINGLE = 3
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id and fp (the fingerprint's 64 bits as a signed long) of every row of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 

@@ -32,7 +32,7 @@ MAGIC = b"GTS1"
 TRAILER = "<4sBIIII"
 TRAILER_SIZE = struct.calcsize(TRAILER)
 #: Chunks of text that a worker remembers the ids of; the memory is emptied when it is full.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 #: Latin-1 letters in lower case, and the full stop and comma that may follow them.
 LETTERS = re.compile(b"[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 MARKS = (b".", b",")
