@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import durable, worker_cache
+from glossator.llm.common import durable, small, worker_cache
 
 LENGTH = 200
 GRAM = 64
@@ -132,7 +132,9 @@ def utf8(texts: pa.Array) -> list[bytes]:
 
 
 # A segment's place is one long: first window's start, number of windows (12 bits), offset of the anchor (12 bits).
-SEGMENT = "gram long, content long, doc_id long, tie int, place long"
+# Its state: 0, known to be a repeat and of no further use; 1, to be judged; 2, known to be a repeat and to be
+# judged for the others.
+SEGMENT = "gram long, content long, doc_id long, tie int, place long, state byte"
 KEY = ["doc_id", "tie"]
 
 
@@ -142,10 +144,14 @@ def batch_of(schema: str, *columns) -> pa.RecordBatch:
 
 
 def segment_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """All segments of the texts of ``keyed`` (doc_id, tie, text)."""
+    """All segments of the texts of ``keyed`` (doc_id, tie, text).
+
+    Equal segments of a block are combined before anything is shuffled: one of them stands for all, and the
+    others are dealt out anywhere, so that a hot gram has a row for each block at most and content.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             for data, ends, number, offset in blocks(utf8(b.column(2)), length):
                 found = segments(data, ends, length, gram)
                 if found is None:
@@ -154,7 +160,15 @@ def segment_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 k = np.searchsorted(ends, lo, "right")
                 start = lo - np.concatenate([[0], ends[:-1]])[k] + offset[k]
                 who = pa.array(number[k])
-                yield batch_of(SEGMENT, g.view(np.int64), c.view(np.int64), b.column(0).take(who), b.column(1).take(who), start << 24 | (hi - lo + 1) << 12 | (a - lo))
+                state = np.ones(len(g), np.int8)
+                o = np.lexsort((c, g))
+                again = np.zeros(len(g) + 1, bool)  # equal to the one before, in this order
+                again[1:-1] = (g[o[1:]] == g[o[:-1]]) & (c[o[1:]] == c[o[:-1]])
+                state[o[again[1:]]] = 2
+                state[o[again[:-1]]] = 0
+                anywhere = mixed(c + (start.astype(np.uint64) + who.to_numpy().astype(np.uint64) * np.uint64(BASE)))
+                g = np.where(state == 0, anywhere, g)
+                yield batch_of(SEGMENT, g.view(np.int64), c.view(np.int64), b.column(0).take(who), b.column(1).take(who), start << 24 | (hi - lo + 1) << 12 | (a - lo), state)
 
     return keyed.mapInArrow(run, SEGMENT)
 
@@ -188,7 +202,7 @@ def classified(rows: DataFrame) -> DataFrame:
         same[1:-1] = g[1:] == g[:-1]
         equal[1:-1] = same[1:-1] & (c[1:] == c[:-1])
         up, eq_up, down, eq_down = same[:-1], equal[:-1], same[1:], equal[1:]
-        whole = eq_up | eq_down
+        whole = eq_up | eq_down | (t.column(5).to_numpy() != 1)
         beside = (up & ~eq_up) | (down & ~eq_down)
         for kind, found in ((0, whole), (1, beside)):
             pick = np.flatnonzero(found[start:end]) + start
@@ -196,7 +210,7 @@ def classified(rows: DataFrame) -> DataFrame:
                 took = t.take(pa.array(pick)).combine_chunks()
                 yield batch_of(f"kind byte, {SEGMENT}", np.full(len(pick), kind, np.int8), *(x.chunk(0) for x in took.columns))
 
-    return dealt.mapInArrow(run, f"kind byte, {SEGMENT}").drop("content")
+    return dealt.mapInArrow(run, f"kind byte, {SEGMENT}").drop("content", "state")
 
 
 # --- segments that are alike in part --------------------------------------------------------------
@@ -221,7 +235,7 @@ def pieces(keyed: DataFrame, mixed_rows: DataFrame, length: int) -> DataFrame:
     its hash as the gram, for they are too many to be held together."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = utf8(b.column(2))
             cold, warm = [], []
             for k, (text, found) in enumerate(zip(texts, b.column(3).to_pylist(), strict=True)):
@@ -231,14 +245,14 @@ def pieces(keyed: DataFrame, mixed_rows: DataFrame, length: int) -> DataFrame:
             if cold:
                 k, g, p, data = zip(*cold, strict=True)
                 who = pa.array(k)
-                yield batch_of(PIECE, pa.array([False] * len(k)), pa.array(g), pa.array([0] * len(k)), b.column(0).take(who), b.column(1).take(who), pa.array(p), pa.array(data, pa.binary()))
+                yield batch_of(PIECE, pa.array([False] * len(k)), pa.array(g), pa.array([0] * len(k)), b.column(0).take(who), b.column(1).take(who), pa.array(p), np.ones(len(k), np.int8), pa.array(data, pa.binary()))
             for k, g, p, data in warm:
                 h = Hashed(data).all(length)
                 at = (p >> 24) + np.arange(len(h))
                 off = (p & 4095) - np.arange(len(h))
                 one = mixed(h ^ (np.uint64(g & MASK) + off.astype(np.uint64) * np.uint64(BASE)))
                 who = pa.array(np.full(len(h), k))
-                yield batch_of(PIECE, pa.array(np.ones(len(h), bool)), one.view(np.int64), np.zeros(len(h), np.int64), b.column(0).take(who), b.column(1).take(who), at << 24 | 1 << 12, pa.nulls(len(h), pa.binary()))
+                yield batch_of(PIECE, pa.array(np.ones(len(h), bool)), one.view(np.int64), np.zeros(len(h), np.int64), b.column(0).take(who), b.column(1).take(who), at << 24 | 1 << 12, np.ones(len(h), np.int8), pa.nulls(len(h), pa.binary()))
 
     found = by_document(mixed_rows, F.struct("gram", "place", "hot"))
     return with_found(keyed, found, "inner").mapInArrow(run, PIECE)
@@ -328,7 +342,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     cut = pieces(keyed, part.select("gram", *KEY, "place", flag.alias("hot")), length)
     if any_hot:
         cut = durable(cut)
-        windows = classified(cut.where("hot").select("gram", "content", *KEY, "place"))
+        windows = classified(cut.where("hot").select("gram", "content", *KEY, "place", "state"))
         ranges = ranges.union(windows.where("kind = 0").select(*span))
     return ranges.union(compared(cut.where("not hot"), length))
 
@@ -348,7 +362,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = by_document(ranges, F.struct("lo", "hi"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = []
             for data, spans in zip(utf8(b.column(2)), b.column(3).to_pylist(), strict=True):
                 kept, at, n = [], 0, 0
