@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossator.sources.storage import durable, fresh_path, shared_dir
 
-__all__ = ["SPACE", "WORD", "documents", "durable", "fresh_path", "id_crc", "shared_dir", "small", "spare_name", "worker_cache"]
+__all__ = ["SPACE", "WORD", "documents", "durable", "fresh_path", "id_crc", "lots", "shared_dir", "small", "spare_name", "worker_cache"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +49,15 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
     for b in batches:
         for i in range(0, max(1, b.num_rows), rows):
             yield b.slice(i, rows)
+
+
+def lots(text: str | bytes, size: int = 1 << 20) -> Iterator[str | bytes]:
+    """The text in pieces of about ``size``, cut before a space, so that of a very long text little is in hand at once."""
+    space, i = (b" " if isinstance(text, bytes) else " "), 0
+    while len(text) - i > size:
+        k = text.find(space, i + size)
+        if k < 0:
+            break
+        yield text[i:k]
+        i = k
+    yield text[i:] if i else text

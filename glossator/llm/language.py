@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import durable, id_crc, worker_cache
+from glossator.llm.common import durable, id_crc, lots, worker_cache
 
 #: Texts that each language's n-grams are learned from, at most; a hash of id and language chooses them.
 SAMPLE = 4_000
@@ -74,16 +74,19 @@ def clean(texts: Iterable[str | None]) -> list[str]:
     return [(t or "").replace("\n", " ") for t in texts]
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """The texts in runs of about BLOCK code points, each with its first one's number."""
-    start, size = 0, 0
+def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in runs of about BLOCK code points, longer ones cut between words: each piece's text number, and the pieces."""
+    owners, held, size = [], [], 0
     for k, t in enumerate(texts):
-        size += len(t)
-        if size >= BLOCK:
-            yield start, texts[start : k + 1]
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+        for piece in lots(t, BLOCK):
+            owners.append(k)
+            held.append(piece)
+            size += len(piece)
+            if size >= BLOCK:
+                yield owners, held
+                owners, held, size = [], [], 0
+    if held:
+        yield owners, held
 
 
 @dataclass
@@ -124,27 +127,21 @@ class LanguageFilter:
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and score of each text: the share that the best corrected count has among all."""
-        out: list[tuple[str, float]] = []
         width = self.table.dtype.itemsize * 8
-        for _, part in blocks(texts):
-            h, owner, letters = grams(part)
-            n = np.bincount(owner, minlength=len(part)).astype(float)
+        letters, n = np.zeros(len(texts)), np.zeros(len(texts))
+        hits = np.zeros((len(texts), max(1, len(self.languages))))
+        for owners, part in blocks(texts):
+            h, owner, own_letters = grams(part)
+            np.add.at(letters, owners, own_letters)
+            np.add.at(n, owners, np.bincount(owner, minlength=len(part)))
             masks = self.masks(h)
-            hits = np.zeros((len(part), max(1, len(self.languages))))
-            for i, rate in enumerate(self.rates):
+            for i in range(len(self.languages)):
                 found = (masks[:, i // width] >> masks.dtype.type(i % width)) & masks.dtype.type(1)
-                count = np.bincount(owner, found, minlength=len(part))
-                hits[:, i] = np.maximum(0.0, (count - n * rate) / max(1e-9, 1 - rate))
-            best = hits.argmax(axis=1)
-            top, total = hits.max(axis=1), hits.sum(axis=1)
-            for k in range(len(part)):
-                if not letters[k]:
-                    out.append((UNKNOWN, 0.0))
-                elif not top[k]:
-                    out.append((self.fallback, 0.0))
-                else:
-                    out.append((self.languages[best[k]], float(top[k] / total[k])))
-        return out
+                np.add.at(hits[:, i], owners, np.bincount(owner, found, minlength=len(part)))
+        for i, rate in enumerate(self.rates):
+            hits[:, i] = np.maximum(0.0, (hits[:, i] - n * rate) / max(1e-9, 1 - rate))
+        best, top, total = hits.argmax(axis=1), hits.max(axis=1), hits.sum(axis=1)
+        return [(UNKNOWN, 0.0) if not letters[k] else (self.fallback, 0.0) if not top[k] else (self.languages[best[k]], float(top[k] / total[k])) for k in range(len(texts))]
 
 
 def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageFilter:

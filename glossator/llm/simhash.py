@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import durable, small, spare_name, worker_cache
+from glossator.llm.common import durable, lots, small, spare_name, worker_cache
 from glossator.llm.components import connected_components
 
 SHINGLE = 3
@@ -42,21 +42,24 @@ def fingerprint(text: str | None) -> int:
     """The unsigned fingerprint of one text; zero where there is no word."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= SHINGLE else [b" ".join(words)]
-    of = xxhash.xxh64_intdigest
-    hashes = np.array([of(s, SEED) for s in shingles], "<u8")
-    return majority(hashes)
+    of, held, counts, n = xxhash.xxh64_intdigest, [], np.zeros(64, np.int64), 0
+    for piece in lots((text or "").encode("utf-8", "surrogatepass").lower()):
+        words = held + piece.split()
+        hashes = np.array([of(s, SEED) for s in map(b" ".join, zip(words, words[1:], words[2:]))], "<u8")
+        counts += set_bits(hashes)
+        n += len(hashes)
+        held = words[-(SHINGLE - 1) :]
+    if not n and held:  # fewer words than a shingle has: the whole sequence
+        n, counts = 1, set_bits(np.array([of(b" ".join(held), SEED)], "<u8"))
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes, counted in blocks so that memory stays small."""
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, counted in blocks so that memory stays small."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         counts += np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return counts
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

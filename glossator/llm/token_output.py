@@ -139,13 +139,17 @@ class ChunkEncoder:
         held, which, size = [], [], 0
         for k, t in enumerate(texts):
             raw = self._prepared(t)
-            if raw is not None:
-                held.append(raw)
-                which.append(k)
-                size += len(raw)
-                if size > TOGETHER:
-                    self._chunked(held, which, out)
-                    held, which, size = [], [], 0
+            if raw is None:
+                continue
+            if len(raw) > 2 * TOGETHER:
+                out[k] = self._long(raw)
+                continue
+            held.append(raw)
+            which.append(k)
+            size += len(raw)
+            if size > TOGETHER:
+                self._chunked(held, which, out)
+                held, which, size = [], [], 0
         if held:
             self._chunked(held, which, out)
         whole = [k for k, ids in enumerate(out) if ids is None]
@@ -154,6 +158,22 @@ class ChunkEncoder:
                 out[k] = np.array(e.ids, self.dtype).tobytes()
         return out
 
+    def _long(self, raw: bytes) -> bytes | None:
+        """A long text piece by piece, cut at spaces that no mark follows."""
+        pieces, i = [], 0
+        while i < len(raw):
+            k = raw.find(b" ", i + TOGETHER)
+            while 0 <= k and raw[k + 1 : k + 3] in (b". ", b", "):
+                k = raw.find(b" ", k + 1)
+            z = k + 1 if k >= 0 else len(raw)
+            out: list[bytes | None] = [None]
+            self._chunked([raw[i:z]], [0], out)
+            if out[0] is None:
+                return None
+            pieces.append(out[0])
+            i = z
+        return b"".join(pieces)
+
     def _chunked(self, held: list[bytes], which: list[int], out: list[bytes | None]) -> None:
         if len(self.numbers) > CACHE_ENTRIES:
             self._forget()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossator.llm.common import durable, id_crc, worker_cache
+from glossator.llm.common import durable, id_crc, lots, worker_cache
 
 #: Labelled documents that the model is fitted on, at most; a hash of the id chooses them.
 SAMPLE = 20_000
@@ -116,13 +116,18 @@ class ToxicityModel:
 
     def found(self, text: str | None) -> list[tuple[int, int, float]]:
         """All maximal segments: first token, last token, natural logarithm of the expected number."""
-        tokens = WORDS((text or "").lower())
-        if not tokens:
+        score, places, values, n = self.memo().__getitem__, [], [], 0
+        for piece in lots((text or "").lower()):
+            tokens = WORDS(piece)
+            scores = np.fromiter(map(score, tokens), np.float64, len(tokens))
+            at = np.flatnonzero(scores > 0)
+            places.append(at + n)
+            values.append(scores[at])
+            n += len(tokens)
+        if not n:
             return []
-        scores = np.fromiter(map(self.memo().__getitem__, tokens), np.float64, len(tokens))
-        at = np.flatnonzero(scores > 0)
-        size = math.log(SCALE * len(tokens))
-        return [(a, b, size - self.decay * s) for a, b, s in segments(at, scores[at], DRIFT)]
+        size = math.log(SCALE * n)
+        return [(a, b, size - self.decay * s) for a, b, s in segments(np.concatenate(places), np.concatenate(values), DRIFT)]
 
     def passages(self, text: str | None) -> list[tuple[int, int, float]]:
         """Significant segments: first token, last token, -log10 of the expected number."""

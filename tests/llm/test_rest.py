@@ -286,6 +286,28 @@ def test_encoder_is_exact(spark):
     assert [x for t in texts for x in enc.encode([t])] == expected
 
 
+def test_long_texts_in_pieces(spark, monkeypatch):
+    from glossator.llm import common, simhash
+
+    texts = [r.text for r in sample(spark, "documents").collect()]
+    whole = [simhash.fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "lots", lambda t: common.lots(t, 50))
+    assert [simhash.fingerprint(t) for t in texts] == whole
+    model = toxicity.ToxicityModel(odds={"^the": 3.0, "=anea": 4.0}, decay=1.2)
+    found = [model.found(t) for t in texts]
+    monkeypatch.setattr(toxicity, "lots", lambda t: common.lots(t, 50))
+    assert [model.found(t) for t in texts] == found
+    enc = to.ChunkEncoder(TOKENIZER)
+    ids = enc.encode(texts)
+    monkeypatch.setattr(to, "TOGETHER", 64)
+    assert enc.encode(texts) == ids
+    f = lang.LanguageFilter.build(["a"], [lang.grams(lang.clean(texts[:50]))[0]], "a")
+    said = f.predict(lang.clean(texts))
+    monkeypatch.setattr(lang, "BLOCK", 500)
+    assert [x for x, _ in f.predict(lang.clean(texts))] == [x for x, _ in said]
+    assert "".join(common.lots("a b  c", 1)) == "a b  c" and list(common.lots("", 1)) == [""]
+
+
 def test_encoder_of_another_kind():
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc = to.ChunkEncoder(path)
