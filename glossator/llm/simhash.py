@@ -244,7 +244,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows of one doc_id stand or fall together; of rows that repeat both doc_id and text, one stays. Rows
     without a doc_id stay only where their component has no row with one.
     """
-    found = durable(simhash_components(docs, doc_id, text))
+    return keep_first(docs, simhash_components(docs, doc_id, text), doc_id, text)
+
+
+def keep_first(docs: DataFrame, components: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of docs whose doc_id is their component_id, once where they repeat doc_id and text."""
+    found = durable(components)
     first = found.where("doc_id <=> component_id").select("doc_id").distinct()
     key = spare_name(docs, "_first")
     # The ids are hashed, so the texts need no sort.
