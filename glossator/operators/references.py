@@ -113,25 +113,50 @@ def settles(found: DataFrame, least: float) -> DataFrame:
     return found.where(sim >= least).select(*REF_KEY)
 
 
-def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_share: float = 0.05) -> DataFrame:
+def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_share: float = 0.05, drop_hot: bool = False) -> DataFrame:
     """For each reference and source the ``top_k`` records that share most title words, the rarer the more.
 
-    An inverted index: words of either side meet in an equi-join, weighted by how few records have them. Words
-    in over ``hot_share`` of the records add to a score but cannot make a pair alone, so that they never
-    multiply; a title of such words only is looked up by the whole normalised title.
+    An inverted index: words of either side meet in an equi-join, weighted by how few records have them. All
+    words add to a score. Titles meet by words in up to ``hot_share`` of the records first; where records that
+    share only more frequent words could still be among the ``top_k``, the title meets by these too. Equal
+    normalised titles are searched once, and of records with one only the first ``top_k`` of a source are
+    ranked; neither changes the result. ``drop_hot`` leaves out the frequent words instead, except for titles
+    that are equal as a whole.
     """
     cat = catalog.select(*(F.col(x).alias(f"c_{x}") for x in CANDIDATE), F.col("source_rank").alias("c_rank"), F.col("record_id").alias("c_id"), ct.normal_title(F.col("title")).alias("c_norm"))
     wanted = refs.select(*REF_KEY, ct.normal_title(F.coalesce("title", F.substring("raw", 1, 300))).alias("norm")).where("norm <> ''")
+    norms = wanted.select("norm").distinct()
     n = F.greatest(F.lit(1), F.lit(cat.count()))
     post = cat.select("c_id", F.explode(F.array_distinct(F.split("c_norm", " "))).alias("word"))
-    weight = post.groupBy("word").agg(F.count("*").alias("df")).withColumn("w", F.log(1 + n / F.col("df"))).where((F.col("df") <= F.greatest(F.lit(20), n * hot_share)))
-    asked = wanted.select(*REF_KEY, F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).join(weight, "word")
-    pairs = asked.join(post, "word").groupBy(*REF_KEY, "c_id").agg(F.sum("w").alias("score"))
-    same = wanted.join(cat.select("c_id", F.col("c_norm").alias("norm")), "norm").select(*REF_KEY, "c_id", F.lit(1e9).alias("score"))
-    pairs = pairs.unionByName(same).groupBy(*REF_KEY, "c_id").agg(F.max("score").alias("score"))
-    top = Window.partitionBy(*REF_KEY, "c_rank").orderBy(F.desc("score"), "c_title", "c_id")
-    kept = pairs.join(cat.select("c_id", "c_rank", "c_title"), "c_id").withColumn("k", F.row_number().over(top)).where(F.col("k") <= top_k)
-    return kept.select(*REF_KEY, "c_id", "k").join(cat, "c_id").select(*REF_KEY, *(F.col(f"c_{x}").alias(x) for x in CANDIDATE), F.lit("search").alias("matched_by"), F.col("c_rank").alias("source_rank"), "k")
+    weight = post.groupBy("word").agg(F.count("*").alias("df")).withColumn("w", F.log(1 + n / F.col("df"))).withColumn("hot", F.col("df") > F.greatest(F.lit(20), n * hot_share)).drop("df")
+    if drop_hot:
+        weight = weight.where("not hot")
+    asked = durable(norms.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).join(weight, "word"))
+    titles = durable(cat.select("c_norm").distinct().select("c_norm", F.explode(F.array_distinct(F.split("c_norm", " "))).alias("word")))
+    same = norms.join(cat.select("c_norm", F.col("c_norm").alias("norm")).distinct(), "norm").select("norm", "c_norm", F.lit(1e9).alias("score"))
+    alike = Window.partitionBy("c_rank", "c_norm").orderBy("c_title", "c_id")
+    firsts = durable(cat.select("c_rank", "c_norm", "c_title", "c_id").withColumn("k", F.row_number().over(alike)).where(F.col("k") <= top_k).drop("k"))
+    top = Window.partitionBy("norm", "c_rank").orderBy(F.desc("score"), "c_title", "c_id")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.unionByName(same).groupBy("norm", "c_norm").agg(F.round(F.max("score"), 6).alias("score"))
+        return pairs.join(firsts, "c_norm").withColumn("k", F.row_number().over(top)).where(F.col("k") <= top_k).select("norm", "c_rank", "c_id", "k", "score")
+
+    met = asked.where("not hot").join(titles, "word").select("norm", "c_norm").distinct()
+    rare = met.join(asked, "norm").join(titles, ["c_norm", "word"]).groupBy("norm", "c_norm").agg(F.sum("w").alias("score"))
+    best = durable(ranked(rare))
+    if not drop_hot:
+        bound = asked.groupBy("norm").agg(F.sum(F.when(F.col("hot"), F.col("w")).otherwise(0.0)).alias("bound"))
+        sources = F.lit(cat.select("c_rank").distinct().count())
+        full = best.where(F.col("k") == top_k).join(bound, "norm").where("score > bound + 1e-5").groupBy("norm").agg(F.count("*").alias("full")).where(F.col("full") == sources)
+        open_norms = durable(bound.where("bound > 0").select("norm").join(full, "norm", "left_anti"))
+        # Postings of frequent words are dealt over salts, so that none lands in one task.
+        salted = asked.join(open_norms, "norm", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        by_any = salted.join(titles.withColumn("salt", F.pmod(F.hash("c_norm"), F.lit(16))), ["word", "salt"]).groupBy("norm", "c_norm").agg(F.sum("w").alias("score"))
+        again = ranked(by_any).join(open_norms, "norm", "left_semi")
+        best = best.join(open_norms, "norm", "left_anti").unionByName(again)
+    kept = wanted.join(best, "norm").select(*REF_KEY, "c_id", "k")
+    return kept.join(cat, "c_id").select(*REF_KEY, *(F.col(f"c_{x}").alias(x) for x in CANDIDATE), F.lit("search").alias("matched_by"), F.col("c_rank").alias("source_rank"), "k")
 
 
 def dedupe_candidates(candidates: DataFrame) -> DataFrame:
