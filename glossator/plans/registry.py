@@ -360,13 +360,19 @@ wt AS (SELECT word, ln(1 + n / count(*)) AS w FROM post, n GROUP BY word, n HAVI
 s AS (SELECT doc_id, ref_index, record_id, max(score) AS score FROM (SELECT doc_id, ref_index, record_id, sum(w) AS score FROM q JOIN wt USING (word) JOIN post USING (word) GROUP BY ALL UNION ALL SELECT doc_id, ref_index, record_id, 1e9 FROM e JOIN c USING (norm)) GROUP BY ALL),
 r AS (SELECT doc_id, ref_index, source_rank, record_id, row_number() OVER (PARTITION BY doc_id, ref_index, source_rank ORDER BY round(score, 6) DESC, title, record_id) AS k FROM s JOIN c USING (record_id)) SELECT doc_id, ref_index, source_rank, count(*) AS n, max(CASE WHEN k = 1 THEN record_id END) AS best FROM r WHERE k <= 5 GROUP BY ALL""")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search as its SQL states it, without frequent words and for the first documents."""
+    """The search as its SQL states it, without frequent words and for the first documents; search_all has all."""
     found = rf.title_search(entries_in(spark, sf_dir).where("doc_id < 20"), catalog_in(spark, sf_dir), drop_hot=True)
     ids = catalog_in(spark, sf_dir).select("source", "url", "record_id")
     named = found.join(ids, ["source", "url"])
     return named.groupBy("doc_id", "ref_index", "source_rank").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 1, F.col("record_id"))).alias("best"))
 
 
+@query()
+def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search for every reference by all words of its title."""
+    return rf.title_search(entries_in(spark, sf_dir), catalog_in(spark, sf_dir)).select("doc_id", "ref_index", "source_rank", "k", "title", "url")
+
+
 @query(f"""WITH {ENTRIES}, {CATALOG}, x AS (SELECT e.doc_id, e.ref_index, c.source, c.title, c.year, coalesce({n_doi('c.doi')}, {n_title('c.title')} || '|' || c.year) AS key, row_number() OVER (PARTITION BY e.doc_id, e.ref_index ORDER BY c.source_rank, c.record_id) - 1 AS cand_ord FROM entries e JOIN catalog c ON e.title = c.title)
 SELECT doc_id, ref_index, source, title, year, cand_ord::INT AS cand_ord FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, ref_index, key ORDER BY cand_ord) = 1""")
 def dedupe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
