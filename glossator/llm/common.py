@@ -6,7 +6,9 @@ import sys
 import types
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,34 @@ def worker_cache(owner: str) -> dict:
     return home.cache
 
 
-def small(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that few texts are Python objects at a time; an empty batch stays one."""
+#: Bytes of a slice, about, and rows at most.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
+
+
+def weights(b: pa.RecordBatch) -> np.ndarray:
+    """About how many bytes each row of the batch has in its texts and lists."""
+    out = np.full(b.num_rows, 16, np.int64)
+    for c in b.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            out += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
+            out += 32 * pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes, one row at least, so that few texts are Python objects at a
+    time; an empty batch stays one."""
     for b in batches:
-        for i in range(0, max(1, b.num_rows), rows):
-            yield b.slice(i, rows)
+        if not b.num_rows:
+            yield b
+            continue
+        ends, i = np.cumsum(weights(b)), 0
+        while i < b.num_rows:
+            j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right"))
+            j = min(max(j, i + 1), i + rows)
+            yield b.slice(i, j - i)
+            i = j
 
 
 def lots(text: str | bytes, size: int = 1 << 20) -> Iterator[str | bytes]:

@@ -9,7 +9,10 @@ They depend on the content only, and about one byte in seventy is one.
 Windows in a row with one anchor are a segment. A segment has the anchor's gram, by which equal windows
 meet, and the hash of all that its windows cover. The segments of a gram are sorted by that hash and
 neighbours compared: equal ones are repeats as a whole; one whose gram alone is elsewhere may share some
-windows, and these are compared by their bytes. A gram that is nowhere else settles all its windows.
+windows, and these are compared one by one. A gram that is nowhere else settles all its windows.
+
+Strings are compared by hashes of 64 bits, and only within one gram (its own 64 bits): two strings are taken
+for equal by mistake with a chance of 2^-64 for each pair of different segments of one gram.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from glossator.llm.common import durable, small, worker_cache
 LENGTH = 200
 GRAM = 64
 #: Texts are hashed together in blocks of about so many bytes; longer texts are cut with overlap.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Segments of one gram that are compared in one go; more are compared offset by offset.
 TOGETHER = 4096
+#: Repeats that a task remembers having sent on, at most.
+REMEMBERED = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -147,10 +152,12 @@ def segment_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """All segments of the texts of ``keyed`` (doc_id, tie, text).
 
     Equal segments of a block are combined before anything is shuffled: one of them stands for all, and the
-    others are dealt out anywhere, so that a hot gram has a row for each block at most and content.
+    others are dealt out anywhere. A task remembers the repeats that it found so, and sends no further one on:
+    a content that is in most blocks costs its gram a row a task.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.empty(0, np.uint64)  # hashes of gram and content
         for b in small(batches):
             for data, ends, number, offset in blocks(utf8(b.column(2)), length):
                 found = segments(data, ends, length, gram)
@@ -166,6 +173,11 @@ def segment_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 again[1:-1] = (g[o[1:]] == g[o[:-1]]) & (c[o[1:]] == c[o[:-1]])
                 state[o[again[1:]]] = 2
                 state[o[again[:-1]]] = 0
+                both = mixed(c ^ (g * np.uint64(BASE)))
+                if len(sent):
+                    state[sent[np.minimum(np.searchsorted(sent, both), len(sent) - 1)] == both] = 0
+                if len(sent) < REMEMBERED and (state == 2).any():
+                    sent = np.union1d(sent, both[state == 2])
                 anywhere = mixed(c + (start.astype(np.uint64) + who.to_numpy().astype(np.uint64) * np.uint64(BASE)))
                 g = np.where(state == 0, anywhere, g)
                 yield batch_of(SEGMENT, g.view(np.int64), c.view(np.int64), b.column(0).take(who), b.column(1).take(who), start << 24 | (hi - lo + 1) << 12 | (a - lo), state)
@@ -252,7 +264,7 @@ def pieces(keyed: DataFrame, mixed_rows: DataFrame, length: int) -> DataFrame:
                 off = (p & 4095) - np.arange(len(h))
                 one = mixed(h ^ (np.uint64(g & MASK) + off.astype(np.uint64) * np.uint64(BASE)))
                 who = pa.array(np.full(len(h), k))
-                yield batch_of(PIECE, pa.array(np.ones(len(h), bool)), one.view(np.int64), np.zeros(len(h), np.int64), b.column(0).take(who), b.column(1).take(who), at << 24 | 1 << 12, np.ones(len(h), np.int8), pa.nulls(len(h), pa.binary()))
+                yield batch_of(PIECE, pa.array(np.ones(len(h), bool)), one.view(np.int64), h.view(np.int64), b.column(0).take(who), b.column(1).take(who), at << 24 | 1 << 12, np.ones(len(h), np.int8), pa.nulls(len(h), pa.binary()))
 
     found = by_document(mixed_rows, F.struct("gram", "place", "hot"))
     return with_found(keyed, found, "inner").mapInArrow(run, PIECE)
@@ -286,10 +298,7 @@ def compared(cold: DataFrame, length: int) -> DataFrame:
         if t.num_rows < 2:
             return
         g, place = t.column(0).to_numpy().view(np.uint64), t.column(3).to_numpy()
-        data = t.column(4).to_pylist()
-        start = np.concatenate([[0], np.cumsum([len(d) for d in data])])[:-1]
         count, off = (place >> 12) & 4095, place & 4095
-        hashed = Hashed(b"".join(data))
         widest = int(off.max()) + 1
         step = max(1, widest * TOGETHER // max(TOGETHER, t.num_rows))
         for low in range(0, widest, step):  # windows whose anchor lies low to low + step - 1 bytes in
@@ -299,8 +308,8 @@ def compared(cold: DataFrame, length: int) -> DataFrame:
             if not len(row):
                 continue
             j = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
-            w = start[row] + j
-            key = mixed(hashed.of(w, w + length) ^ (g[row] + (off[row] - j).astype(np.uint64) * np.uint64(BASE)))
+            h = np.concatenate([window_hashes(t, i, row, j) for i in range(0, t.num_rows, TOGETHER // 4)])
+            key = mixed(h ^ (g[row] + (off[row] - j).astype(np.uint64) * np.uint64(BASE)))
             o = np.argsort(key, kind="stable")
             same = key[o[1:]] == key[o[:-1]]
             hit = np.zeros(len(key), bool)
@@ -315,6 +324,14 @@ def compared(cold: DataFrame, length: int) -> DataFrame:
             lo = (place[row[h[new]]] >> 24) + j[h[new]]
             yield batch_of(out_schema, *(t.column(i).take(who).combine_chunks() for i in (1, 2)), lo, lo + (j[h[end]] - j[h[new]]) + length)
 
+    def window_hashes(t: pa.Table, i: int, row: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that lie in a lot of segments from the i-th on; few bytes are hashed together."""
+        data = t.column(4).slice(i, TOGETHER // 4).to_pylist()
+        start = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+        mine = slice(*np.searchsorted(row, (i, i + len(data))).tolist())
+        w = start[row[mine] - i] + j[mine]
+        return Hashed(b"".join(data)).of(w, w + length)
+
     return dealt.mapInArrow(run, out_schema)
 
 
