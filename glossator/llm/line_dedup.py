@@ -1,10 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
 Grams of ``gram`` lines in a row are hashed, and from each window of ``window`` grams the least is selected
-(the last of equal ones). Two equal runs of ``gram + window - 1`` lines select the same gram, so any repeated
-run of that length, the guarantee, has a fingerprint in common with its first occurrence. Fingerprints with
-equal surroundings meet at their first occurrence; each meeting extends to the left and right over the lines
-of the guarantee, longer runs are chains of such meetings, and lines of runs that occurred before are deleted.
+(the last of equal ones). Only the positions that some window selects are kept, about two in ``window + 1``.
+Two equal runs of ``gram + window - 1`` lines, the guarantee, select the same gram at the same place, so they
+have a fingerprint in common. Positions whose fingerprint is nowhere else are dropped. The others are joined,
+and each match is extended to the left and right: first over the lines of each window that selected the
+fingerprint, which tells true repeats from equal grams in other surroundings; beyond the guarantee the
+windows of the next fingerprints go on, so that runs that overlap or touch are one maximal run. The lines of
+runs that occurred before are deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import spare_name
+from glossator.llm.common import durable, spare_name
 
 GRAM, WINDOW = 2, 2
 
@@ -21,37 +24,45 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def anchors(keyed: DataFrame, gram: int, window: int) -> DataFrame:
-    """For each run of gram + window - 1 lines: doc_id, tie, at (its first line), the fingerprint that it selects,
-    the fingerprint's place in it, and the hash of its lines."""
+def selected(keyed: DataFrame, gram: int, window: int) -> DataFrame:
+    """One row for each position that winnowing selects: doc_id, tie, at (its first line), fp (the gram's hash) and
+    runs, for each window that selects it ``left``, how many of the run's lines lie before ``at``, and ``run``,
+    the hash of the run's lines.
+
+    The arrays are columns of their own and each is used twice, so that none is computed anew for each element.
+    """
     reach = gram + window - 1
-    hashes = F.transform(F.col("lines"), lambda x: F.xxhash64(x))
-    rows = keyed.select("doc_id", "tie", hashes.alias("h")).where(F.size("h") >= reach)
+    rows = keyed.select("doc_id", "tie", F.transform("lines", lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= reach)
+    line = lambda i: F.element_at("h", i + 1)
+    grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(*(line(i + k) for k in range(gram))))
+    rows = rows.select("doc_id", "tie", "h", grams.alias("g"))
+    # The least of each window; of equal hashes the one with the least -k, which is the last.
+    least = lambda s: s - F.array_min(F.array(*(F.struct(F.element_at("g", s + k + 1).alias("fp"), F.lit(-k).alias("k")) for k in range(window)))).k
+    rows = rows.select("doc_id", "tie", "h", "g", F.transform(F.sequence(F.lit(0), F.size("g") - window), least).alias("chosen"))
 
-    def run(i: Column) -> Column:
-        own = [F.element_at("h", i + 1 + k) for k in range(reach)]
-        grams = [F.struct(F.xxhash64(*own[k : k + gram]).alias("fp"), F.lit(-k).alias("place")) for k in range(window)]
-        least = F.array_min(F.array(*grams))  # of equal hashes the one with the least -k, which is the last
-        return F.struct(i.alias("at"), least.fp.alias("fp"), (-least.place).alias("place"), F.xxhash64(F.lit(reach), *own).alias("run"))
+    def position(at: Column) -> Column:
+        left = F.filter(F.array(*map(F.lit, range(window))), lambda e: (e <= at) & F.coalesce(F.get("chosen", at - e) == at, F.lit(False)))
+        runs = F.transform(left, lambda e: F.struct(e.alias("left"), F.xxhash64(F.lit(reach), *(line(at - e + k) for k in range(reach))).alias("run")))
+        return F.struct(at.alias("at"), F.element_at("g", at + 1).alias("fp"), runs.alias("runs"))
 
-    at = F.sequence(F.lit(0), F.size("h") - reach)
-    return rows.select("doc_id", "tie", F.explode(F.transform(at, run)).alias("a")).select("doc_id", "tie", "a.*")
+    return rows.select("doc_id", "tie", F.explode(F.transform(F.array_distinct("chosen"), position)).alias("p")).select("doc_id", "tie", "p.*")
 
 
-def repeated_lines(keyed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """doc_id, tie, gone: the numbers of the lines, from 0, that a run deletes that occurred before.
+def repeated_runs(keyed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """doc_id, tie, starts: where, in lines from 0, runs of gram + window - 1 lines begin that occurred before.
 
     Runs come in order of (doc_id, hash of the text, line), a null doc_id last.
     """
-    reach = gram + window - 1
-    found = anchors(keyed, gram, window)
-    key = ["fp", "place", "run"]
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie", "at")
-    # One row for each meeting, pre-aggregated: a hot fingerprint is one row a task.
-    first = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first, key).where(~place.eqNullSafe(F.col("first")))
-    gone = F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + (reach - 1)))))
-    return later.groupBy("doc_id", "tie").agg(gone.alias("gone"))
+    found = durable(selected(keyed, gram, window))
+    # Counts are pre-aggregated; of a hot fingerprint each task sends one row. Skewed joins are split by AQE.
+    again = found.groupBy("fp").count().where("count > 1").select("fp")
+    met = found.join(again, "fp", "left_semi").select("doc_id", "tie", "at", "fp", F.explode("runs").alias("r"))
+    met = met.select("doc_id", "tie", (F.col("at") - F.col("r.left")).alias("start"), "fp", "r.left", "r.run")
+    key = ["fp", "left", "run"]
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie", "start")
+    first = met.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = met.join(first, key).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("start")).alias("starts"))
 
 
 def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -59,27 +70,30 @@ def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     A run of ``gram + window - 1`` lines or more that occurred before, in an earlier document or earlier in
     the same one, goes; shorter repeats stay. Runs are judged on the input, and may overlap themselves. Lines
-    end at LF; a null text has no lines and stays null; the empty text is one empty line; rows that repeat
-    doc_id and text are one document and all get its result; an empty table gives no rows. If docs has
-    columns of those names already, the new ones get a longer name.
+    are compared by 64-bit hashes, runs by two of them. Lines end at LF; a null text has no lines and stays
+    null; the empty text is one empty line; rows that repeat doc_id and text are one document and all get its
+    result; an empty table gives no rows. If docs has columns of those names already, the new ones get a
+    longer name. Work is in proportion to the lines, in one long text too.
     """
+    reach = gram + window - 1
     total, removed = spare_name(docs, "n_lines"), spare_name(docs, "n_removed")
     tie = F.xxhash64(F.col(text))
     keyed = docs.select(F.col(doc_id).alias("doc_id"), tie.alias("tie"), lines_of(F.col(text)).alias("lines")).where("lines is not null")
-    gone = repeated_lines(keyed.dropDuplicates(["doc_id", "tie"]) if has_repeats(docs, doc_id, tie) else keyed, gram, window)
-    names = {c: spare_name(docs, f"_gone_{c}") for c in gone.columns}
-    # The lists of lines are hashed, so the texts need no sort.
-    gone = gone.select(*(F.col(c).alias(n) for c, n in names.items())).hint("shuffle_hash")
+    runs = repeated_runs(keyed.dropDuplicates(["doc_id", "tie"]) if has_repeats(docs, doc_id, tie) else keyed, gram, window)
+    names = {c: spare_name(docs, f"_gone_{c}") for c in (*runs.columns, "lines", "gaps")}
+    starts, lines, gaps = (F.col(names[c]) for c in ("starts", "lines", "gaps"))
+    # The lists of starts are hashed, so the texts need no sort.
+    runs = runs.select(*(F.col(c).alias(names[c]) for c in runs.columns)).hint("shuffle_hash")
     on = F.col(doc_id).eqNullSafe(F.col(names["doc_id"])) & tie.eqNullSafe(F.col(names["tie"]))
-    joined = docs.join(gone, on, "left")
-    lines, out = lines_of(F.col(text)), F.col(names["gone"])
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
-    columns = [F.when(out.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*columns, count(lines).alias(total), count(out).alias(removed))
-
-
-def count(array: Column) -> Column:
-    return F.when(array.isNull(), 0).otherwise(F.size(array))
+    joined = docs.join(runs, on, "left").withColumn(names["lines"], lines_of(F.col(text)))
+    # What lies between the end of one run and the start of the next.
+    between = F.zip_with(F.concat(F.array(F.lit(-reach)), starts), F.concat(starts, F.array(F.size(lines))), lambda a, b: F.struct((a + reach).alias("lo"), b.alias("hi")))
+    joined = joined.withColumn(names["gaps"], F.filter(between, lambda g: g.hi > g.lo))
+    kept = F.array_join(F.flatten(F.transform(gaps, lambda g: F.slice(lines, g.lo + 1, g.hi - g.lo))), "\n")
+    n = F.when(lines.isNull(), 0).otherwise(F.size(lines))
+    left = F.aggregate(gaps, F.lit(0), lambda a, g: a + g.hi - g.lo)
+    columns = [F.when(starts.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
+    return joined.select(*columns, n.alias(total), F.when(starts.isNull(), 0).otherwise(n - left).alias(removed))
 
 
 def has_repeats(docs: DataFrame, doc_id: str, tie: Column) -> bool:
