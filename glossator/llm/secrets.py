@@ -1,10 +1,10 @@
-"""Secret scan with a trigram index. DataFrame operations only.
+"""Secret scan with a trigram inverted index. DataFrame operations only.
 
 From each rule's regular expression a Boolean query over trigrams is derived that every matching text
-satisfies. The index holds, for each trigram that any query asks for, which documents have it: one bit a
-document, kept beside the document's row, so postings are intersected where the text already is and no text
-is moved. Texts that satisfy a rule's query are searched for its expression; rules whose expression has no
-mandatory trigram search all texts.
+satisfies. One pass over each text takes out those of its trigrams that some query asks for; turned round they
+are the index, a table of postings: trigram, document. The queries are answered on that table alone, by
+intersecting the postings of each alternative's trigrams and uniting the alternatives. Only candidates are
+searched for a rule's expression; rules whose expression has no mandatory trigram search all texts.
 """
 
 from __future__ import annotations
@@ -128,66 +128,87 @@ def _whole(items: list) -> set[str] | None:
 # --- the index ------------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class TrigramIndex:
-    """The trigrams that the rules ask for, each one a bit."""
-
-    trigrams: tuple[str, ...]
-
-    @classmethod
-    def of(cls, rules: tuple[Rule, ...]) -> TrigramIndex:
-        return cls(tuple(sorted({t for r in rules for s in trigram_query(r.regex) or () for t in s})))
-
-    def postings(self, text: Column) -> Column:
-        """The document's bits: an array of one boolean for each trigram."""
-        lowered = F.lower(text)
-        return F.array(*(F.contains(lowered, F.lit(t)) for t in self.trigrams))
-
-    def satisfied(self, postings: Column, query: Query) -> Column:
-        """Whether the postings have all trigrams of one alternative; true where the query asks nothing."""
-        if query is None:
-            return F.lit(True)
-        place = {t: i for i, t in enumerate(self.trigrams)}
-        out = F.lit(False)
-        for option in sorted(query, key=sorted):
-            all_of = F.lit(True)
-            for t in sorted(option):
-                all_of = all_of & F.element_at(postings, place[t] + 1)
-            out = out | all_of
-        return out
+KEY = ["doc_id", "tie"]
+
+
+def wanted(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries ask for."""
+    return sorted({t for r in rules for option in trigram_query(r.regex) or () for t in option})
+
+
+def trigrams_in(text: Column, trigrams: list[str]) -> Column:
+    """Which of the trigrams (in lower case) a text has in any case: one pass, with a look ahead at each place."""
+    if not trigrams:
+        return F.array().cast("array<string>")
+    plain = lambda s: "".join(c if c.isalnum() else f"\\x{ord(c):02x}" for c in s)
+    tails: dict[str, list[str]] = {}
+    for t in trigrams:
+        tails.setdefault(t[0], []).append(plain(t[1:]))
+    pattern = "(?=(" + "|".join(f"{plain(head)}(?:{'|'.join(rest)})" for head, rest in tails.items()) + "))"
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+
+
+def keyed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, tie (a hash of the text) and text, a null one empty; rows that agree in all are one document."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(whole).alias("tie"), whole.alias("text"))
 
 
 def trigram_postings(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a table: trigram, doc_id."""
-    index = TrigramIndex.of(rules)
-    bits = docs.select(F.col(doc_id).alias("doc_id"), index.postings(F.coalesce(F.col(text), F.lit(""))).alias("bits"))
-    has = F.filter(F.array(*(F.when(F.element_at("bits", i + 1), F.lit(t)) for i, t in enumerate(index.trigrams))), lambda t: t.isNotNull())
-    return bits.select(F.explode(has).alias("trigram"), "doc_id").distinct()
+    """The index: trigram, doc_id and tie (a hash of the text) of each document that has the trigram."""
+    return keyed_texts(docs, doc_id, text).select(F.explode(trigrams_in(F.col("text"), wanted(rules))).alias("trigram"), *KEY)
+
+
+def candidates(postings: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """doc_id, tie and rules (one bit a rule) of the documents in the index that satisfy the query of any rule.
+
+    An alternative of a query is an intersection: of its trigrams each has a bit, and a document is in all
+    their postings if it has all bits. Bits are united before the shuffle, where a document's postings lie
+    together, so a frequent trigram sends no more than any other.
+    """
+    asked = []
+    for i, r in enumerate(rules):
+        for k, option in enumerate(sorted(trigram_query(r.regex) or (), key=sorted)):
+            if len(option) > 62:
+                raise ValueError("an alternative of more than 62 trigrams")
+            asked += [(t, i, k, 1 << bit, (1 << len(option)) - 1) for bit, t in enumerate(sorted(option))]
+    # One row for each trigram of a rule, so bounded by the rules.
+    query = F.broadcast(postings.sparkSession.createDataFrame(asked, "trigram string, rule int, option int, bit long, every long"))
+    met = postings.join(query, "trigram").groupBy(*KEY, "rule", "option").agg(F.bit_or("bit").alias("bits"), F.first("every").alias("every"))
+    return met.where("bits = every").groupBy(*KEY).agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 # --- spans ----------------------------------------------------------------------------------------
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Matches in a list that still grows; full lists are joined at the end.
+CHUNK = 64
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, kind's number, end) of the rule's matches, in code points, leftmost and not overlapping.
 
     Splitting at the matches gives the pieces between them, extracting gives the matches; adding up both
-    lengths places each match.
+    lengths places each match. A list that grows is copied each time, so lists are kept short and joined once.
     """
     regex = rule.quick or rule.regex
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     between = F.split(text, regex, -1)
     long_enough = F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)) if rule.group else found
     steps = F.zip_with(F.zip_with(found, long_enough, lambda m, g: F.struct(F.length(m).alias("n"), F.length(g).alias("g"))), F.transform(F.slice(between, 1, F.size(found)), F.length), lambda m, gap: F.struct(gap.alias("gap"), m.n.alias("n"), m.g.alias("g")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    none = F.array().cast(SPANS)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("full"), none.alias("open"))
 
     def step(acc: Column, x: Column) -> Column:
         lo, hi = acc.at + x.gap, acc.at + x.gap + x.n
         one = F.array(F.struct(lo.cast("int").alias("start"), F.lit(number).alias("kind"), hi.cast("int").alias("end")))
-        return F.struct(hi.alias("at"), F.when(x.g >= rule.least, F.concat(acc.out, one)).otherwise(acc.out).alias("out"))
+        taken, fills = x.g >= rule.least, F.size(acc.open) >= CHUNK - 1
+        more = F.concat(acc.open, one)
+        full = F.when(taken & fills, F.concat(acc.full, F.array(more))).otherwise(acc.full)
+        return F.struct(hi.alias("at"), full.alias("full"), F.when(~taken, acc.open).when(fills, none).otherwise(more).alias("open"))
 
-    return F.aggregate(steps, start, step, lambda acc: acc.out)
+    return F.aggregate(steps, start, step, lambda acc: F.concat(F.flatten(acc.full), acc.open))
 
 
 def named(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -195,21 +216,25 @@ def named(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start, s.end)), ",")
 
 
-def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: tuple[Rule, ...] = MORE) -> DataFrame:
+def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: tuple[Rule, ...] = MORE, postings: DataFrame | None = None) -> DataFrame:
     """doc_id and for each kind the spans of its matches in every row of docs, by start.
 
-    Base kinds come first. A null text is empty; a null doc_id is carried along; repeated rows each give a
-    row; an empty table gives no rows; other columns are ignored.
+    ``postings`` is an index that was built before (``trigram_postings`` of the same texts and rules); without one
+    it is built here. Base kinds come first. A null text is empty; a null doc_id is carried along; repeated
+    rows each give a row; an empty table gives no rows; other columns are ignored. Work is in proportion to
+    the text and its matches, in one long text too.
     """
     rules = BASE + more
-    index = TrigramIndex.of(rules)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("bits", index.postings(F.col("text")))
+    none = F.array().cast(SPANS)
+    rows = keyed_texts(docs, doc_id, text)
+    found = candidates(trigram_postings(docs, rules, doc_id, text) if postings is None else postings, rules)
+    # Candidates are hashed, so the texts need no sort.
+    found = found.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"), "rules").hint("shuffle_hash")
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")), "left")
     spans = []
     for i, r in enumerate(rules):
-        candidate = index.satisfied(F.col("bits"), trigram_query(r.regex)) & F.col("text").rlike(r.quick or r.regex)
-        spans.append(F.when(candidate, spans_of(F.col("text"), r, i)).otherwise(none).alias(r.kind))
+        candidate = F.lit(True) if trigram_query(r.regex) is None else F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
+        spans.append(F.when(candidate & F.col("text").rlike(r.quick or r.regex), spans_of(F.col("text"), r, i)).otherwise(none).alias(r.kind))
     return rows.select("doc_id", *spans)
 
 
