@@ -62,22 +62,29 @@ def poisson_tail(r: int, mean: float) -> float:
 
 def segments(positions: np.ndarray, scores: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (first token, last token, score) of a sequence that has ``scores`` at
-    ``positions`` and minus ``drift`` elsewhere; linear in the number of positions."""
-    # Candidates on the stack: first, last, sum before the first, sum through the last.
-    stack: list[list] = []
+    ``positions`` and minus ``drift`` elsewhere; linear in the number of positions.
+
+    Each candidate knows the nearest one below it whose sum before its first token is less. Those in between
+    have greater sums, so a search that goes on past it never looks at them again.
+    """
+    first, last, low, high, below = [], [], [], [], []  # the stack of candidates; below is an index or -1
     total, at = 0.0, 0
     for p, s in zip(positions.tolist(), scores.tolist(), strict=True):
         total -= drift * (p - at)
-        new = [p, p, total, total + s]
-        total, at = total + s, p + 1
+        a, l, h = p, total, total + s
+        total, at = h, p + 1
+        k = len(low) - 1
         while True:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][2] < new[2]), None)
-            if k is None or stack[k][3] >= new[3]:
-                stack.append(new)
+            while k >= 0 and low[k] >= l:
+                k = below[k]
+            if k < 0 or high[k] >= h:
                 break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
-            del stack[k:]
-    return [(a, b, high - low) for a, b, low, high in stack]
+            a, l, cut, k = first[k], low[k], k, below[k]  # joined with all candidates from the k-th on
+            for column in (first, last, low, high, below):
+                del column[cut:]
+        for column, value in zip((first, last, low, high, below), (a, p, l, h, k), strict=True):
+            column.append(value)
+    return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high, strict=True)]
 
 
 class Memo(dict):
