@@ -67,7 +67,11 @@ def family_names(authors: Column) -> Column:
 
 def author_overlap(cited: Column, found: Column) -> Column:
     """Share of the cited family names, repeats counted, that the record has too; 0 if none is cited."""
-    own, other = family_names(cited), family_names(found)
+    return name_overlap(family_names(cited), family_names(found))
+
+
+def name_overlap(own: Column, other: Column) -> Column:
+    """author_overlap of family names that are there already."""
     return F.when(F.size(own) == 0, 0.0).otherwise(F.size(F.filter(own, lambda x: F.array_contains(other, x))) / F.size(own))
 
 

@@ -94,8 +94,8 @@ REF_KEY = ["doc_id", "ref_index"]
 CANDIDATE = ["source", "title", "authors", "year", "venue", "doi", "arxiv_id", "url"]
 
 
-def same_title(left: str, right: str) -> Column:
-    return similarity(ct.normal_title(F.col(left)), ct.normal_title(F.col(right)))
+#: Pairs of titles that may be broadcast with their similarity.
+BROADCAST_PAIRS = 200_000
 
 
 def first_by_source(refs: DataFrame, catalog: DataFrame, ref_key: Column, record_key: Column, matched_by: str) -> DataFrame:
@@ -113,15 +113,14 @@ def settles(found: DataFrame, least: float) -> DataFrame:
     return found.where(sim >= least).select(*REF_KEY)
 
 
-def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_share: float = 0.05, drop_hot: bool = False) -> DataFrame:
+def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_share: float = 0.05) -> DataFrame:
     """For each reference and source the ``top_k`` records that share most title words, the rarer the more.
 
     An inverted index: words of either side meet in an equi-join, weighted by how few records have them. All
     words add to a score. Titles meet by words in up to ``hot_share`` of the records first; where records that
     share only more frequent words could still be among the ``top_k``, the title meets by these too. Equal
     normalised titles are searched once, and of records with one only the first ``top_k`` of a source are
-    ranked; neither changes the result. ``drop_hot`` leaves out the frequent words instead, except for titles
-    that are equal as a whole.
+    ranked; neither changes the result.
     """
     cat = catalog.select(*(F.col(x).alias(f"c_{x}") for x in CANDIDATE), F.col("source_rank").alias("c_rank"), F.col("record_id").alias("c_id"), ct.normal_title(F.col("title")).alias("c_norm"))
     wanted = refs.select(*REF_KEY, ct.normal_title(F.coalesce("title", F.substring("raw", 1, 300))).alias("norm")).where("norm <> ''")
@@ -129,8 +128,6 @@ def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_sh
     n = F.greatest(F.lit(1), F.lit(cat.count()))
     post = cat.select("c_id", F.explode(F.array_distinct(F.split("c_norm", " "))).alias("word"))
     weight = post.groupBy("word").agg(F.count("*").alias("df")).withColumn("w", F.log(1 + n / F.col("df"))).withColumn("hot", F.col("df") > F.greatest(F.lit(20), n * hot_share)).drop("df")
-    if drop_hot:
-        weight = weight.where("not hot")
     asked = durable(norms.select("norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).join(weight, "word"))
     titles = durable(cat.select("c_norm").distinct().select("c_norm", F.explode(F.array_distinct(F.split("c_norm", " "))).alias("word")))
     same = norms.join(cat.select("c_norm", F.col("c_norm").alias("norm")).distinct(), "norm").select("norm", "c_norm", F.lit(1e9).alias("score"))
@@ -145,16 +142,15 @@ def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_sh
     met = asked.where("not hot").join(titles, "word").select("norm", "c_norm").distinct()
     rare = met.join(asked, "norm").join(titles, ["c_norm", "word"]).groupBy("norm", "c_norm").agg(F.sum("w").alias("score"))
     best = durable(ranked(rare))
-    if not drop_hot:
-        bound = asked.groupBy("norm").agg(F.sum(F.when(F.col("hot"), F.col("w")).otherwise(0.0)).alias("bound"))
-        sources = F.lit(cat.select("c_rank").distinct().count())
-        full = best.where(F.col("k") == top_k).join(bound, "norm").where("score > bound + 1e-5").groupBy("norm").agg(F.count("*").alias("full")).where(F.col("full") == sources)
-        open_norms = durable(bound.where("bound > 0").select("norm").join(full, "norm", "left_anti"))
-        # Postings of frequent words are dealt over salts, so that none lands in one task.
-        salted = asked.join(open_norms, "norm", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        by_any = salted.join(titles.withColumn("salt", F.pmod(F.hash("c_norm"), F.lit(16))), ["word", "salt"]).groupBy("norm", "c_norm").agg(F.sum("w").alias("score"))
-        again = ranked(by_any).join(open_norms, "norm", "left_semi")
-        best = best.join(open_norms, "norm", "left_anti").unionByName(again)
+    bound = asked.groupBy("norm").agg(F.sum(F.when(F.col("hot"), F.col("w")).otherwise(0.0)).alias("bound"))
+    sources = F.lit(cat.select("c_rank").distinct().count())
+    full = best.where(F.col("k") == top_k).join(bound, "norm").where("score > bound + 1e-5").groupBy("norm").agg(F.count("*").alias("full")).where(F.col("full") == sources)
+    open_norms = durable(bound.where("bound > 0").select("norm").join(full, "norm", "left_anti"))
+    # Postings of frequent words are dealt over salts, so that none lands in one task.
+    salted = asked.join(open_norms, "norm", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    by_any = salted.join(titles.withColumn("salt", F.pmod(F.hash("c_norm"), F.lit(16))), ["word", "salt"]).groupBy("norm", "c_norm").agg(F.sum("w").alias("score"))
+    again = ranked(by_any).join(open_norms, "norm", "left_semi")
+    best = best.join(open_norms, "norm", "left_anti").unionByName(again)
     kept = wanted.join(best, "norm").select(*REF_KEY, "c_id", "k")
     return kept.join(cat, "c_id").select(*REF_KEY, *(F.col(f"c_{x}").alias(x) for x in CANDIDATE), F.lit("search").alias("matched_by"), F.col("c_rank").alias("source_rank"), "k")
 
@@ -189,29 +185,44 @@ def lookup(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, th: Threshol
 # --- scoring and classification -------------------------------------------------------------------
 
 
+def normalised(records: DataFrame) -> DataFrame:
+    """records with _title, _doi and _names, the normal forms that scoring compares. Done on a catalog it is done once
+    for each record, however many references meet it; scoring does it where it was not done."""
+    if "_names" in records.columns:
+        return records
+    return records.withColumn("_title", ct.normal_title(F.col("title"))).withColumn("_doi", ct.normal_doi(F.col("doi"))).withColumn("_names", ct.family_names(F.col("authors")))
+
+
+def with_similarity(rows: DataFrame) -> DataFrame:
+    """rows with title_sim of _title and c__title, 0 where one is null. Equal titles need no comparison; of others
+    each pair of titles is compared once, whatever the number of rows that have it."""
+    pairs = durable(rows.where("_title <> c__title").select(F.col("_title").alias("_a"), F.col("c__title").alias("_b")).distinct())
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    sims = durable(pairs.withColumn("_sim", similarity(F.col("_a"), F.col("_b"))))
+    met = rows.join(F.broadcast(sims) if few else sims, (F.col("_title") == F.col("_a")) & (F.col("c__title") == F.col("_b")), "left")
+    return met.withColumn("title_sim", F.when(F.col("_title") == F.col("c__title"), 1.0).otherwise(F.coalesce("_sim", F.lit(0.0)))).drop("_a", "_b", "_sim")
+
+
 def scored(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every reference with each of its candidates (c_*), title_sim and score. Equal DOIs score 1; without
     authors on either side 0.8 title + 0.2 year, else 0.6 title + 0.25 authors + 0.15 year."""
-    c = candidates.select(*REF_KEY, *(F.col(x).alias(f"c_{x}") for x in [*CANDIDATE, "matched_by", "cand_ord"]))
-    rows = refs.join(c, REF_KEY)
-    both = F.col("title").isNotNull() & F.col("c_title").isNotNull()
-    rows = rows.withColumn("title_sim", F.when(both, similarity(ct.normal_title(F.col("title")), ct.normal_title(F.col("c_title")))).otherwise(0.0))
-    same_doi = ct.normal_doi(F.col("doi")) == ct.normal_doi(F.col("c_doi"))
-    no_authors = (F.size(ct.family_names(F.col("authors"))) == 0) | (F.coalesce(F.size("c_authors"), F.lit(0)) <= 0)
+    c = normalised(candidates)
+    c = c.select(*REF_KEY, *(F.col(x).alias(f"c_{x}") for x in [*CANDIDATE, "matched_by", "cand_ord", "_title", "_doi", "_names"]))
+    rows = with_similarity(normalised(refs).join(c, REF_KEY))
+    no_authors = (F.size("_names") == 0) | (F.coalesce(F.size("c_authors"), F.lit(0)) <= 0)
     year = ct.year_score(F.col("year"), F.col("c_year"))
-    mixed = F.when(no_authors, 0.8 * F.col("title_sim") + 0.2 * year).otherwise(0.6 * F.col("title_sim") + 0.25 * ct.author_overlap(F.col("authors"), F.col("c_authors")) + 0.15 * year)
-    return rows.withColumn("score", F.when(F.coalesce(same_doi, F.lit(False)), 1.0).otherwise(mixed))
+    mixed = F.when(no_authors, 0.8 * F.col("title_sim") + 0.2 * year).otherwise(0.6 * F.col("title_sim") + 0.25 * ct.name_overlap(F.col("_names"), F.col("c__names")) + 0.15 * year)
+    return rows.withColumn("score", F.when(F.coalesce(F.col("_doi") == F.col("c__doi"), F.lit(False)), 1.0).otherwise(mixed))
 
 
 def metadata_problems() -> Column:
-    """Array of disagreements between a reference and its candidate in one row."""
+    """Array of disagreements between a reference and its candidate in one row of ``scored``."""
     text = lambda c: c.cast("string")
     year = F.when(F.abs(F.col("year") - F.col("c_year")) > 1, F.concat(F.lit("cited year is "), text(F.col("year")), F.lit(", but the "), F.col("c_source"), F.lit(" record says "), text(F.col("c_year"))))
-    named = (F.size(ct.family_names(F.col("authors"))) > 0) & (F.coalesce(F.size("c_authors"), F.lit(0)) > 0)
+    named = (F.size("_names") > 0) & (F.coalesce(F.size("c_authors"), F.lit(0)) > 0)
     people = lambda c: F.array_join(F.slice(F.col(c), 1, 4), "; ")
-    authors = F.when(named & (ct.author_overlap(F.col("authors"), F.col("c_authors")) < 0.5), F.concat(F.lit("cited authors ("), people("authors"), F.lit(") disagree with the "), F.col("c_source"), F.lit(" record ("), people("c_authors"), F.lit(")")))
-    own, other = ct.normal_doi(F.col("doi")), ct.normal_doi(F.col("c_doi"))
-    doi = F.when(own != other, F.concat(F.lit("cited DOI is "), own, F.lit(", but the record's DOI is "), other))
+    authors = F.when(named & (ct.name_overlap(F.col("_names"), F.col("c__names")) < 0.5), F.concat(F.lit("cited authors ("), people("authors"), F.lit(") disagree with the "), F.col("c_source"), F.lit(" record ("), people("c_authors"), F.lit(")")))
+    doi = F.when(F.col("_doi") != F.col("c__doi"), F.concat(F.lit("cited DOI is "), F.col("_doi"), F.lit(", but the record's DOI is "), F.col("c__doi")))
     return F.array_compact(F.array(year, authors, doi))
 
 
@@ -224,11 +235,11 @@ def classify(refs: DataFrame, candidates: DataFrame, th: Thresholds = Thresholds
     """
     rows = scored(refs, candidates)
     by_id = F.col("c_matched_by").isin("doi", "arxiv")
-    exact_rank = F.row_number().over(Window.partitionBy(*REF_KEY).orderBy(F.desc(by_id.cast("int")), F.desc(F.when(by_id & F.col("title").isNotNull(), F.col("title_sim")).otherwise(0.0)), "c_cand_ord"))
-    best_rank = F.row_number().over(Window.partitionBy(*REF_KEY).orderBy(F.desc("score"), "c_cand_ord"))
-    any_exact = F.max(by_id.cast("int")).over(Window.partitionBy(*REF_KEY)) == 1
-    rows = rows.withColumn("_e", exact_rank).withColumn("_b", best_rank).withColumn("_exact", any_exact)
-    best = rows.where((F.col("_exact") & (F.col("_e") == 1)) | (~F.col("_exact") & (F.col("_b") == 1)))
+    close = F.when(F.col("title").isNotNull(), F.col("title_sim")).otherwise(0.0)
+    # Places in both orders are compared before anything is shuffled: a reference sends one row a task.
+    chosen = rows.groupBy(*REF_KEY).agg(F.min(F.when(by_id, F.struct(-close, "c_cand_ord"))).alias("e"), F.min(F.struct(-F.col("score"), "c_cand_ord")).alias("b"))
+    chosen = chosen.select(*(F.col(k).alias(f"_{k}") for k in REF_KEY), F.col("e").isNotNull().alias("_exact"), F.coalesce("e.c_cand_ord", "b.c_cand_ord").alias("_ord"))
+    best = rows.join(chosen, [*(F.col(k) == F.col(f"_{k}") for k in REF_KEY), F.col("c_cand_ord") == F.col("_ord")])
     problems = metadata_problems()
     same = F.col("title").isNull() | (F.col("title_sim") >= th.same_work)
     other_work = F.concat(F.lit("the cited "), F.when(F.col("c_matched_by") == "doi", "DOI").otherwise("arXiv id"), F.lit(' resolves to a different work: "'), F.col("c_title"), F.lit('" ('), F.coalesce(F.col("c_year").cast("string"), F.lit("n.d.")), F.lit(")"))

@@ -138,9 +138,9 @@ def title_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titled.select("doc_id", "title", tx.slug(F.col("title")).alias("slug"))
 
 
-@query(rf"SELECT doc_id, {t("regexp_replace(substr(text, 1, 40), '[\\n#*]', ' ', 'g')")} AS title FROM documents")
+@query(rf"SELECT doc_id, {t("regexp_replace(text, '[\\n#*]', ' ', 'g')")} AS title FROM documents")
 def markdown_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = tx.trim(F.regexp_replace(F.substring("text", 1, 40), r"[\n#*]", " "))
+    head = tx.trim(F.regexp_replace("text", r"[\n#*]", " "))
     made = F.concat(F.lit("some words\n\n  ## **"), head, F.lit("**\n# later\n"), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", tx.markdown_title(made).alias("title"))
 
@@ -255,9 +255,9 @@ def family(x: str) -> str:
     return rf"strip_accents(lower(coalesce(list_filter(list_transform(regexp_split_to_array(CASE WHEN strpos({t(base)}, ',') > 1 THEN split_part({t(base)}, ',', 1) ELSE {t(base)} END, '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}''-]', '', 'g')), lambda w: length(w) > 1)[-1], '')))"
 
 
-@query(f"SELECT doc_id, {n_title('substr(text, 1, 120)')} AS title FROM documents")
+@query(f"SELECT doc_id, {n_title('text')} AS title FROM documents")
 def normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", ct.normal_title(F.substring("text", 1, 120)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", ct.normal_title(F.col("text")).alias("title"))
 
 
 @query(rf"WITH {ENTRIES} SELECT k, {n_doi('doi')} AS doi, {n_doi('raw')} AS no_doi, {n_arxiv('arxiv_id')} AS arxiv_id, nullif(regexp_extract({n_doi("'doi: 10.48550/arXiv.' || k || ' v1'")}, '^10\.48550/arxiv\.(.+)$', 1), '') AS of_doi FROM entries")
@@ -266,10 +266,10 @@ def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_in(spark, sf_dir).select("k", ct.normal_doi(F.col("doi")).alias("doi"), ct.normal_doi(F.col("raw")).alias("no_doi"), ct.normal_arxiv_id(F.col("arxiv_id")).alias("arxiv_id"), of_doi.alias("of_doi"))
 
 
-@query(f"SELECT doc_id, {family('substr(text, 1, 30)')} AS a, {family("'Müller-Lüdén, ' || substr(text, 1, 3)")} AS b, {family("'J. van der ' || substr(text, 1, 8) || ' et al.'")} AS c FROM documents")
+@query(f"SELECT doc_id, {family('text')} AS a, {family("'Müller-Lüdén, ' || text")} AS b, {family("'J. van der ' || text || ' et al.'")} AS c FROM documents")
 def family_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", ct.family_name(F.substring(d, 1, 30)).alias("a"), ct.family_name(F.concat(F.lit("Müller-Lüdén, "), F.substring(d, 1, 3))).alias("b"), ct.family_name(F.concat(F.lit("J. van der "), F.substring(d, 1, 8), F.lit(" et al."))).alias("c"))
+    return table(spark, sf_dir, "documents").select("doc_id", ct.family_name(d).alias("a"), ct.family_name(F.concat(F.lit("Müller-Lüdén, "), d)).alias("b"), ct.family_name(F.concat(F.lit("J. van der "), d, F.lit(" et al."))).alias("c"))
 
 
 OVERLAP = f"len(list_filter(list_transform(e.authors, lambda x: {family('x')}), lambda f: list_contains(list_transform(c.authors, lambda x: {family('x')}), f))) / len(e.authors)"
@@ -286,11 +286,12 @@ def author_year_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORE = r"(regexp_matches({x}, '\b(1[89]|20)\d{{2}}[a-z]?\b')::INT + regexp_matches({x}, '\bdoi\b|\barxiv\b|https?://', 'i')::INT + regexp_matches({x}, '^\s*\[\d{{1,3}}\]')::INT + regexp_matches({x}, '\b(?:vol|no|pp?)\.\s*\d|\d+\(\d+\)', 'i')::INT + regexp_matches({x}, '[A-Z][\p{{L}}''-]+,\s*(?:[A-Z]\.\s*)+')::INT)"
 
 
-@query(f"WITH {ENTRIES}, l AS (SELECT k, raw AS x FROM entries UNION ALL SELECT -1 - doc_id, substr(text, 1, 200) FROM documents) SELECT k, {SCORE.format(x='x')}::INT AS score FROM l")
+@query(f"WITH {ENTRIES}, l AS (SELECT k, 0 AS line, raw AS x FROM entries UNION ALL SELECT -1 - doc_id, i - 1, ls[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)) SELECT k, line::INT AS line, {SCORE.format(x='x')}::INT AS score FROM l")
 def entry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = entries_in(spark, sf_dir).select("k", F.col("raw").alias("x"))
-    prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("k"), F.substring("text", 1, 200).alias("x"))
-    return own.union(prose).select("k", ct.entry_score(F.col("x")).alias("score"))
+    """The score of every entry, and of every line of every document."""
+    own = entries_in(spark, sf_dir).select("k", F.lit(0).alias("line"), F.col("raw").alias("x"))
+    prose = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("k"), F.posexplode(tx.lines(F.col("text"))).alias("line", "x"))
+    return own.union(prose).select("k", "line", ct.entry_score(F.col("x")).alias("score"))
 
 
 def cited_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,12 +323,15 @@ def find_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rf.by_shape(cited_in(spark, sf_dir)).select("doc_id", "offset", "section")
 
 
-@query("SELECT doc_id, substr(text, 1, 50) || chr(10) || 'x' AS a, '## Appendix' || chr(10) || substr(text, 1, 9) AS b FROM documents WHERE NOT regexp_matches(substr(text, 1, 50), 'appendix|supplementary|appendices', 'i')")
+NOTES = r"text || chr(10) || '  ### SUPPLEMENTARY notes' || chr(10) || 'Appendix' || chr(10) || text"
+
+
+@query(f"SELECT doc_id, {CUT.format(x=NOTES)} AS a, {CUT.format(x="'## Appendix' || chr(10) || text")} AS b FROM documents")
 def cut_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~F.lower(F.substring("text", 1, 50)).rlike("appendix|supplementary|appendices"))
-    a = F.concat(F.substring("text", 1, 50), F.lit("\nx\n  ### SUPPLEMENTARY notes\nAppendix\n"), F.col("text"))
-    b = F.concat(F.lit("## Appendix\n"), F.substring("text", 1, 9))
-    return d.select("doc_id", F.regexp_replace(ct.before_appendix(a), r"\n$", "").alias("a"), ct.before_appendix(b).alias("b"))
+    d = table(spark, sf_dir, "documents")
+    a = F.concat(F.col("text"), F.lit("\n  ### SUPPLEMENTARY notes\nAppendix\n"), F.col("text"))
+    b = F.concat(F.lit("## Appendix\n"), F.col("text"))
+    return d.select("doc_id", F.regexp_replace(ct.before_appendix(a), r"\n\z", "").alias("a"), ct.before_appendix(b).alias("b"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 30 THEN array_to_string(list_sort(list_distinct(list_filter(list_concat([l_quantity::INT], range(l_quantity::INT + 1, l_quantity::INT + 4), [l_linenumber]), lambda n: n > l_linenumber + 5))), ',') ELSE array_to_string(list_sort(list_distinct(list_filter([l_quantity::INT, l_linenumber], lambda n: n > l_linenumber + 5))), ',') END AS cited FROM lineitem")
@@ -356,37 +360,32 @@ def lookup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ENTRIES}, {CATALOG}, c AS (SELECT record_id, source_rank, title, {n_title('title')} AS norm FROM catalog), n AS (SELECT count(*) AS n FROM c), post AS (SELECT DISTINCT record_id, unnest(string_split(norm, ' ')) AS word FROM c),
-wt AS (SELECT word, ln(1 + n / count(*)) AS w FROM post, n GROUP BY word, n HAVING count(*) <= greatest(20, n * 0.05)), e AS (SELECT doc_id, ref_index, {n_title('title')} AS norm FROM entries WHERE doc_id < 20), q AS (SELECT DISTINCT doc_id, ref_index, unnest(string_split(norm, ' ')) AS word FROM e),
+wt AS (SELECT word, ln(1 + n / count(*)) AS w FROM post, n GROUP BY word, n), e AS (SELECT doc_id, ref_index, {n_title('title')} AS norm FROM entries), q AS (SELECT DISTINCT doc_id, ref_index, unnest(string_split(norm, ' ')) AS word FROM e),
 s AS (SELECT doc_id, ref_index, record_id, max(score) AS score FROM (SELECT doc_id, ref_index, record_id, sum(w) AS score FROM q JOIN wt USING (word) JOIN post USING (word) GROUP BY ALL UNION ALL SELECT doc_id, ref_index, record_id, 1e9 FROM e JOIN c USING (norm)) GROUP BY ALL),
 r AS (SELECT doc_id, ref_index, source_rank, record_id, row_number() OVER (PARTITION BY doc_id, ref_index, source_rank ORDER BY round(score, 6) DESC, title, record_id) AS k FROM s JOIN c USING (record_id)) SELECT doc_id, ref_index, source_rank, count(*) AS n, max(CASE WHEN k = 1 THEN record_id END) AS best FROM r WHERE k <= 5 GROUP BY ALL""")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search as its SQL states it, without frequent words and for the first documents; search_all has all."""
-    found = rf.title_search(entries_in(spark, sf_dir).where("doc_id < 20"), catalog_in(spark, sf_dir), drop_hot=True)
+    """The search for every reference by all words of its title."""
+    found = rf.title_search(entries_in(spark, sf_dir), catalog_in(spark, sf_dir))
     ids = catalog_in(spark, sf_dir).select("source", "url", "record_id")
     named = found.join(ids, ["source", "url"])
     return named.groupBy("doc_id", "ref_index", "source_rank").agg(F.count("*").alias("n"), F.max(F.when(F.col("k") == 1, F.col("record_id"))).alias("best"))
 
 
-@query()
-def search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search for every reference by all words of its title."""
-    return rf.title_search(entries_in(spark, sf_dir), catalog_in(spark, sf_dir)).select("doc_id", "ref_index", "source_rank", "k", "title", "url")
-
-
 @query(f"""WITH {ENTRIES}, {CATALOG}, x AS (SELECT e.doc_id, e.ref_index, c.source, c.title, c.year, coalesce({n_doi('c.doi')}, {n_title('c.title')} || '|' || c.year) AS key, row_number() OVER (PARTITION BY e.doc_id, e.ref_index ORDER BY c.source_rank, c.record_id) - 1 AS cand_ord FROM entries e JOIN catalog c ON e.title = c.title)
 SELECT doc_id, ref_index, source, title, year, cand_ord::INT AS cand_ord FROM x QUALIFY row_number() OVER (PARTITION BY doc_id, ref_index, key ORDER BY cand_ord) = 1""")
 def dedupe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rf.dedupe_candidates(candidates_in(spark, sf_dir)).select("doc_id", "ref_index", "source", "title", "year", "cand_ord")
 
 
-def candidates_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of the cited titles themselves, as a search would give them."""
+def candidates_in(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Records of the cited titles themselves, as a search would give them; in their order, which is numbered or
+    given by source and record alone."""
     from pyspark.sql import Window
 
-    e, c = entries_in(spark, sf_dir).select("doc_id", "ref_index", F.col("title").alias("cited")), catalog_in(spark, sf_dir)
-    w = Window.partitionBy("doc_id", "ref_index").orderBy("source_rank", "record_id")
-    rows = e.join(c, F.col("cited") == F.col("title")).withColumn("cand_ord", F.row_number().over(w) - 1)
-    return rows.select("doc_id", "ref_index", *rf.CANDIDATE, F.lit("search").alias("matched_by"), "cand_ord")
+    e, c = entries_in(spark, sf_dir).select("doc_id", "ref_index", F.col("title").alias("cited")), rf.normalised(catalog_in(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("doc_id", "ref_index").orderBy("source_rank", "record_id")) - 1 if numbered else F.shiftleft(F.col("source_rank").cast("long"), 48) + F.col("record_id")
+    rows = e.join(c, F.col("cited") == F.col("title")).withColumn("cand_ord", place)
+    return rows.select("doc_id", "ref_index", *rf.CANDIDATE, F.lit("search").alias("matched_by"), "cand_ord", "_title", "_doi", "_names")
 
 
 JUDGED = f"""cand AS (SELECT e.doc_id, e.ref_index, e.raw, e.title, e.year, e.doi, c.source AS c_source, c.year AS c_year, coalesce(({n_doi('e.doi')}) = ({n_doi('c.doi')}), false) AS same_doi, coalesce(({n_doi('e.doi')}) <> ({n_doi('c.doi')}), false)::INT AS other_doi, {OVERLAP} AS overlap, {YEAR} AS ys, c.source_rank, c.record_id FROM entries e JOIN catalog c ON e.title = c.title),
@@ -397,7 +396,7 @@ judged AS (SELECT e.doc_id, e.ref_index, CASE WHEN b.doc_id IS NULL THEN 'not_fo
 
 @query(f"WITH {ENTRIES}, {CATALOG}, {JUDGED} SELECT * FROM judged")
 def classify_exact_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rf.classify(entries_in(spark, sf_dir), candidates_in(spark, sf_dir))
+    out = rf.classify(entries_in(spark, sf_dir), candidates_in(spark, sf_dir, numbered=False))
     return out.select("doc_id", "ref_index", "status", "c_source", F.size("problems").alias("n_problems"))
 
 
@@ -418,7 +417,7 @@ COUNTS = "counts AS (SELECT doc_id, count(*) AS entries, count(*) FILTER (status
 
 @query(f"WITH {ENTRIES}, {CATALOG}, {JUDGED}, {COUNTS} SELECT *, 'Checked ' || entries || ' references against crossref, openalex: ' || verified || ' verified, ' || mismatched || ' with metadata mismatches, ' || not_found || ' not found' || CASE WHEN ambiguous > 0 THEN ', ' || ambiguous || ' inconclusive' ELSE '' END || CASE WHEN unverifiable > 0 THEN ', ' || unverifiable || ' unverifiable' ELSE '' END || '.' AS said FROM counts")
 def status_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = rf.status_counts(rf.classify(entries_in(spark, sf_dir), candidates_in(spark, sf_dir)))
+    counts = rf.status_counts(rf.classify(entries_in(spark, sf_dir), candidates_in(spark, sf_dir, numbered=False)))
     return counts.withColumn("said", rf.summary(("crossref", "openalex")))
 
 

@@ -14,38 +14,46 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 # What is no content of a paper.
 DROPPED_TAGS = frozenset(("nav", "header", "footer"))
 DROPPED_CLASSES = frozenset(("ltx_bibliography", "ltx_TOC", "package-hierarchical-accordion", "arxiv-watermark", "ltx_role_affiliationtext"))
+# Marks of headings by class, and classes of content.
 HEADINGS = {"ltx_title_document": "# ", "ltx_title_section": "\n## ", "ltx_title_subsection": "\n### ", "ltx_title_subsubsection": "\n#### ", "ltx_title_appendix": "\n## "}
 CONTENT = re.compile(r"ltx_(para$|title_|abstract$|theorem$|proof$)")
 LEAST_STRUCTURED = 500
 
 
 class Node:
-    """An element; its children are elements and strings."""
+    """An element; its children are elements and strings. Walks keep their own stack, for pages nest at any depth."""
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
         self.classes = attrs.get("class", "").split()
 
-    def walk(self) -> Iterator[Node]:
-        for c in self.children:
+    def pieces(self) -> Iterator[Node | str]:
+        """Elements and strings below, in the order of the page."""
+        todo = self.children[::-1]
+        while todo:
+            c = todo.pop()
+            yield c
             if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+                todo += c.children[::-1]
+
+    def walk(self) -> Iterator[Node]:
+        return (c for c in self.pieces() if isinstance(c, Node))
 
     def find(self, test) -> Node | None:
         return next((n for n in self.walk() if test(n)), None)
 
     def raw_text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.raw_text() for c in self.children)
+        return "".join(c for c in self.pieces() if isinstance(c, str))
 
     def text(self) -> str:
         return re.sub(r"\s+", " ", self.raw_text()).strip()
 
     def prune(self, test) -> None:
-        self.children = [c for c in self.children if isinstance(c, str) or not test(c)]
-        for c in self.children:
-            if isinstance(c, Node):
-                c.prune(test)
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            n.children = [c for c in n.children if isinstance(c, str) or not test(c)]
+            todo += (c for c in n.children if isinstance(c, Node))
 
 
 class Tree(HTMLParser):
@@ -111,7 +119,9 @@ def figure_markdown(figure: Node) -> str:
 
 def sections(node: Node) -> Iterator[tuple[str, bool]]:
     """Texts in order, and whether each is a figure or table."""
-    for n in node.children:
+    todo = node.children[::-1]
+    while todo:
+        n = todo.pop()
         if isinstance(n, str):
             continue
         if "ltx_figure" in n.classes or "ltx_table" in n.classes:
@@ -133,7 +143,7 @@ def sections(node: Node) -> Iterator[tuple[str, bool]]:
                 yield "\n## Abstract\n" + ("\n\n".join(parts) if parts else text), False
             elif text:
                 yield text, False
-        yield from sections(n)
+        todo += n.children[::-1]
 
 
 def parse_page(page: str | None, keep_bibliography: bool = False) -> tuple[str | None, str | None, str | None]:
@@ -158,12 +168,20 @@ def parse_page(page: str | None, keep_bibliography: bool = False) -> tuple[str |
     return title, text, None
 
 
+def parsed_or_error(page: str | None, keep_bibliography: bool) -> tuple[str | None, str | None, str | None]:
+    try:
+        return parse_page(page, keep_bibliography)
+    except Exception as e:  # noqa: BLE001  a bad page is an error of its own row
+        return None, None, f"{type(e).__name__}: {e}"
+
+
 def parse_pages(pages: DataFrame, html: str = "html", keep_bibliography: bool = False) -> DataFrame:
-    """pages with title, text and error; columns of these names are replaced."""
+    """pages with title, text and error; columns of these names are replaced. A page that cannot be read is an error
+    in its own row, not of the job."""
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for c in columns:
-            yield pd.DataFrame([parse_page(x, keep_bibliography) for x in c], columns=["title", "text", "error"])
+            yield pd.DataFrame([parsed_or_error(x, keep_bibliography) for x in c], columns=["title", "text", "error"])
 
     parsed = F.pandas_udf(run, "title string, text string, error string")(F.col(html))
     rows = pages.withColumn("_page", parsed)

@@ -172,6 +172,18 @@ def test_pages():
     assert "gone" in parse_page(PAGE.replace("gone", '<div class="ltx_para">gone</div>'), keep_bibliography=True)[1]
     assert parse_page("<article>Just <br>text<nav>x</nav></article>")[1] == "Just text"
     assert parse_page("nothing")[2] == "no content found"
+    deep = "<body>" + "<div>" * 20_000 + "far down" + "</div>" * 20_000
+    assert parse_page(deep)[1] == "far down"
+
+
+def test_bad_pages_are_errors_of_their_rows(spark, monkeypatch):
+    from glossator.sources import html
+
+    rows = spark.createDataFrame([(1, "<body>fine</body>"), (2, None)], "page_id long, html string")
+    got = {r.page_id: (r.text, r.error) for r in html.parse_pages(rows).collect()}
+    assert got == {1: ("fine", None), 2: (None, "no content found")}
+    monkeypatch.setattr(html, "parse_page", lambda *a: 1 / 0)
+    assert html.parsed_or_error("x", False) == (None, None, "ZeroDivisionError: division by zero")
 
 
 def test_price_book(spark):
