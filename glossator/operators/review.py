@@ -97,10 +97,11 @@ def anchor_in_window(comments: DataFrame, docs: DataFrame, passages: DataFrame,
 
 def exact_anchors(comments: DataFrame, docs: DataFrame) -> DataFrame:
     """comments with the first paragraph that contains the normalised quote, null where none does. JVM only."""
-    joined = comments.join(document_lists(docs, comments), "doc_id", "left")
     quote = F.nullif(F.substring(tx.for_matching(F.col("quote")), 1, QUOTE_CHARS), F.lit(""))
-    at = F.array_position(F.transform("_paras", lambda p: F.contains(p, quote)), F.lit(True)) - 1
-    return joined.withColumn("paragraph_index", F.when(at >= 0, at.cast("int"))).drop("_paras")
+    # A column of its own before the join: within the lambda it would be made anew for each paragraph.
+    joined = comments.withColumn("_quote", quote).join(document_lists(docs, comments), "doc_id", "left")
+    at = F.array_position(F.transform("_paras", lambda p: F.contains(p, F.col("_quote"))), F.lit(True)) - 1
+    return joined.withColumn("paragraph_index", F.when(at >= 0, at.cast("int"))).drop("_paras", "_quote")
 
 
 def back_join(consolidated: DataFrame, originals: DataFrame) -> DataFrame:

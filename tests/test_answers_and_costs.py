@@ -106,6 +106,45 @@ def test_ledger_pays_once(spark, tmp_path):
     assert again == {1: "<a>", 2: "<a>", 3: "new"}
 
 
+def test_lots_survive_a_failed_job(spark, tmp_path, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    monkeypatch.setattr(lg, "LOT_CALLS", 1)
+    book, cfg = lg.Ledger(spark, str(tmp_path / "calls")), lg.ChatOptions(wait=lambda s: None, concurrency=2)
+    rows = spark.createDataFrame([("a/b", i, 0, f"p{i}") for i in range(12)] + [("other", 99, 0, "p3")], "stage string, doc_id long, ord int, prompt string")
+
+    def dies(prompt, model, n):
+        if prompt == "p7":
+            raise SystemExit(3)  # takes the worker with it, so that the job fails
+        return prompt.upper(), 1, 1
+
+    with pytest.raises(PySparkException):
+        book.run(rows, dies, cfg)
+    kept = {r.call_key for r in book.table().select("call_key").collect()}
+    got = {r.doc_id: r.response for r in book.run(rows, lambda p, m, n: (p.upper(), 1, 1), cfg).collect()}
+    assert got == {**{i: f"P{i}" for i in range(12)}, 99: "P3"}
+    assert 0 < len(kept) < 12 and book.table().count() == 12
+
+
+def test_failed_filter_and_summary_lose_nothing(spark, tmp_path):
+    from glossator.plans import methods, registry
+
+    text = "\n\n".join(f"Paragraph {i}. " + "word " * 900 for i in range(4))
+    docs = spark.createDataFrame([(1, text, False)], "doc_id long, text string, was_ocr boolean")
+
+    def client(prompt, model, n):
+        if "yes or no" in prompt or ("Update the summary" in prompt and "Paragraph 2." in prompt):
+            raise OSError("down")
+        return registry.stub(prompt, model, n)
+
+    cfg = methods.ReviewConfig(client, lg.Ledger(spark, str(tmp_path / "l")), lg.ChatOptions(wait=lambda s: None), "2026-01-02", skip_nontechnical=True)
+    out = methods.progressive(docs, cfg)
+    passages = cfg.ledger.table().where("stage = 'filter'").count()
+    assert passages > 2 and cfg.ledger.table().where("stage = 'deep_check' and error is null").count() == passages
+    failed = {(r.stage, r.ord) for r in out.failed.collect()}
+    assert {s for s, _ in failed} == {"filter", "summary"}
+
+
 def test_providers():
     assert lg.resolve_provider({"ANTHROPIC_API_KEY": "k", "GEMINI_API_KEY": "k"}, model="google/x") == "gemini"
     assert lg.resolve_provider({"ANTHROPIC_API_KEY": "k"}, model="openai/x") == "anthropic"
