@@ -182,33 +182,62 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> Da
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-#: Matches in a list that still grows; full lists are joined at the end.
-CHUNK = 64
+#: Matches that are added up one by one; before them whole blocks of so many are.
+BLOCK = 128
+STEPS = "array<struct<gap:int,n:int,g:int>>"
 
 
-def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """Array of (start, kind's number, end) of the rule's matches, in code points, leftmost and not overlapping.
+def steps_of(text: Column, rule: Rule) -> Column:
+    """For each match of the rule how much text lies before it, its length, and that of the group that counts.
 
-    Splitting at the matches gives the pieces between them, extracting gives the matches; adding up both
-    lengths places each match. A list that grows is copied each time, so lists are kept short and joined once.
+    Splitting at the matches gives the pieces between them, extracting gives the matches.
     """
     regex = rule.quick or rule.regex
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    between = F.split(text, regex, -1)
-    long_enough = F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)) if rule.group else found
-    steps = F.zip_with(F.zip_with(found, long_enough, lambda m, g: F.struct(F.length(m).alias("n"), F.length(g).alias("g"))), F.transform(F.slice(between, 1, F.size(found)), F.length), lambda m, gap: F.struct(gap.alias("gap"), m.n.alias("n"), m.g.alias("g")))
-    none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("full"), none.alias("open"))
+    counted = F.regexp_extract_all(text, F.lit(regex), F.lit(rule.group)) if rule.group else found
+    before = F.transform(F.slice(F.split(text, regex, -1), 1, F.size(found)), F.length)
+    both = F.zip_with(found, counted, lambda m, g: F.struct(F.length(m).alias("n"), F.length(g).alias("g")))
+    return F.zip_with(both, before, lambda m, gap: F.struct(gap.alias("gap"), m.n.alias("n"), m.g.alias("g"))).cast(STEPS)
 
-    def step(acc: Column, x: Column) -> Column:
-        lo, hi = acc.at + x.gap, acc.at + x.gap + x.n
-        one = F.array(F.struct(lo.cast("int").alias("start"), F.lit(number).alias("kind"), hi.cast("int").alias("end")))
-        taken, fills = x.g >= rule.least, F.size(acc.open) >= CHUNK - 1
-        more = F.concat(acc.open, one)
-        full = F.when(taken & fills, F.concat(acc.full, F.array(more))).otherwise(acc.full)
-        return F.struct(hi.alias("at"), full.alias("full"), F.when(~taken, acc.open).when(fills, none).otherwise(more).alias("open"))
 
-    return F.aggregate(steps, start, step, lambda acc: F.concat(F.flatten(acc.full), acc.open))
+def with_spans(rows: DataFrame, steps: dict[str, tuple[int, Rule]]) -> DataFrame:
+    """rows with each column of steps as an array of (start, kind's number, end) in code points.
+
+    A list that an aggregate grows is copied at every step, so places are sums of numbers alone: those of whole
+    blocks, then those of blocks before, then those within a block. A text of n matches takes about n * BLOCK / 2
+    additions. Each stage is a column of its own that the next uses twice, so it is not made anew for each element.
+    """
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda a, x: a + x.gap + x.n)
+
+    def filled(size: Column, each, kind: str) -> Column:
+        return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), each)).otherwise(F.array().cast(kind))
+
+    part = lambda c, b: F.slice(c, b * BLOCK + 1, F.lit(BLOCK))
+    others = [c for c in rows.columns if c not in steps]
+    def sums(c: str) -> Column:
+        return filled(F.ceil(F.size(c) / BLOCK).cast("int"), lambda b: total(part(c, b)), "array<int>").alias(f"_sum_{c}")
+
+    def bases(c: str) -> Column:
+        before = lambda b: F.aggregate(F.slice(f"_sum_{c}", F.lit(1), b), F.lit(0), lambda a, x: a + x)
+        return filled(F.size(f"_sum_{c}"), before, "array<int>").alias(f"_base_{c}")
+
+    rows = rows.select(*others, *steps, *map(sums, steps)).select(*others, *steps, *map(bases, steps))
+
+    def placed(c: str, number: int, rule: Rule) -> Column:
+        def block(b: Column) -> Column:
+            own = part(c, b)
+
+            def one(x: Column, j: Column) -> Column:
+                lo = F.element_at(f"_base_{c}", b + 1) + total(F.slice(c, b * BLOCK + 1, j)) + x.gap
+                return F.struct(lo.alias("start"), F.lit(number).alias("kind"), (lo + x.n).alias("end"), (x.g >= rule.least).alias("kept"))
+
+            return F.transform(F.filter(F.transform(own, one), lambda x: x.kept), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
+
+        return F.flatten(filled(F.size(f"_base_{c}"), block, f"array<{SPANS}>")).cast(SPANS).alias(c)
+
+    return rows.select(*others, *(placed(c, *steps[c]) for c in steps))
 
 
 def named(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -225,17 +254,16 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
     the text and its matches, in one long text too.
     """
     rules = BASE + more
-    none = F.array().cast(SPANS)
     rows = keyed_texts(docs, doc_id, text)
     found = candidates(trigram_postings(docs, rules, doc_id, text) if postings is None else postings, rules)
     # Candidates are hashed, so the texts need no sort.
     found = found.select(F.col("doc_id").alias("_doc_id"), F.col("tie").alias("_tie"), "rules").hint("shuffle_hash")
     rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("tie") == F.col("_tie")), "left")
-    spans = []
+    steps = []
     for i, r in enumerate(rules):
         candidate = F.lit(True) if trigram_query(r.regex) is None else F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0
-        spans.append(F.when(candidate & F.col("text").rlike(r.quick or r.regex), spans_of(F.col("text"), r, i)).otherwise(none).alias(r.kind))
-    return rows.select("doc_id", *spans)
+        steps.append(F.when(candidate & F.col("text").rlike(r.quick or r.regex), steps_of(F.col("text"), r)).otherwise(F.array().cast(STEPS)).alias(r.kind))
+    return with_spans(rows.select("doc_id", *steps), {r.kind: (i, r) for i, r in enumerate(rules)})
 
 
 def secret_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", more: tuple[Rule, ...] = MORE) -> DataFrame:
