@@ -5,8 +5,8 @@ as it is; its fraction is an inclusion probability. The flight phase moves the p
 documents along a direction that changes neither their expected words nor their expected number, until one of
 them is 0 or 1, and takes in the next one. Of all such directions it takes the one nearest to moving the
 pool's largest document alone, so that large documents settle first and small ones make up for them. Blocks
-of a source fly on their own, their leftovers fly together, and the last dozen of the source land together on
-the nearest number of words.
+of a source fly on their own, their leftovers fly together, and the last dozen of the source land together: as
+many as expected, with the nearest number of words.
 """
 
 from __future__ import annotations
@@ -85,16 +85,14 @@ class Flight:
         while len(self.open) >= POOL:
             yield from self._step()
 
-    def _step(self, both: bool = True) -> Iterator[tuple]:
-        """Moves along the direction nearest to the largest unit's own that keeps the sum of p * size and, if
-        ``both``, of p."""
+    def _step(self) -> Iterator[tuple]:
+        """Moves along the direction nearest to the largest unit's own that keeps the sums of p * size and of p."""
         size = np.array([s for _, s in self.open], float)
         p = np.array(self.p)
         u = np.zeros(len(p))
         u[size.argmax()] = 1.0
-        if both:
-            size -= size.mean()
-            u -= u.mean()
+        size -= size.mean()
+        u -= u.mean()
         norm = size @ size
         if norm > EPS:
             u -= size * (size @ u / norm)
@@ -116,13 +114,15 @@ class Flight:
         self.p = p[keep].tolist()
 
     def land(self) -> Iterator[tuple]:
-        """Settles what is left: by words alone down to LANDING units, and of these the choice whose words come
-        nearest to what is expected of them; of equal ones the likeliest."""
+        """Settles what is left. The flight goes on, balancing words and documents, down to LANDING units; of the
+        choices of these whose number of documents is the expected one, rounded up or down, the one whose words come
+        nearest to what is expected of them is taken, and of equal ones the likeliest."""
         while len(self.open) > LANDING:
-            yield from self._step(both=False)
+            yield from self._step()
         if self.open:
             size, p = np.array([s for _, s in self.open], float), np.array(self.p)
             choices = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
+            choices = choices[np.abs(choices.sum(axis=1) - p.sum()) < 1 - EPS]
             off = np.abs(choices @ size - p @ size)
             odds = np.log(np.where(choices, p, 1 - p)).sum(axis=1)
             best = choices[np.lexsort((-odds, np.round(off, 6)))[0]]
@@ -238,7 +238,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = docs.join(plan, [values[k].eqNullSafe(F.col(names[k])) for k in keys], "inner")
     copies = F.col(names["copies"])
     if plan.where(F.col(names["n"]) > 1).limit(1).count():
-        w = Window.partitionBy(*(names[k] for k in keys)).orderBy(F.lit(0))
+        order = F.xxhash64(*(c for c, t in docs.dtypes if not t.startswith(("map", "variant"))))
+        w = Window.partitionBy(*(names[k] for k in keys)).orderBy(order)
         out = out.withColumn(names["row"], F.row_number().over(w))
         copies = F.floor(copies / F.col(names["n"])) + (F.col(names["row"]) <= copies % F.col(names["n"])).cast("int")
     repeat = F.array_repeat(F.lit(0), copies.cast("int"))
