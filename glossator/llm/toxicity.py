@@ -71,18 +71,18 @@ def segments(positions: np.ndarray, scores: np.ndarray, drift: float) -> list[tu
     total, at = 0.0, 0
     for p, s in zip(positions.tolist(), scores.tolist(), strict=True):
         total -= drift * (p - at)
-        a, l, h = p, total, total + s
-        total, at = h, p + 1
+        a, lo, hi = p, total, total + s
+        total, at = hi, p + 1
         k = len(low) - 1
         while True:
-            while k >= 0 and low[k] >= l:
+            while k >= 0 and low[k] >= lo:
                 k = below[k]
-            if k < 0 or high[k] >= h:
+            if k < 0 or high[k] >= hi:
                 break
-            a, l, cut, k = first[k], low[k], k, below[k]  # joined with all candidates from the k-th on
+            a, lo, cut, k = first[k], low[k], k, below[k]  # joined with all candidates from the k-th on
             for column in (first, last, low, high, below):
                 del column[cut:]
-        for column, value in zip((first, last, low, high, below), (a, p, l, h, k), strict=True):
+        for column, value in zip((first, last, low, high, below), (a, p, lo, hi, k), strict=True):
             column.append(value)
     return [(a, b, y - x) for a, b, x, y in zip(first, last, low, high, strict=True)]
 
@@ -219,10 +219,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
     by_word = train.mapInPandas(words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     by_unit = durable(by_word.mapInPandas(split, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    n_clean, n_toxic = by_unit.agg(F.sum("clean"), F.sum("toxic")).first()
+    n_clean, n_toxic, n_units = by_unit.agg(F.sum("clean"), F.sum("toxic"), F.count("*")).first()
     # The prior: PRIOR pseudo-counts dealt out as the unit is in all of the sample, and LEAST_PRIOR for each unit.
     prior = LEAST_PRIOR + (F.col("clean") + F.col("toxic")) * (PRIOR / (n_clean + n_toxic))
-    side = lambda c, n: F.log((F.col(c) + prior) / (float(n) + PRIOR))
+    weight = PRIOR + LEAST_PRIOR * n_units
+    side = lambda c, n: F.log((F.col(c) + prior) / (float(n) + weight))
     odds = side("toxic", n_toxic) - side("clean", n_clean)
     z = odds / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
     telling = by_unit.where(F.col("toxic") >= LEAST_DOCS).select("unit", odds.alias("odds"), z.alias("z")).where((F.col("odds") >= LEAST_ODDS + DRIFT) & (F.col("z") >= LEAST_Z))
