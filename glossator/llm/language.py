@@ -20,8 +20,10 @@ from glossator.llm.common import durable, id_crc, lots, worker_cache
 
 #: Texts that each language's n-grams are learned from, at most; a hash of id and language chooses them.
 SAMPLE = 4_000
-#: Languages that are learned, at most: those with the most texts.
-LANGUAGES = 256
+#: Languages whose counts may be broadcast.
+BROADCAST_LANGUAGES = 100_000
+#: Texts that are counted together, for each has a count for each language.
+TOGETHER = 512
 GRAM = 4
 #: A language contains an n-gram if it is seen so often there, and not much more rarely than elsewhere.
 LEAST_COUNT, LEAST_SHARE = 3, 0.15
@@ -74,15 +76,16 @@ def clean(texts: Iterable[str | None]) -> list[str]:
     return [(t or "").replace("\n", " ") for t in texts]
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """The texts in runs of about BLOCK code points, longer ones cut between words: each piece's text number, and the pieces."""
-    owners, held, size = [], [], 0
+def blocks(texts: list[str], most: int | None = None) -> Iterator[tuple[list[int], list[str]]]:
+    """The texts in runs of about ``most`` code points (BLOCK), longer ones cut between words: each piece's text
+    number, and the pieces."""
+    owners, held, size, most = [], [], 0, most or BLOCK
     for k, t in enumerate(texts):
-        for piece in lots(t, BLOCK):
+        for piece in lots(t, most):
             owners.append(k)
             held.append(piece)
             size += len(piece)
-            if size >= BLOCK:
+            if size >= most:
                 yield owners, held
                 owners, held, size = [], [], 0
     if held:
@@ -130,7 +133,7 @@ class LanguageFilter:
         width = self.table.dtype.itemsize * 8
         letters, n = np.zeros(len(texts)), np.zeros(len(texts))
         hits = np.zeros((len(texts), max(1, len(self.languages))))
-        for owners, part in blocks(texts):
+        for owners, part in blocks(texts, max(1, BLOCK // self.table.shape[1])):
             h, owner, own_letters = grams(part)
             np.add.at(letters, owners, own_letters)
             np.add.at(n, owners, np.bincount(owner, minlength=len(part)))
@@ -145,16 +148,19 @@ class LanguageFilter:
 
 
 def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageFilter:
-    """Learns from rows with a language whose crc32(id) mod 3 is not 1, ``sample`` texts a language at most.
+    """Learns every language of the rows whose crc32(id) mod 3 is not 1, from ``sample`` texts a language at most.
 
     What comes to the driver is a count for each language and the n-grams that a bounded sample has often.
     """
     known = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null").where(id_crc(F.col("id")) % 3 != 1)
-    counts = [(r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counted = durable(known.groupBy("lang").count())
+    # One row for each language that occurs.
+    counts = [(r.lang, r["count"]) for r in counted.orderBy(F.desc("count"), "lang").collect()]
     if not counts:
         return LanguageFilter.build([], [], UNKNOWN)
-    most = F.create_map(*(F.lit(x) for name, n in counts for x in (name, int(min(1.0, sample / n) * (1 << 30)))))
-    chosen = known.withColumn("most", most[F.col("lang")]).where("most is not null").where(F.pmod(F.xxhash64(F.lit("language"), "lang", "id"), F.lit(1 << 30)) < F.col("most"))
+    most = counted.select("lang", (F.least(F.lit(1.0), sample / F.col("count")) * (1 << 30)).cast("long").alias("most"))
+    most = F.broadcast(most) if len(counts) <= BROADCAST_LANGUAGES else most
+    chosen = known.join(most, "lang").where(F.pmod(F.xxhash64(F.lit("language"), "lang", "id"), F.lit(1 << 30)) < F.col("most"))
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -181,7 +187,9 @@ def predict_language(model: LanguageFilter, text: Column) -> Column:
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            yield pd.DataFrame(model.predict(clean(t)), columns=["lang_pred", "score"])
+            texts = clean(t)
+            found = [x for i in range(0, len(texts), TOGETHER) for x in model.predict(texts[i : i + TOGETHER])]
+            yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
     return F.pandas_udf(run, "lang_pred string, score double")(text)
 
