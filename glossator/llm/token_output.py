@@ -2,14 +2,15 @@
 
 File layout, little-endian throughout:
 
-    frame 0 | frame 1 | ... | frame n-1 | seek table (one zstandard frame) | trailer
+    frame 0 | frame 1 | ... | frame n-1 | skippable frame (seek table, itself one zstandard frame; trailer)
 
 A frame holds one document's ids, each ``width`` bytes wide, and carries zstandard's own content
 checksum. The seek table has six columns, each stored whole for all n documents: doc_id (int64), whether
 doc_id is null (uint8), id count (uint32), compressed length (uint32), crc32 of the compressed frame
 (uint32), crc32 of the ids as 32-bit integers (uint32). The trailer is ``<4sBIIII``: magic, width, n,
 compressed length of the seek table, its raw length, its crc32. A reader fetches the trailer and the
-table from the end of the file and then only the frames of the documents it wants.
+table from the end of the file and then only the frames of the documents it wants. Tools that know
+nothing of the table pass over the skippable frame and unpack all ids.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from glossator.llm.common import fresh_path, worker_cache
 
 MAGIC = b"GTS1"
+SKIPPABLE = 0x184D2A5E
 TRAILER = "<4sBIIII"
 TRAILER_SIZE = struct.calcsize(TRAILER)
 #: Chunks of text that a worker remembers the ids of; the memory is emptied when it is full.
@@ -243,11 +245,20 @@ class FileWriter:
         columns = [np.array(c, k) for c, k in zip(zip(*self.rows, strict=True), kinds, strict=True)] if self.rows else []
         raw = b"".join(c.tobytes() for c in columns)
         table = self.zip.compress(raw)
-        self.out.write(table + struct.pack(TRAILER, MAGIC, self.width, len(self.rows), len(table), len(raw), zlib.crc32(raw)))
+        trailer = struct.pack(TRAILER, MAGIC, self.width, len(self.rows), len(table), len(raw), zlib.crc32(raw))
+        self.out.write(struct.pack("<II", SKIPPABLE, len(table) + len(trailer)) + table + trailer)
         self.out.close()
+        # Some file systems move onto no file that is there: a task that is run again takes its old one away.
+        if self.fs.get_file_info(self.path).type.name != "NotFound":
+            self.fs.delete_file(self.path)
         self.fs.move(self.part, self.path)
         return int(columns[2].sum()) if columns else 0
 
+    def bounds(self) -> tuple[int | None, int | None]:
+        """The least and the greatest doc_id, nulls aside."""
+        ids = [r[0] for r in self.rows if not r[1]]
+        return (min(ids), max(ids)) if ids else (None, None)
+
 
 class FileReader:
     """Random access to the documents of one file."""
@@ -302,12 +313,14 @@ class FileReader:
 
 # --- operators ------------------------------------------------------------------------------------
 
+MANIFEST = "file_no int, path string, docs long, tokens long, least long, most long"
+
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Encodes every text and writes the ids as files of the format above, in ascending order of doc_id.
 
     Returns the manifest, one row for each file: file_no, path, docs, tokens, start (ids in all files
-    before it). Documents are dealt out by ranges of (doc_id, hash of the text), so no task holds more than
+    before it), and least and most, the bounds of its doc_ids. Documents are dealt out by ranges of (doc_id, hash of the text), so no task holds more than
     its range, and a file's name depends on its range only: a task that is run again replaces its own file.
 
     Nulls: a null text has no words, a null doc_id sorts first. Each repeated row is a document of its
@@ -337,23 +350,25 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
                 out.add(None if k is pd.NA else k, b + tail)
             count += len(texts)
         if out is not None and count:
-            yield pd.DataFrame({"file_no": [file_no], "path": [name], "docs": [count], "tokens": [out.close()]})
+            least, most = out.bounds()
+            row = pd.DataFrame({"file_no": [file_no], "path": [name], "docs": [count], "tokens": [out.close()], "least": [least], "most": [most]})
+            yield row.astype({"least": "Int64", "most": "Int64"})
 
-    made = dealt.mapInPandas(write, "file_no int, path string, docs long, tokens long")
+    made = dealt.mapInPandas(write, MANIFEST)
     made.write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
     # One row for each file: as few rows as the write had tasks.
     files_found = sorted(manifest.collect(), key=lambda r: r.file_no)
     start, listed = 0, []
     for r in files_found:
-        listed.append((r.file_no, r.path, r.docs, r.tokens, start))
+        listed.append((*r, start))
         start += r.tokens
-    return spark.createDataFrame(listed, "file_no int, path string, docs long, tokens long, start long")
+    return spark.createDataFrame(listed, f"{MANIFEST}, start long")
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Reads the files of a manifest back: doc_id, start, n_tokens, ids_crc32 and, if asked for, the ids."""
-    n = max(1, min(manifest.count(), 4096))
+    n = max(1, manifest.count())
 
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -377,17 +392,20 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def lookup_tokens(manifest: DataFrame, wanted: list[int]) -> DataFrame:
-    """doc_id and ids of the documents whose doc_id is in ``wanted``; all other frames stay packed and unread."""
+    """doc_id and ids of the documents whose doc_id is in ``wanted``; all other frames stay packed and unread, and
+    files whose bounds hold none of them stay closed."""
     asked = np.array(sorted(set(wanted)), "<i8")
 
     def find(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
+                if np.searchsorted(asked, row.least) == np.searchsorted(asked, row.most, "right"):
+                    continue
                 reader = FileReader(row.path)
                 for i in np.flatnonzero(np.isin(reader.doc_ids, asked) & (reader.nulls == 0)).tolist():
                     yield pd.DataFrame({"doc_id": [int(reader.doc_ids[i])], "ids": [reader.ids(i)]})
 
-    return manifest.mapInPandas(find, "doc_id long, ids array<long>")
+    return manifest.where("least is not null").mapInPandas(find, "doc_id long, ids array<long>")
 
 
 def token_output(docs: DataFrame, tokenizer: str, **names: str) -> DataFrame:
