@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossator.llm.common import durable, lots, small, spare_name, worker_cache
@@ -210,8 +210,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         b = np.concatenate([x for _, x in links]) if links else np.empty(0, np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    keys = distinct.select("fp").mapInArrow(explode, "key long, fp long")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A fingerprint is small, its keys are not: they are made by as many tasks as there are partitions.
+    keys = distinct.select("fp").repartition(n, "fp").mapInArrow(explode, "key long, fp long")
     return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -255,4 +256,10 @@ def keep_first(docs: DataFrame, components: DataFrame, doc_id: str, text: str) -
     # The ids are hashed, so the texts need no sort.
     kept = docs.join(first.withColumnRenamed("doc_id", key).hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(doc_id).cast("long")), "left_semi")
     repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([doc_id, text]) if repeated else kept
+    if not repeated:
+        return kept
+    # Of rows that agree in id and text the one whose hash is least, so that reruns agree.
+    number = spare_name(docs, "_number")
+    order = [F.xxhash64(*(c for c, t in docs.dtypes if not t.startswith(("map", "variant"))))]
+    w = Window.partitionBy(doc_id, text).orderBy(*order)
+    return kept.withColumn(number, F.row_number().over(w)).where(F.col(number) == 1).drop(number)
