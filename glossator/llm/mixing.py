@@ -5,8 +5,9 @@ as it is; its fraction is an inclusion probability. The flight phase moves the p
 documents along a direction that changes neither their expected words nor their expected number, until one of
 them is 0 or 1, and takes in the next one. Of all such directions it takes the one nearest to moving the
 pool's largest document alone, so that large documents settle first and small ones make up for them. Blocks
-of a source fly on their own, their leftovers fly together, and the last dozen of the source land together: as
-many as expected, with the nearest number of words.
+of a source fly on their own, their leftovers fly together, and when there are too few to balance both words and
+documents, one constraint after the other is dropped; the last ones of a source land together on the choice that
+is off least.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ BLOCK = 8192
 #: Open fractions in a flight, at most: so many that the others can make up for the largest one.
 POOL = 64
 BROADCAST_SOURCES = 100_000
-#: Units of a source that land together.
-LANDING = 12
+#: Units of a source down to which words and documents are balanced, and those that land together.
+BOTH, LANDING = 24, 14
+#: What a mean document's words off the target weigh in the landing against a document off.
+WORDS_WEIGH = 10.0
 EPS = 1e-9
 
 
@@ -85,14 +88,16 @@ class Flight:
         while len(self.open) >= POOL:
             yield from self._step()
 
-    def _step(self) -> Iterator[tuple]:
-        """Moves along the direction nearest to the largest unit's own that keeps the sums of p * size and of p."""
+    def _step(self, both: bool = True) -> Iterator[tuple]:
+        """Moves along the direction nearest to the largest unit's own that keeps the sum of p * size and, if
+        ``both``, of p."""
         size = np.array([s for _, s in self.open], float)
         p = np.array(self.p)
         u = np.zeros(len(p))
         u[size.argmax()] = 1.0
-        size -= size.mean()
-        u -= u.mean()
+        if both:
+            size -= size.mean()
+            u -= u.mean()
         norm = size @ size
         if norm > EPS:
             u -= size * (size @ u / norm)
@@ -114,16 +119,16 @@ class Flight:
         self.p = p[keep].tolist()
 
     def land(self) -> Iterator[tuple]:
-        """Settles what is left. The flight goes on, balancing words and documents, down to LANDING units; of the
-        choices of these whose number of documents is the expected one, rounded up or down, the one whose words come
-        nearest to what is expected of them is taken, and of equal ones the likeliest."""
+        """Settles what is left. The flight goes on, balancing words and documents down to BOTH units and words alone
+        down to LANDING; of all choices of these the one that is off least is taken, in words by WORDS_WEIGH means and
+        in documents together, and of equal ones the likeliest."""
         while len(self.open) > LANDING:
-            yield from self._step()
+            yield from self._step(len(self.open) > BOTH)
         if self.open:
             size, p = np.array([s for _, s in self.open], float), np.array(self.p)
             choices = (np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1
-            choices = choices[np.abs(choices.sum(axis=1) - p.sum()) < 1 - EPS]
-            off = np.abs(choices @ size - p @ size)
+            words, documents = np.abs(choices @ size - p @ size), np.abs(choices.sum(axis=1) - p.sum())
+            off = WORDS_WEIGH * words / max(1.0, size.mean()) + documents
             odds = np.log(np.where(choices, p, 1 - p)).sum(axis=1)
             best = choices[np.lexsort((-odds, np.round(off, 6)))[0]]
             for (key, _), taken in zip(self.open, best.tolist(), strict=True):
