@@ -619,7 +619,7 @@ def review_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers.select("doc_id", "slug", "title", F.size("paragraphs").alias("n_paragraphs"), F.explode("methods").alias("key", "m")).select("doc_id", "slug", "title", "n_paragraphs", "key", "m.label", F.size("m.comments").alias("n_comments"), "m.cost_usd", "m.prompt_tokens")
 
 
-@query()
+@query("SELECT p_partkey::VARCHAR AS asked, p_name AS title, ['Ada Brown'] AS authors, 2020::INT AS year, p_brand AS venue, '10.1/' || p_partkey AS doi FROM part")
 def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records read from a source's answers."""
     work = F.struct(F.array("p_name").alias("title"), F.array(F.struct(F.lit("Ada").alias("given"), F.lit("Brown").alias("family"))).alias("author"), F.struct(F.array(F.array(F.lit(2020), F.lit(5))).alias("date-parts")).alias("issued"), F.col("p_brand").alias("publisher"), F.concat(F.lit("10.1/"), F.col("p_partkey").cast("string")).alias("DOI"))
@@ -627,7 +627,95 @@ def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogs.records_of(answers).select("asked", "title", "authors", "year", "venue", "doi")
 
 
-@query()
+def answered(spark: SparkSession, sf_dir: str, source: str, kind: str, body) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("k", F.col("p_partkey").cast("string"))
+    answers = part.select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), F.col("k").alias("asked"), body.alias("body"))
+    return catalogs.records_of(answers).select("asked", "rank", "title", "authors", "year", "venue", "doi", "arxiv_id", "url")
+
+
+@query("SELECT p_partkey::VARCHAR AS asked, r::INT AS rank, CASE r WHEN 0 THEN p_name ELSE 'Another of ' || p_brand END AS title, CASE r WHEN 0 THEN ['Ada Brown', p_brand] ELSE []::VARCHAR[] END AS authors, CASE r WHEN 0 THEN 1950 + p_partkey % 70 END::INT AS year, CASE r WHEN 0 THEN p_type END AS venue, NULL::VARCHAR AS doi, NULL::VARCHAR AS arxiv_id, 'https://o/W' || (p_partkey * 2 + r) AS url FROM part, unnest([0, 1]) AS u(r)")
+def openalex_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two works of each search; one of them says little."""
+    name = lambda c: F.struct(F.struct(c.alias("display_name")).alias("author"))
+    key = F.col("p_partkey")
+    full = F.to_json(F.struct(F.concat(F.lit("https://o/W"), key * 2).alias("id"), F.col("p_name").alias("display_name"), (1950 + key % 70).alias("publication_year"), F.array(name(F.lit("Ada Brown")), name(F.col("p_brand"))).alias("authorships"), F.struct(F.struct(F.col("p_type").alias("display_name")).alias("source")).alias("primary_location")))
+    bare = F.to_json(F.struct(F.concat(F.lit("https://o/W"), key * 2 + 1).alias("id"), F.concat(F.lit("Another of "), F.col("p_brand")).alias("display_name")))
+    return answered(spark, sf_dir, "openalex", "search", F.concat(F.lit('{"results": ['), full, F.lit(", "), bare, F.lit("]}")))
+
+
+@query("SELECT p_partkey::VARCHAR AS asked, 0::INT AS rank, p_name AS title, ['Ada Brown'] AS authors, (1950 + p_partkey % 70)::INT AS year, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS venue, CASE WHEN p_partkey % 3 = 0 THEN '10.1/' || p_partkey END AS doi, CASE WHEN p_partkey % 5 = 0 THEN p_partkey || '.0001' END AS arxiv_id, 'https://s/' || p_partkey AS url FROM part")
+def scholar_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    work = F.struct(F.col("p_name").alias("title"), F.array(F.struct(F.lit("Ada Brown").alias("name"))).alias("authors"), (1950 + k % 70).alias("year"), F.when(k % 2 == 0, F.col("p_brand")).otherwise("").alias("venue"), F.struct(F.when(k % 3 == 0, F.concat(F.lit("10.1/"), F.col("k"))).alias("DOI"), F.when(k % 5 == 0, F.concat(F.col("k"), F.lit(".0001"))).alias("ArXiv")).alias("externalIds"), F.concat(F.lit("https://s/"), F.col("k")).alias("url"))
+    return answered(spark, sf_dir, catalogs.KEYED_SOURCE, "search", F.to_json(F.struct(F.array(work).alias("data"))))
+
+
+@query("SELECT p_partkey || '.0001v2' AS asked, 0::INT AS rank, p_name AS title, ['Ada Brown', p_brand] AS authors, (1950 + p_partkey % 70)::INT AS year, 'http://arxiv.org/abs/' || p_partkey || '.0001v2' AS url FROM part")
+def arxiv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, key = F.col("p_partkey"), F.concat(F.col("p_partkey").cast("string"), F.lit(".0001v2"))
+    part = table(spark, sf_dir, "part").withColumn("key", key)
+    body = F.concat(F.lit("<feed><title>q</title><entry><id>http://arxiv.org/abs/"), "key", F.lit("</id><published>"), (1950 + k % 70).cast("string"), F.lit("-01-02T00:00:00Z</published><title>"), F.replace("p_name", F.lit(" "), F.lit("\n  ")), F.lit("</title><author><name>Ada Brown</name></author><author><name>"), "p_brand", F.lit("</name></author></entry></feed>"))
+    answers = part.select(F.lit("arxiv").alias("source"), F.lit("id").alias("kind"), F.col("key").alias("asked"), body.alias("body"))
+    return catalogs.records_of(answers).select("asked", "rank", "title", "authors", "year", "url")
+
+
+def served(url: str) -> tuple[int, dict, str]:
+    """A server that answers by the number at the end of the address."""
+    n = int(url.rsplit("/", 1)[1])
+    if n % 5 == 4:
+        raise OSError("down")
+    return {0: (200, {}, f"body {n}"), 1: (404, {}, ""), 2: (429, {"retry-after": "0"}, ""), 3: (403, {}, "")}[n % 5]
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'hit' WHEN 1 THEN 'miss' ELSE 'error' END AS state, CASE WHEN page_id % 5 = 0 THEN 'body ' || page_id END AS body, CASE WHEN page_id % 5 IN (2, 4) THEN 3 ELSE 1 END::INT AS attempts FROM pages")
+def source_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asking a source: hits, misses, errors at once, and errors after all attempts."""
+    requests = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://x/"), F.col("page_id").cast("string")).alias("url"))
+    return catalogs.ask_all(requests, served, wait=_no_wait).select("page_id", "state", "body", "attempts")
+
+
+def _no_wait(seconds: float) -> None:
+    pass
+
+
+NOTED = r"""noted AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '\hat{i} ' WHEN 1 THEN '\hat{x} ' ELSE '\bar{i} ' END || '\hat{t} \hat{t} \hat{t} ' || text AS raw FROM documents)"""
+
+
+@query(f"WITH {NOTED} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(raw, '\\hat{{i}}', '\\hat{{t}}') ELSE raw END AS text, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::INT AS n FROM noted")
+def ocr_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A letter that recognition took for another one, in a third of the documents."""
+    k = F.col("doc_id")
+    head = F.when(k % 3 == 0, "\\hat{i} ").when(k % 3 == 1, "\\hat{x} ").otherwise("\\bar{i} ")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\\hat{t} \\hat{t} \\hat{t} "), F.col("text")).alias("text"))
+    return formats.fix_notation(docs).select("doc_id", "text", F.coalesce(F.size("corrections"), F.lit(0)).alias("n"))
+
+
+@query(rf"WITH {ENTRIES} SELECT k, CASE WHEN length(t) > 80 THEN substr(t, 1, 77) || '...' ELSE t END AS short, coalesce('https://doi.org/' || ({n_doi('doi')}), 'https://arxiv.org/abs/' || nullif(arxiv_id, ''), 'u' || k) AS link, starts_with(coalesce(doi, raw), 'https://') AS url FROM (SELECT *, coalesce(CASE WHEN k % 2 = 0 THEN title || ' and ' || title END, raw || raw) AS t FROM entries)")
+def titles_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = entries_in(spark, sf_dir)
+    title = F.when(F.col("k") % 2 == 0, F.concat("title", F.lit(" and "), "title"))
+    link = ct.record_link(F.col("doi"), F.col("arxiv_id"), F.concat(F.lit("u"), F.col("k").cast("string")))
+    return e.select("k", ct.short_title(title, F.concat("raw", "raw")).alias("short"), link.alias("link"), formats.is_url(F.coalesce("doi", "raw")).alias("url"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id, i - 1 AS n, ls[i] AS line, text FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS u(i)),
+w AS (SELECT doc_id, n, line, 0 AS chunk, length(line) AS size FROM p WHERE n = 0
+ UNION ALL SELECT p.doc_id, p.n, p.line, CASE WHEN w.size > 0 AND w.size + length(p.line) + 1 > 500 THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.size = 0 OR w.size + length(p.line) + 1 > 500 THEN length(p.line) ELSE w.size + 1 + length(p.line) END FROM w JOIN p ON p.doc_id = w.doc_id AND p.n = w.n + 1)
+SELECT doc_id, chunk::INT AS chunk, string_agg(line, chr(10) ORDER BY n) AS text FROM w JOIN (SELECT doc_id, length(text) AS len FROM documents) USING (doc_id) WHERE len > 500 GROUP BY doc_id, chunk
+ UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= 500""")
+def packed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in pieces cut at line ends, as bibliographies are sent."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.packed_lines(F.col("text"), 500)).alias("chunk", "text"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size * 100 BETWEEN 1000 AND 2200 THEN p_size * 100 END::INT AS year FROM part")
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years as texts; what is no year is none."""
+    said = F.when(F.col("p_partkey") % 2 == 0, (F.col("p_size") * 100).cast("string")).otherwise(F.concat((F.col("p_size") * 100).cast("string"), F.lit(".0")))
+    return table(spark, sf_dir, "part").select("p_partkey", ct.year_of(said).alias("year"))
+
+
+@query(f"WITH RECURSIVE {PAPERS}, {PARAS}, {packed(2000)} SELECT doc_id, passage_index, string_agg(passage_index || ':' || length(text) || ';', '') OVER (PARTITION BY doc_id ORDER BY passage_index) AS summary FROM passages")
 def streaming_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running summaries of passages that come as a stream of files."""
     from glossator.streaming.progressive import running_summaries
