@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +119,19 @@ def token_count(c: Column) -> Column:
     return F.floor(F.length(c) / CHARS_PER_TOKEN)
 
 
+def counted_by(count: Callable[[str], int]) -> Callable[[Column], Column]:
+    """A token count of one's own, such as a tokenizer's, in the place of token_count; it sees Arrow batches."""
+
+    def counted(c: Column) -> Column:
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for t in texts:
+                yield pd.Series([None if x is None else count(x) for x in t], dtype="Int64")
+
+        return F.pandas_udf(run, "long")(c)
+
+    return counted
+
+
 def truncate_tokens(c: Column, most: Column | int) -> Column:
     most = most if isinstance(most, Column) else F.lit(most)
     return F.substring(c, F.lit(1), (most * CHARS_PER_TOKEN).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -163,10 +164,11 @@ def docx_text(content: bytes) -> str:
     return "\n".join(out)
 
 
-def decode(files: DataFrame, pdf_pages=None) -> DataFrame:
+def decode(files: DataFrame, pdf_pages=None, max_pages: int | None = None) -> DataFrame:
     """files (path, format, content) with ``raw`` text and ``error``. Text formats are decoded in the JVM, DOCX by a
-    function; PDF needs ``pdf_pages``, a function from bytes to page texts, and is an error without it. A bad
-    file is an error in its own row, not of the job."""
+    function; PDF needs ``pdf_pages``, a function from bytes to page texts, and is an error without it. Pages are
+    taken from it one by one, ``max_pages`` at most, so a reader that yields them reads no others. A bad file is
+    an error in its own row, not of the job."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -176,7 +178,7 @@ def decode(files: DataFrame, pdf_pages=None) -> DataFrame:
                     if kind == "docx":
                         raw.append(docx_text(bytes(content)))
                     elif kind == "pdf" and pdf_pages:
-                        raw.append("\f".join(pdf_pages(bytes(content))))
+                        raw.append("\f".join(islice(pdf_pages(bytes(content)), max_pages)))
                     else:
                         raise ValueError(f"unsupported format: {kind}")
                     errors.append(None)
@@ -190,9 +192,9 @@ def decode(files: DataFrame, pdf_pages=None) -> DataFrame:
     return plain.unionByName(other)
 
 
-def parse_files(files: DataFrame, pdf_pages=None) -> DataFrame:
+def parse_files(files: DataFrame, pdf_pages=None, max_pages: int | None = None) -> DataFrame:
     """path, format, title, text, was_ocr, error of every file."""
-    rows = decode(files, pdf_pages)
+    rows = decode(files, pdf_pages, max_pages)
     content = text_content(F.col("raw"))
     blocks = tx.blocks_from_lines(F.col("raw"))
     pdf = F.array_join(F.filter(F.transform(F.split("raw", "\f"), reflowed), lambda p: trim(p) != ""), "\n\n")
@@ -230,7 +232,7 @@ def fetch(urls: DataFrame, get, url: str = "url") -> DataFrame:
     return urls.select(F.col(url).alias("url")).mapInPandas(run, "url string, media_type string, content binary, error string")
 
 
-def parse_fetched(fetched: DataFrame, pdf_pages=None) -> DataFrame:
+def parse_fetched(fetched: DataFrame, pdf_pages=None, max_pages: int | None = None) -> DataFrame:
     """url, format, title, text, was_ocr, error of what ``fetch`` brought: by the URL's extension or the media type,
     else as a web page if it is one or does not say."""
     from glossator.sources.html import parse_pages
@@ -239,9 +241,30 @@ def parse_fetched(fetched: DataFrame, pdf_pages=None) -> DataFrame:
     rows = fetched.withColumn("format", detect_format(F.col("url"), F.col("media_type"))).withColumn("_mime", mime)
     failed = rows.where("content is null").select("url", "format", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("was_ocr"), F.coalesce("error", F.lit("no content")).alias("error"))
     got = rows.where("content is not null")
-    files = parse_files(got.where("format is not null").select(F.col("url").alias("path"), "format", "content"), pdf_pages).withColumnRenamed("path", "url")
+    files = parse_files(got.where("format is not null").select(F.col("url").alias("path"), "format", "content"), pdf_pages, max_pages).withColumnRenamed("path", "url")
     is_page = F.col("_mime").isNull() | F.col("_mime").isin("", "text/html", "application/xhtml+xml")
     pages = parse_pages(got.where(F.col("format").isNull() & is_page).select("url", "format", F.decode("content", "UTF-8").alias("html")))
     pages = pages.select("url", "format", "title", "text", F.lit(False).alias("was_ocr"), "error")
     other = got.where(F.col("format").isNull() & ~is_page).select("url", "format", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("was_ocr"), F.concat(F.lit("unsupported media type: "), F.col("media_type")).alias("error"))
     return files.select("url", "format", "title", "text", "was_ocr", "error").unionByName(pages).unionByName(other).unionByName(failed)
+
+
+def parse_documents(spark: SparkSession, places: list[str], get=None, pdf_pages=None, max_pages: int | None = None) -> DataFrame:
+    """place, format, title, text, was_ocr, error of everything at the places: files and folders by their path, URLs
+    by ``get`` (see ``fetch``)."""
+    fields = ["format", "title", "text", "was_ocr", "error"]
+    urls = [p for p in places if p.startswith(("http://", "https://"))]
+    out = None
+    for p in places:
+        if p not in urls:
+            rows = parse_files(read_files(spark, p), pdf_pages, max_pages).select(F.col("path").alias("place"), *fields)
+            out = rows if out is None else out.unionByName(rows)
+    if urls:
+        if get is None:
+            raise ValueError("URLs need a function that gets them")
+        fetched = fetch(spark.createDataFrame([(u,) for u in urls], "url string"), get)
+        rows = parse_fetched(fetched, pdf_pages, max_pages).select(F.col("url").alias("place"), *fields)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return spark.createDataFrame([], f"place string, format string, {PARSED}")
+    return out

@@ -258,6 +258,9 @@ def test_review_corpus(spark, tmp_path):
     corpus.review_corpus(docs, cfg, "progressive").papers.collect()
     assert cfg.ledger.table().count() == calls
     assert {r.stage for r in corpus.progress(cfg.ledger).collect()} >= {"deep_check", "summary", "feedback"}
+    assert {r.stage: r.event for r in corpus.progress(cfg.ledger).collect()}["deep_check"] == "passage"
+    told = {(r.doc_id, r.event): r.value for r in corpus.milestones(docs, out).collect()}
+    assert told[1, "prepared"] == 1 and told[2, "prepared"] == 0 and told[1, "done"] >= 1 and told[2, "done"] == 0
     corpus.write_json(out.papers, str(tmp_path / "json"))
     assert spark.read.text(str(tmp_path / "json")).count() == 2
     with pytest.raises(ValueError, match="unknown method"):
@@ -279,3 +282,32 @@ def test_fetched(spark):
     assert got["https://x/a.md"] == ("T", "# T\n\nBody", None)
     assert got["https://x/page"][1] == "Hello" and got["https://x/down"][2] == "down"
     assert got["https://arxiv.org/abs/1"][1].endswith("Body")
+
+
+def test_one_entry_for_files_and_addresses(spark, tmp_path):
+    from glossator.sources import formats
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# Head\n\nBody")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"raw")
+    read = []
+
+    def pages(content):
+        for i in range(9):
+            if i > 2:
+                raise ValueError("a page beyond the limit was read")
+            read.append(i)
+            yield f"page {i}"
+
+    got = {r.place.rsplit("/", 1)[1]: r for r in formats.parse_documents(spark, [str(tmp_path / "in"), "https://x/c.txt"], lambda u: (200, "text/plain", b"said"), pages, max_pages=2).collect()}
+    assert (got["a.md"].title, got["c.txt"].text, got["b.pdf"].text, got["b.pdf"].error) == ("Head", "said", "page 0\n\npage 1", None)
+    assert formats.parse_documents(spark, []).count() == 0
+    with pytest.raises(ValueError, match="URLs need"):
+        formats.parse_documents(spark, ["https://x/c.txt"])
+
+
+def test_token_counts_of_a_tokenizer(spark):
+    from glossator.functions import text as tx
+
+    rows = spark.createDataFrame([("a b  c",), (None,)], "t string")
+    assert [r.n for r in rows.select(tx.counted_by(lambda t: len(t.split()))(F.col("t")).alias("n")).collect()] == [3, None]
