@@ -49,66 +49,83 @@ def blocks_from_lines(c: Column) -> Column:
 # --- paragraphs and passages ----------------------------------------------------------------------
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being worked out once however often it is used, within lambdas too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def runs_of(items: Column, size: Callable[[Column], Column], step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """Array of (lo, n): runs of neighbouring items, by a walk that knows only the size of the open run.
+
+    ``step(open, own)`` says whether the item starts a new run, the size of its run with it, and whether it ends it. The
+    result has the runs that were ended or followed by another (``done``), and the one left open (``rest``). A list that an
+    aggregate grows is copied with all its strings at every step; here the runs are written down as one short text.
+    """
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("lo"), F.lit(0).alias("open"), F.lit("").alias("out"))
+    write = lambda out, lo, i: F.concat(out, lo.cast("string"), F.lit(":"), i.cast("string"), F.lit(","))
+
+    def walk(acc: Column, item: Column) -> Column:
+        def with_own(own: Column) -> Column:
+            starts, total, ends = step(acc.open, own)
+            lo = F.when(starts, acc.i).otherwise(acc.lo)
+            before = F.when(starts & (acc.open > 0), write(acc.out, acc.lo, acc.i)).otherwise(acc.out)
+            return F.struct((acc.i + 1).alias("i"), F.when(ends, acc.i + 1).otherwise(lo).alias("lo"), F.when(ends, 0).otherwise(total).alias("open"), F.when(ends, write(before, lo, acc.i + 1)).otherwise(before).alias("out"))
+
+        return let(size(item), with_own)
+
+    walked = F.aggregate(items, zero, walk, lambda acc: F.concat(acc.out, F.when(acc.open > 0, write(F.lit("|"), acc.lo, acc.i)).otherwise("|")))
+    bounds = lambda x: F.struct(F.split(x, ":")[0].cast("int").alias("lo"), F.split(x, ":")[1].cast("int").alias("hi"))
+    listed = lambda t: F.transform(F.filter(F.split(t, ","), lambda x: x != ""), bounds)
+    return let(F.split(walked, "\\|"), lambda parts: F.struct(listed(parts[0]).alias("done"), listed(parts[1]).alias("rest")))
+
+
+def joined_run(items: Column, lo: Column, hi: Column, by: str) -> Column:
+    return F.array_join(F.slice(items, lo + 1, hi - lo), by)
+
+
 def paragraphs(text: Column, least: int = MIN_PARAGRAPH) -> Column:
     """Array of paragraphs. Blank lines part them; one shorter than ``least`` is put before the next one,
     and a short rest after the last one."""
-    strings = F.array().cast("array<string>")
-    start = F.struct(strings.alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, part: Column) -> Column:
-        joined = F.when(acc.open == "", part).otherwise(F.concat(acc.open, F.lit("\n\n"), part))
-        long_enough = F.length(joined) >= least
-        return F.struct(
-            F.when(long_enough, F.concat(acc.done, F.array(joined))).otherwise(acc.done).alias("done"),
-            F.when(long_enough, "").otherwise(joined).alias("open"),
-        )
-
-    def finish(acc: Column) -> Column:
-        n = F.size(acc.done)
-        merged = F.concat(F.slice(acc.done, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.element_at(acc.done, n), F.lit("\n\n"), acc.open)))
-        return F.when(acc.open == "", acc.done).when(n == 0, F.array(acc.open)).otherwise(merged)
+
+    def step(open_: Column, own: Column) -> tuple[Column, Column, Column]:
+        total = F.when(open_ == 0, own).otherwise(open_ + 2 + own)
+        return open_ == 0, total, total >= least
+
+    def with_runs(parts: Column, runs: Column) -> Column:
+        last = F.size(runs.done)
+        rest = F.try_element_at(runs.rest, F.lit(1))
+        whole = F.when(rest.isNull() | (last == 0), F.concat(runs.done, runs.rest)).otherwise(F.concat(F.slice(runs.done, F.lit(1), F.greatest(last - 1, F.lit(0))), F.array(F.struct(F.try_element_at(runs.done, F.lit(-1)).lo.alias("lo"), rest.hi.alias("hi")))))
+        return F.transform(whole, lambda r: joined_run(parts, r.lo, r.hi, "\n\n"))
 
     parts = non_blank(F.split(F.coalesce(text, F.lit("")), "\n\n", -1))
-    return F.aggregate(parts, start, step, finish)
+    return let(parts, lambda p: let(runs_of(p, F.length, step), lambda r: with_runs(p, r)))
 
 
 def passages(paras: Column, target: int = PASSAGE_CHARS) -> Column:
     """Array of (paragraph_indices, text): neighbouring paragraphs packed up to ``target`` characters, the
     separators between the last passage and the new paragraph not counted."""
-    none = F.array().cast(f"array<{PASSAGE}>")
-    no_index = F.array().cast("array<int>")
-    start = F.struct(none.alias("done"), no_index.alias("at"), F.lit("").alias("open"), F.lit(0).alias("i"))
 
-    def pack(at: Column, open_: Column) -> Column:
-        return F.array(F.struct(at.alias("paragraph_indices"), open_.alias("text")))
+    def step(open_: Column, own: Column) -> tuple[Column, Column, Column]:
+        starts = (open_ == 0) | (open_ + own > target)
+        return starts, F.when(starts, own).otherwise(open_ + 2 + own), F.lit(False)
 
-    def step(acc: Column, para: Column) -> Column:
-        full = (acc.open != "") & (F.length(acc.open) + F.length(para) > target)
-        alone = full | (acc.open == "")
-        return F.struct(
-            F.when(full, F.concat(acc.done, pack(acc["at"], acc.open))).otherwise(acc.done).alias("done"),
-            F.when(full, F.array(acc.i)).otherwise(F.concat(acc["at"], F.array(acc.i))).alias("at"),
-            F.when(alone, trim(para)).otherwise(trim(F.concat(acc.open, F.lit("\n\n"), para))).alias("open"),
-            (acc.i + 1).alias("i"),
-        )
+    def passage(p: Column, r: Column) -> Column:
+        return F.struct(F.sequence(r.lo, r.hi - 1).alias("paragraph_indices"), joined_run(p, r.lo, r.hi, "\n\n").alias("text"))
 
-    return F.aggregate(paras, start, step, lambda acc: F.when(acc.open == "", acc.done).otherwise(F.concat(acc.done, pack(acc["at"], acc.open))))
+    trimmed = F.transform(paras, trim)
+    packed = lambda p: let(runs_of(p, F.length, step), lambda r: F.transform(F.concat(r.done, r.rest), lambda x: passage(p, x)))
+    return let(trimmed, packed).cast(f"array<{PASSAGE}>")
 
 
 def packed_lines(text: Column, most: int) -> Column:
     """Array of pieces of at most ``most`` characters, cut at line ends; a longer line is a piece of its own."""
-    strings = F.array().cast("array<string>")
-    start = F.struct(strings.alias("done"), F.lit("").alias("open"))
-
-    def step(acc: Column, line: Column) -> Column:
-        full = (acc.open != "") & (F.length(acc.open) + F.length(line) + 1 > most)
-        return F.struct(
-            F.when(full, F.concat(acc.done, F.array(acc.open))).otherwise(acc.done).alias("done"),
-            F.when(full | (acc.open == ""), line).otherwise(F.concat(acc.open, F.lit("\n"), line)).alias("open"),
-        )
-
-    packed = F.aggregate(lines(text), start, step, lambda acc: F.when(acc.open == "", acc.done).otherwise(F.concat(acc.done, F.array(acc.open))))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(packed)
+
+    def step(open_: Column, own: Column) -> tuple[Column, Column, Column]:
+        starts = (open_ == 0) | (open_ + own + 1 > most)
+        return starts, F.when(starts, own).otherwise(open_ + 1 + own), F.lit(False)
+
+    packed = lambda p: let(runs_of(p, F.length, step), lambda r: F.transform(F.concat(r.done, r.rest), lambda x: joined_run(p, x.lo, x.hi, "\n")))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(let(lines(text), packed))
 
 
 # --- tokens ---------------------------------------------------------------------------------------

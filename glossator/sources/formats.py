@@ -75,6 +75,10 @@ def text_content(raw: Column) -> Column:
     return F.struct(F.coalesce(F.nullif(named, F.lit("")), by_line, F.lit("")).alias("title"), body.alias("text"), F.coalesce(ocr, F.lit(False)).alias("was_ocr"))
 
 
+#: What parts paragraphs while a page is put together; it is no character of a text.
+PARTED = "\x01"
+
+
 def reflowed(page: Column) -> Column:
     """Paragraphs of a page whose lines were broken by its layout, parted by blank lines.
 
@@ -83,28 +87,28 @@ def reflowed(page: Column) -> Column:
     that does both.
     """
     own = F.transform(tx.lines(page), trim)
-    wide = F.array_sort(F.filter(F.transform(own, F.length), lambda n: n > 30))
-    median = F.coalesce(F.try_element_at(wide, (F.floor(F.size(wide) / 2) + 1).cast("int")), F.lit(80))
-    following = F.concat(F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), F.array(F.lit("")))
-    rows = F.zip_with(own, following, lambda a, b: F.struct(a.alias("line"), b.alias("next")))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit("").alias("open"), median.alias("median"))
-
-    def step(acc: Column, x: Column) -> Column:
-        joins = F.endswith(acc.open, F.lit("-")) & x.line.rlike("^[a-z]")
-        open_ = F.when(joins, F.concat(F.substring(acc.open, F.lit(1), F.length(acc.open) - 1), x.line)).when(acc.open == "", x.line).otherwise(F.concat(acc.open, F.lit(" "), x.line))
-        ends = x.line.rlike(r"""[.?!:]["')\]]?$""")
-        starts = (x.next == "") | x.next.rlike(r"""^[A-Z0-9"'(\[]""")
-        width = F.length(x.line)
-        flush = (x.line == "") | ((width < 0.7 * acc.median) & (ends | starts)) | ((width < 0.9 * acc.median) & ends & starts)
-        whole = F.when(x.line == "", acc.open).otherwise(open_)
-        return F.struct(
-            F.when(flush & (trim(whole) != ""), F.concat(acc.done, F.array(trim(whole)))).otherwise(acc.done).alias("done"),
-            F.when(flush, "").otherwise(open_).alias("open"),
-            acc.median.alias("median"),
-        )
-
-    return F.array_join(F.aggregate(rows, start, step, lambda acc: F.when(trim(acc.open) == "", acc.done).otherwise(F.concat(acc.done, F.array(trim(acc.open))))), "\n\n")
+    wide = lambda own: F.array_sort(F.filter(F.transform(own, F.length), lambda n: n > 30))
+
+    def flowed(own: Column, median: Column) -> Column:
+        following = F.concat(F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), F.array(F.lit("")))
+
+        def marked(line: Column, after: Column) -> Column:
+            ends = line.rlike(r"""[.?!:]["')\]]?$""")
+            starts = (after == "") | after.rlike(r"""^[A-Z0-9"'(\[]""")
+            width = F.length(line)
+            last = (line == "") | ((width < 0.7 * median) & (ends | starts)) | ((width < 0.9 * median) & ends & starts)
+            return F.concat(line, F.when(last, PARTED).otherwise("\n"))
+
+        # Whether a paragraph ends is told by its lines alone, so all are joined at once and parted again.
+        whole = F.array_join(F.zip_with(own, following, marked), "")
+        plain = lambda p: F.replace(F.regexp_replace(p, "-\n(?=[a-z])", ""), F.lit("\n"), F.lit(" "))
+        return F.array_join(F.filter(F.transform(F.split(whole, PARTED), lambda p: trim(plain(p))), lambda p: p != ""), "\n\n")
+
+    def with_median(own: Column) -> Column:
+        middle = lambda w: F.coalesce(F.try_element_at(w, (F.floor(F.size(w) / 2) + 1).cast("int")), F.lit(80))
+        return tx.let(tx.let(wide(own), middle), lambda m: flowed(own, m))
+
+    return tx.let(own, with_median)
 
 
 def joined_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:

@@ -104,3 +104,16 @@ def test_files(spark, tmp_path):
     assert got["b.tex"] == ("T", r"\title{T}", None)
     assert got[".docx"] == ("One", "One\n\nTwo", None)
     assert got["c.bin"][2].startswith("unsupported")
+
+
+def test_one_long_text(spark):
+    """Work is in proportion to the text: thirty thousand paragraphs in one document."""
+    import time
+
+    n = 30_000
+    text = "\n\n".join(f"Paragraph {i}." for i in range(n))
+    rows = spark.createDataFrame([(text,)], "t string")
+    start = time.monotonic()
+    got = rows.select(F.size(tx.paragraphs(F.col("t"), 10)).alias("n"), F.size(tx.passages(tx.paragraphs(F.col("t"), 10), 1000)).alias("p"), F.size(tx.packed_lines(F.col("t"), 1000)).alias("l"), F.length(formats.reflowed(F.col("t"))).alias("r")).first()
+    assert got.n == n and 450 < got.p < 700 and 450 < got.l < 700 and got.r == len(text)
+    assert time.monotonic() - start < 120
