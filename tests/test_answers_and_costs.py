@@ -65,6 +65,31 @@ def test_prices(spark):
     assert one(spark, costs.rounded(costs.dollars(F.lit(1000), F.lit(500), F.lit(5.0), F.lit(25.0)))) == 0.0175
 
 
+def test_halves_do_not_hang_on_the_order_of_a_sum(spark):
+    # What sums of the same prices give in different orders; exactly it is 0.09785.
+    sums = [0.09784999999999999, 0.09785, 0.09785000000000002]
+    rows = spark.createDataFrame([(x,) for x in [*sums, 0.0978499, 0.0, float("inf"), None]], "cost double")
+    assert [r[0] for r in rows.select(costs.rounded(F.col("cost"))).collect()][:5] == [0.0979] * 3 + [0.0978, 0.0]
+
+
+def test_cost_by_doc_is_exact(spark):
+    from fractions import Fraction as Fr
+
+    from glossator.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    price = {r.model: (Fr(str(r.prompt)), Fr(str(r.completion))) for r in registry.QUERIES["price_longest_match"](spark, sf).collect()}
+    exact = {}
+    for r in registry.calls_in(spark, sf).collect():
+        p, c = price[r.model]
+        exact[r.doc_id] = exact.get(r.doc_id, 0) + (r.prompt_tokens * p + r.completion_tokens * c) / 10**6
+    # Halves go up; the SQL's own sum of doubles gives either value for such a row, from run to run.
+    expected = {k: float((v * 10_000 + Fr(1, 2)) // 1) / 10_000 for k, v in exact.items()}
+    assert any((v * 10_000 + Fr(1, 2)).denominator == 1 for v in exact.values())
+    for _ in range(2):
+        assert {r.doc_id: r.cost_usd for r in registry.QUERIES["cost_by_doc"](spark, sf).collect()} == expected
+
+
 def test_live_prices(spark):
     live = costs.live_prices(spark.createDataFrame([('{"data": [{"id": "a/b", "pricing": {"prompt": "0.000001", "completion": "0.000002"}}, {"id": "c", "pricing": {}}]}',)], "value string"), "openrouter")
     assert [(r.key, round(r.prompt, 9), round(r.completion, 9)) for r in live.collect()] == [("a/b", 1.0, 2.0)]
