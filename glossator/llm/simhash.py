@@ -13,7 +13,7 @@ Fingerprints that share a key meet, and their distance is then computed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +51,11 @@ def fingerprint(text: str | None) -> int:
         held = words[-(SHINGLE - 1) :]
     if not n and held:  # fewer words than a shingle has: the whole sequence
         n, counts = 1, set_bits(np.array([of(b" ".join(held), SEED)], "<u8"))
+    return majority(counts, n)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of n hashes of which so many have each bit."""
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
@@ -166,10 +171,15 @@ def forest(fp: np.ndarray, links: Iterable[tuple[np.ndarray, np.ndarray]]) -> tu
     return fp[moved], fp[root[moved]]
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+def star(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint with the smallest one, whatever the distance, for callers that check the texts themselves."""
+    return fp[1:], fp[:1].repeat(max(0, len(fp) - 1))
+
+
+def fingerprint_links(distinct: DataFrame, solver: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] = span) -> DataFrame:
     """a, b: links between the fingerprints of ``distinct`` (fp long, no repeats) that span the classes of
     those two bits or fewer apart. Linked by transitivity, they say the same as all close pairs would; their
-    number is linear in the number of meetings."""
+    number is linear in the number of meetings. Another ``solver`` links those that share a key otherwise."""
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -203,7 +213,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
     def solve(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         fp = parts[0] if len(parts) == 1 else np.concatenate(parts)
-        return span(np.unique(fp))
+        return solver(np.unique(fp))
 
     def batch(links: list) -> pa.RecordBatch:
         a = np.concatenate([x for x, _ in links]) if links else np.empty(0, np.uint64)
