@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import fresh_path, worker_cache
+from glossator.llm.common import fresh_path, give_back, small, worker_cache
 
 MAGIC = b"GTS1"
 SKIPPABLE = 0x184D2A5E
@@ -334,7 +334,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
     dealt = rows.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
     end = end_id
 
-    def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -342,19 +342,18 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
         name = f"{path}/{file_no:06d}.tok"
         tail = np.array([end], enc.dtype).tobytes()
         count = 0
-        for batch in batches:
+        for b in small(batches):
             if out is None:
                 out = FileWriter(name, enc.width, str(task.taskAttemptId()))
-            texts, ids = batch["text"].tolist(), batch["doc_id"].astype("Int64").tolist()
-            for k, b in zip(ids, enc.encode(texts), strict=True):
-                out.add(None if k is pd.NA else k, b + tail)
-            count += len(texts)
+            for k, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+                out.add(k, ids + tail)
+            count += b.num_rows
         if out is not None and count:
-            least, most = out.bounds()
-            row = pd.DataFrame({"file_no": [file_no], "path": [name], "docs": [count], "tokens": [out.close()], "least": [least], "most": [most]})
-            yield row.astype({"least": "Int64", "most": "Int64"})
+            row = (file_no, name, count, out.close(), *out.bounds())
+            kinds = (pa.int32(), pa.string(), *[pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["file_no", "path", "docs", "tokens", "least", "most"])
 
-    made = dealt.mapInPandas(write, MANIFEST)
+    made = dealt.mapInArrow(write, MANIFEST)
     made.write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
     # One row for each file: as few rows as the write had tasks.
@@ -382,6 +381,7 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         out = []
                 if out:
                     yield frame(out)
+        give_back()
 
     def frame(out: list) -> pd.DataFrame:
         df = pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
