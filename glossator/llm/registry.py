@@ -7,9 +7,10 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from glossator.llm import sql
+from glossator.llm import sql, vector_sql
 from glossator.llm.common import documents
 from glossator.llm.decontamination import contained_items
+from glossator.llm.hard_negatives import hard_negative_report
 from glossator.llm.language import language_report
 from glossator.llm.line_dedup import line_report
 from glossator.llm.media import media_report
@@ -19,6 +20,7 @@ from glossator.llm.secrets import secret_report
 from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
 from glossator.llm.toxicity import toxicity_report
+from glossator.llm.vector_codes import vector_code_report
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negative_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -74,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_token_output": op9_token_output,
     "op10_simhash": op10_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -83,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql()
+    return sql.oracle_sql() | vector_sql.oracle_sql()
