@@ -8,6 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme. A plain path is on Spark's default file system, which readers outside Spark don't know."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's. Where neither is set, a local
     session gets one of its own; on a cluster no folder can be guessed, and that is an error."""
@@ -21,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             found = tempfile.mkdtemp(prefix="glossator-")
             spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return qualified(spark, found).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
