@@ -21,6 +21,7 @@ from glossator.llm.simhash import simhash_components
 from glossator.llm.token_output import token_output
 from glossator.llm.toxicity import toxicity_report
 from glossator.llm.vector_codes import vector_code_report
+from glossator.llm.warc import warc_report
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_token_output": op9_token_output,
     "op10_simhash": op10_simhash,
+    "op11_warc": op11_warc,
     "op12_vector_codes": op12_vector_codes,
     "op13_hard_negatives": op13_hard_negatives,
     "pipeline": corpus_pipeline.run,

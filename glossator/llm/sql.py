@@ -23,6 +23,14 @@ h AS (SELECT doc_id, item_id, count(*) AS f FROM s JOIN i USING (s) GROUP BY ALL
 SELECT doc_id, item_id, n AS n_shingles, f AS n_found, f / n AS containment FROM h JOIN n USING (item_id) WHERE f >= ceil(n * 0.8 - 1e-9)
 """
 
+#: Base 32 takes five bits a letter: five hexadecimal digits are four letters.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+ (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(h), 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1), '' ORDER BY i) FROM unnest(range(32)) AS u(i)) AS payload_digest,
+ CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p
+"""
+
 
 def _spans(rule: Rule, number: int) -> str:
     """A kind's spans: texts between the matches and the matches themselves, their lengths added up."""
@@ -43,4 +51,4 @@ def secrets() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINE_DEDUP, "op2_decontamination": DECONTAMINATION, "op7_secrets": secrets()}
+    return {"op1_line_dedup": LINE_DEDUP, "op2_decontamination": DECONTAMINATION, "op7_secrets": secrets(), "op11_warc": WARC}

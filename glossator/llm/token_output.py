@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import fresh_path, give_back, small, worker_cache
+from glossator.llm.common import fresh_path, give_back, open_fs, publish, qualified, small, worker_cache
 
 MAGIC = b"GTS1"
 SKIPPABLE = 0x184D2A5E
@@ -213,13 +213,6 @@ def encoder(path: str) -> ChunkEncoder:
 # --- file format ----------------------------------------------------------------------------------
 
 
-def open_fs(path: str):
-    """(file system, path in it); any URI that pyarrow knows, or a plain path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
-
-
 class FileWriter:
     """Writes one file of the format above. It appears under its name only when it is complete."""
 
@@ -248,10 +241,7 @@ class FileWriter:
         trailer = struct.pack(TRAILER, MAGIC, self.width, len(self.rows), len(table), len(raw), zlib.crc32(raw))
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + len(trailer)) + table + trailer)
         self.out.close()
-        # Some file systems move onto no file that is there: a task that is run again takes its old one away.
-        if self.fs.get_file_info(self.path).type.name != "NotFound":
-            self.fs.delete_file(self.path)
-        self.fs.move(self.part, self.path)
+        publish(self.fs, self.part, self.path)
         return int(columns[2].sum()) if columns else 0
 
     def bounds(self) -> tuple[int | None, int | None]:
@@ -327,7 +317,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
     own. An empty table gives an empty manifest. Other columns are ignored.
     """
     spark = docs.sparkSession
-    path = path or fresh_path(spark, "tokens")
+    path = qualified(spark, path or fresh_path(spark, "tokens"))
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
