@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from glossator.sources.storage import durable, fresh_path, qualified, shared_dir
 
-__all__ = ["SPACE", "WORD", "documents", "durable", "fresh_path", "give_back", "id_crc", "lots", "open_fs", "publish", "qualified", "shared_dir", "small", "spare_name", "spent_shuffles_removed", "worker_cache"]
+__all__ = ["SPACE", "WORD", "along_salts", "documents", "durable", "fresh_path", "give_back", "id_crc", "lots", "open_fs", "publish", "qualified", "shared_dir", "small", "spare_name", "spent_shuffles_removed", "worker_cache"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,6 +40,22 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def along_salts(rows: DataFrame, key: list[str], salted_by: list[str], first: Column) -> DataFrame:
+    """The rows whose key occurs more than once, each with ``first``, the least value of that struct among all rows of
+    its key. ``first`` must tell all rows apart; a row that is repeated counts as one that occurs more than once.
+
+    A key's rows are counted by (key, salt) first, the salt being a hash of the columns ``salted_by``, and each salt that
+    occurs is handed the key's value. So a key with a third of all rows is as many keys as there are salts, in the
+    aggregation and in the join, and nothing is multiplied.
+    """
+    salt = spare_name(rows, "_salt")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*salted_by), F.lit(n)))
+    by_salt = rows.groupBy(*key, salt).agg(F.min(first).alias("first"), F.count("*").alias("_n"))
+    tops = by_salt.groupBy(*key).agg(F.min("first").alias("first"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(by_salt.select(*key, salt).join(tops, key), [*key, salt]).drop(salt)
+
+
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -1,13 +1,18 @@
 """Line dedup by winnowing over line hashes.
 
-Grams of ``gram`` lines in a row are hashed, and from each window of ``window`` grams the least is selected
-(the last of equal ones). Only the positions that some window selects are kept, about two in ``window + 1``.
-Two equal runs of ``gram + window - 1`` lines, the guarantee, select the same gram at the same place, so they
-have a fingerprint in common. Positions whose fingerprint is nowhere else are dropped. The others are joined,
-and each match is extended to the left and right: first over the lines of each window that selected the
-fingerprint, which tells true repeats from equal grams in other surroundings; beyond the guarantee the
-windows of the next fingerprints go on, so that runs that overlap or touch are one maximal run. The lines of
-runs that occurred before are deleted.
+Grams of ``gram`` lines in a row are hashed, and from each window of ``window`` grams the least is selected (the
+last of equal ones). Only the positions that some window selects are kept, about two in ``window + 1``. Two equal
+runs of ``gram + window - 1`` lines, the guarantee, select the same gram at the same place, so they have a
+fingerprint in common.
+
+Positions are joined by their fingerprint, each later one with the first, and the match is extended to the left and
+right, line hash by line hash. As far as the two go together, runs of the guarantee that both hold are repeats.
+Extension ends ``window - 1`` lines from the fingerprint: what lies beyond has a fingerprint of its own, from which
+the walk goes on, so that repeated runs of any length are found whole. Where the walk ends short of a run, the run
+may still have occurred elsewhere: the position is joined again, with the first one that shares the fingerprint and
+the lines up to and including the one where it parted from the last. That is one line more each time, so there are
+``window`` rounds at most, each over the runs that are open. A fingerprint that very many positions have is never
+compared in pairs. The lines of runs that occurred before are deleted.
 """
 
 from __future__ import annotations
@@ -15,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossator.llm.common import durable, spare_name
+from glossator.llm.common import along_salts, durable, spare_name
 
-GRAM, WINDOW = 2, 2
+GRAM, WINDOW = 1, 3
 
 
 def lines_of(text: Column) -> Column:
@@ -25,13 +30,13 @@ def lines_of(text: Column) -> Column:
 
 
 def selected(keyed: DataFrame, gram: int, window: int) -> DataFrame:
-    """One row for each position that winnowing selects: doc_id, tie, at (its first line), fp (the gram's hash) and
-    runs, for each window that selects it ``left``, how many of the run's lines lie before ``at``, and ``run``,
-    the hash of the run's lines.
+    """One row for each position that winnowing selects: doc_id, tie, at (its first line), fp (the gram's hash), lefts
+    (for each window that selects it, how many of the run's lines lie before ``at``), and before and after, the hashes
+    of up to window - 1 lines on either side, the nearest first.
 
     The arrays are columns of their own and each is used twice, so that none is computed anew for each element.
     """
-    reach = gram + window - 1
+    reach, spare = gram + window - 1, window - 1
     rows = keyed.select("doc_id", "tie", F.transform("lines", lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= reach)
     line = lambda i: F.element_at("h", i + 1)
     grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.xxhash64(*(line(i + k) for k in range(gram))))
@@ -41,28 +46,45 @@ def selected(keyed: DataFrame, gram: int, window: int) -> DataFrame:
     rows = rows.select("doc_id", "tie", "h", "g", F.transform(F.sequence(F.lit(0), F.size("g") - window), least).alias("chosen"))
 
     def position(at: Column) -> Column:
-        left = F.filter(F.array(*map(F.lit, range(window))), lambda e: (e <= at) & F.coalesce(F.get("chosen", at - e) == at, F.lit(False)))
-        runs = F.transform(left, lambda e: F.struct(e.alias("left"), F.xxhash64(F.lit(reach), *(line(at - e + k) for k in range(reach))).alias("run")))
-        return F.struct(at.alias("at"), F.element_at("g", at + 1).alias("fp"), runs.alias("runs"))
+        lefts = F.filter(F.array(*map(F.lit, range(window))), lambda e: (e <= at) & F.coalesce(F.get("chosen", at - e) == at, F.lit(False)))
+        near = lambda places: F.array_compact(F.array(*(F.get("h", p) for p in places))) if spare else F.array().cast("array<bigint>")
+        return F.struct(at.alias("at"), F.element_at("g", at + 1).alias("fp"), lefts.alias("lefts"), near([at - 1 - k for k in range(spare)]).alias("before"), near([at + gram + k for k in range(spare)]).alias("after"))
 
     return rows.select("doc_id", "tie", F.explode(F.transform(F.array_distinct("chosen"), position)).alias("p")).select("doc_id", "tie", "p.*")
 
 
+def extension(own: str, other: str, most: int) -> Column:
+    """How many lines two positions have in common on a side, from the nearest on."""
+    out = F.lit(most)
+    for k in reversed(range(most)):
+        out = F.when(F.coalesce(F.get(own, F.lit(k)) == F.get(other, F.lit(k)), F.lit(False)), out).otherwise(k)
+    return out
+
+
 def repeated_runs(keyed: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """doc_id, tie, starts: where, in lines from 0, runs of gram + window - 1 lines begin that occurred before.
 
     Runs come in order of (doc_id, hash of the text, line), a null doc_id last.
     """
-    found = durable(selected(keyed, gram, window))
-    # Counts are pre-aggregated; of a hot fingerprint each task sends one row. Skewed joins are split by AQE.
-    again = found.groupBy("fp").count().where("count > 1").select("fp")
-    met = found.join(again, "fp", "left_semi").select("doc_id", "tie", "at", "fp", F.explode("runs").alias("r"))
-    met = met.select("doc_id", "tie", (F.col("at") - F.col("r.left")).alias("start"), "fp", "r.left", "r.run")
-    key = ["fp", "left", "run"]
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie", "start")
-    first = met.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = met.join(first, key).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    spare, hits = window - 1, None
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tie", "at")
+    rows = durable(selected(keyed, gram, window)).withColumn("path", F.lit(0).cast("long"))
+    for k in range(window):
+        # Each position with the first that has its fingerprint and, from the second round on, its path of lines.
+        met = along_salts(rows, ["fp", "path"], ["doc_id", "tie", "at"], F.struct(place.alias("place"), F.col("before").alias("b"), F.col("after").alias("a")))
+        met = met.where(~place.eqNullSafe(F.col("first.place")))
+        met = met.withColumn("left", extension("before", "first.b", spare)).withColumn("right", extension("after", "first.a", spare))
+        met = met.select("doc_id", "tie", "at", "fp", "before", "after", "left", "right", F.explode("lefts").alias("e"))
+        met = durable(met.withColumn("same", (F.col("left") >= F.col("e")) & (F.col("right") >= spare - F.col("e"))))
+        found = met.where("same").select("doc_id", "tie", (F.col("at") - F.col("e")).alias("start"))
+        hits = found if hits is None else hits.union(found)
+        if k < spare:
+            # The lines to the left of the run first, then those to the right, up to the one that parted.
+            to_left = F.xxhash64("e", F.slice("before", 1, F.col("left") + 1))
+            to_right = F.xxhash64("e", F.slice("before", 1, F.col("e")), F.slice("after", 1, F.col("right") + 1))
+            path = F.when(F.col("left") < F.col("e"), to_left).otherwise(to_right)
+            rows = met.where("not same").select("doc_id", "tie", "at", "fp", F.array("e").alias("lefts"), "before", "after", path.alias("path"))
+    return hits.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def deduplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:

@@ -37,15 +37,15 @@ def test_winnowing_selects_window_minima(spark, gram, window):
     rows = selected_of(spark, texts, gram, window).collect()
     reach = gram + window - 1
     # Each run of the guarantee is told by exactly one position, which lies within it.
-    told = Counter((x.doc_id, x["at"] - e.left) for x in rows for e in x.runs)
+    told = Counter((x.doc_id, x["at"] - e) for x in rows for e in x.lefts)
     assert told == Counter((i, s) for i, t in enumerate(texts) for s in range(t.count("\n") + 2 - reach))
-    assert all(0 <= e.left < window for x in rows for e in x.runs)
+    assert all(0 <= e < window for x in rows for e in x.lefts)
     # The position holds the window's least hash, the last of equal ones.
     fps = {(x.doc_id, x["at"]): x.fp for x in rows}
     every = {(x.doc_id, x["at"]): x.fp for x in selected_of(spark, texts, gram, 1).collect()}
     for x in rows:
-        for e in x.runs:
-            s = x["at"] - e.left
+        for e in x.lefts:
+            s = x["at"] - e
             assert x["at"] == max(range(s, s + window), key=lambda k: (-every[x.doc_id, k], k))
     assert fps.items() <= every.items()
 
@@ -65,7 +65,27 @@ def test_runs_meet_by_their_fingerprints(spark, monkeypatch):
     assert [x.n_removed for x in ld.line_report(docs_of(spark, texts)).orderBy("doc_id").collect()] == [0, 0]
 
 
-@pytest.mark.parametrize(("gram", "window"), [(1, 3), (3, 3), (2, 5)])
+def test_matches_are_extended_both_ways(spark, monkeypatch):
+    """Positions hold no run, only their lines on either side: without the walk over these nothing is a repeat."""
+    texts = ["a\nb\nc\nd\ne", "x\na\nb\nc\nd\ny", "c\nd\ne\nz"]
+    assert [x.n_removed for x in ld.line_report(docs_of(spark, texts)).orderBy("doc_id").collect()] == [0, 4, 3]
+    assert set(selected_of(spark, texts, 1, 3).columns) == {"doc_id", "tie", "at", "fp", "lefts", "before", "after"}
+    real = ld.extension
+    for side in ("before", "after"):
+        monkeypatch.setattr(ld, "extension", lambda own, other, most, side=side: F.lit(0) if own == side else real(own, other, most))
+        assert [x.n_removed for x in ld.line_report(docs_of(spark, texts)).orderBy("doc_id").collect()] != [0, 4, 3]
+
+
+def test_runs_that_part_from_the_first_are_matched_further(spark):
+    """A line that all have, in surroundings of which some repeat: the first position with the fingerprint has none of them."""
+    r = random.Random(4)
+    texts = ["\n".join(x for _ in range(6) for x in (f"l{r.randrange(4)}", "hot", f"r{r.randrange(4)}")) for _ in range(60)]
+    texts.insert(0, "alone\nhot\nalone too")
+    got = {x.doc_id: x.text for x in ld.deduplicate_lines(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == lines_model(texts)
+
+
+@pytest.mark.parametrize(("gram", "window"), [(1, 1), (2, 2), (1, 3), (3, 3), (2, 5), (1, 7)])
 def test_line_dedup_of_any_guarantee(spark, gram, window):
     r = random.Random(window)
     texts = ["\n".join(r.choice("abcd") for _ in range(r.randint(0, 30))) for _ in range(50)] + [None, "", "a\n" * 30]
