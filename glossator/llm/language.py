@@ -25,8 +25,9 @@ BROADCAST_LANGUAGES = 100_000
 #: Texts that are counted together, for each has a count for each language.
 TOGETHER = 512
 GRAM = 4
-#: A language contains an n-gram if it is seen so often there, and not much more rarely than elsewhere.
-LEAST_COUNT, LEAST_SHARE = 3, 0.15
+#: A language contains an n-gram if it is one in so many of its n-grams or more, and not much more rarely than elsewhere. Of
+#: a language with fewer n-grams than that, one occurrence is enough.
+ONE_IN, LEAST_SHARE = 1_000_000, 0.15
 #: Rows of the filter for each n-gram of the fullest language, and how many of them an n-gram has.
 ROWS_PER_GRAM, PROBES = 12, 3
 UNKNOWN = "und"
@@ -172,9 +173,10 @@ def fit_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     table = chosen.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = durable(table)
     totals = table.groupBy("lang").agg(F.sum("n").alias("total"))
-    shared = table.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    totals = F.broadcast(totals) if len(counts) <= BROADCAST_LANGUAGES else totals
+    shared = table.join(totals, "lang").withColumn("share", F.col("n") / F.col("total"))
     top = shared.groupBy("gram").agg(F.max("share").alias("top"))
-    member = shared.where(F.col("n") >= LEAST_COUNT).join(top, "gram").where(F.col("share") >= F.col("top") * LEAST_SHARE)
+    member = shared.where(F.col("n") * ONE_IN >= F.col("total")).join(top, "gram").where(F.col("share") >= F.col("top") * LEAST_SHARE)
     found = member.select("lang", "gram").toPandas()
     languages = sorted(name for name, _ in counts)
     by = dict(iter(found.groupby("lang")["gram"]))

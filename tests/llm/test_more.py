@@ -149,6 +149,86 @@ def test_three_hundred_languages(spark):
     assert all(x.lang_pred == x.lang for x in got if x.lang in learned)
 
 
+def test_a_language_of_two_short_texts_is_learned(spark):
+    english = ["the house by the river is old and the road is long", "a ship came over the sea with all its men", "what we have said is what we shall do"]
+    rows = [(i, f"{english[i % 3]} {i}", "en") for i in range(90)]
+    learned = [i for i in range(200, 230) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    other = ["xochitl tlazohtla quetzal", "nahuatl tepetl cuauhtli"]
+    rows += [(i, t, "xx") for i, t in zip(learned, other, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang.language_report(docs).collect()}
+    assert all(got[i][0] == "xx" and got[i][1] > 0.9 for i in learned)
+    assert all(got[i][0] == "en" for i in range(90))
+
+
+def plain_grams(text):
+    """The n-grams of a text, by their definition."""
+    points = "".join(c if c.isalpha() else " " for c in text.lower())
+    spaced = " " + "".join(w + " " for w in points.split())
+    return [spaced[i : i + lang.GRAM] for i in range(len(spaced) - lang.GRAM + 1)]
+
+
+def gram_hash(gram):
+    h = 0
+    for c in gram:
+        h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+        h ^= h >> 29
+    return h
+
+
+def test_language_counts_and_correction_by_plain_python(spark):
+    """Members of each filter, rates, hits, corrected counts and scores, computed anew from the texts."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang.fit_languages(docs)
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    share = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    top = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            top[g] = max(top[g], x)
+    members = {k: {gram_hash(g) for g, n in c.items() if n * lang.ONE_IN >= c.total() and share[k][g] >= lang.LEAST_SHARE * top[g]} for k, c in counts.items()}
+    assert model.languages == sorted(members)
+    size = 1 << max(10, (max(map(len, members.values())) * lang.ROWS_PER_GRAM - 1).bit_length())
+
+    def places(h):
+        out = []
+        for _ in range(lang.PROBES):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % (1 << 64)
+            out.append((h >> 16) % size)
+        return out
+
+    held = {k: {p for h in m for p in places(h)} for k, m in members.items()}
+    assert len(model.table) == size
+    rates = {k: (len(p) / size) ** lang.PROBES for k, p in held.items()}
+    assert [rates[k] for k in model.languages] == pytest.approx(model.rates.tolist())
+    texts = [r.text for r in rows if r.text][:40] + ["", "1 2 3", "zzqqxx jjkkww"]
+    for text, (name, score) in zip(texts, model.predict(lang.clean(texts)), strict=True):
+        found = [set(places(gram_hash(g))) for g in plain_grams(text)]
+        n = len(found)
+        right = {k: max(0.0, (sum(p <= held[k] for p in found) - n * rates[k]) / max(1e-9, 1 - rates[k])) for k in model.languages}
+        best = max(right.values())
+        if not any(c.isalpha() for c in text):
+            assert (name, score) == (lang.UNKNOWN, 0.0)
+        elif best:
+            assert name == min(k for k in right if right[k] == best) and score == pytest.approx(best / sum(right.values()))
+
+
+def test_a_very_long_text_is_identified_in_blocks(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang.fit_languages(docs)
+    text = " ".join(r.text for r in docs.where("lang = 'en'").collect() if r.text)
+    whole = model.predict([text])[0]
+    monkeypatch.setattr(lang, "BLOCK", 5000)
+    pieces = model.predict([text, "a"])[0]
+    assert pieces[0] == whole[0] and pieces[1] == pytest.approx(whole[1], rel=1e-3)
+
+
 def test_language_ties_repeats_and_columns(spark):
     rows, k = [], 0
     for name in ("bb", "aa"):  # two names for the same text: the counts are equal
@@ -228,3 +308,13 @@ def test_mixing_and_repeats_of_a_very_long_text(spark):
     assert {x.doc_id: x["size"] for x in mixing.mix_report(docs).collect()}[1] == 150_000
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans) for x in repeats_digest(docs).collect()}
     assert got == {1: (len(long), 300_000, 1), 2: (300_000, 300_000, 1), 3: (9, 0, 0)}
+
+
+def test_fingerprints_of_texts_in_pieces(monkeypatch):
+    """A text of several pieces has the fingerprint that it has as a whole."""
+    r = random.Random(3)
+    text = " ".join(f"w{r.randrange(500)}" for _ in range(400_000))
+    assert len(text) > 1 << 20
+    pieces = simhash.fingerprint(text)
+    monkeypatch.setattr(simhash, "lots", lambda t, size=0: iter([t]))
+    assert pieces == simhash.fingerprint(text)
