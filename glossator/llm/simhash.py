@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossator.llm.common import durable, lots, small, spare_name, worker_cache
+from glossator.llm.common import along_salts, durable, lots, small, spare_name, worker_cache
 from glossator.llm.components import connected_components
 
 SHINGLE = 3
@@ -31,8 +31,8 @@ RADIUS = 2
 GENERATOR = 0b110001110101
 #: Low bit and width of each segment.
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
-#: Buckets of up to so many fingerprints are solved by way of their one-bit neighbours, larger ones mask by mask.
-NEIGHBOUR_BUCKET = 100_000
+#: Buckets of up to so many fingerprints are solved within one task; larger ones leave it fingerprint by fingerprint.
+LARGEST_BUCKET = 100_000
 
 
 # --- fingerprints ---------------------------------------------------------------------------------
@@ -141,12 +141,9 @@ def span(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i, j = np.triu_indices(n, 1)
         near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
         return forest(fp, [(i[near], j[near])])
-    if n <= NEIGHBOUR_BUCKET:  # two bits or fewer apart: a common word within one bit of both
-        near = (fp[:, None] ^ np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)[None, :]).ravel()
-        who = np.repeat(np.arange(n), 65)
-        return forest(fp, [equal_runs(near, who)])
-    ones = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    return forest(fp, (equal_runs(fp & ~(ones[i] | ones[j]), np.arange(n)) for i in range(64) for j in range(i)))
+    # Two bits or fewer apart: a common word within one bit of both.
+    near = (fp[:, None] ^ np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)[None, :]).ravel()
+    return forest(fp, [equal_runs(near, np.repeat(np.arange(n), 65))])
 
 
 def equal_runs(values: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,10 +173,28 @@ def star(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[1:], fp[:1].repeat(max(0, len(fp) - 1))
 
 
+def within_a_bit(open_rows: DataFrame) -> DataFrame:
+    """a, b: links between fingerprints (fp) two bits or fewer apart, by way of the words within one bit of them: each
+    with the least that has a word in common. As rows, with minima that are combined before the shuffle."""
+    words = F.explode(F.array("fp", *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))).alias("word")
+    return with_least(open_rows.select("fp").distinct().select("fp", words), "word")
+
+
+def with_least(rows: DataFrame, key: str) -> DataFrame:
+    """a, b: each fp with the least (unsigned, as in ``forest``) that has its key."""
+    order = F.struct((F.col("fp") < 0).alias("high"), "fp")
+    return along_salts(rows, [key], ["fp"], order).select(F.col("fp").alias("a"), F.col("first.fp").alias("b")).where("a <> b")
+
+
 def fingerprint_links(distinct: DataFrame, solver: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] = span) -> DataFrame:
     """a, b: links between the fingerprints of ``distinct`` (fp long, no repeats) that span the classes of
     those two bits or fewer apart. Linked by transitivity, they say the same as all close pairs would; their
-    number is linear in the number of meetings. Another ``solver`` links those that share a key otherwise."""
+    number is linear in the number of meetings. Another ``solver`` (star) links those that share a key otherwise.
+
+    A task holds the fingerprints of one key at most. Of a key with more than LARGEST_BUCKET it holds none: they are
+    passed on as rows, and linked by aggregation and joins.
+    """
+    most = LARGEST_BUCKET
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +205,7 @@ def fingerprint_links(distinct: DataFrame, solver: Callable[[np.ndarray], tuple[
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        open_key = None
+        open_key, size, large = None, 0, False
         for b in batches:
             if not b.num_rows:
                 continue
@@ -200,30 +215,57 @@ def fingerprint_links(distinct: DataFrame, solver: Callable[[np.ndarray], tuple[
             links = []
             if open_key is not None and key[0] != open_key:
                 links.append(solve(held))
-                held = []
+                held, size, large = [], 0, False
             if len(starts) > 1:  # the first bucket may go on from before, the last may go on
-                links.append(solve([*held, fp[: ends[0]]]))
-                held = []
+                if large:
+                    yield passed(open_key, fp[: ends[0]])
+                else:
+                    links.append(solve([*held, fp[: ends[0]]]))
+                held, size, large = [], 0, False
                 inner = np.flatnonzero((ends - starts)[1:-1] > 1) + 1
                 links += [solve([fp[starts[i] : ends[i]]]) for i in inner]
-            held.append(fp[starts[-1] :])
             open_key = key[-1]
+            held.append(fp[starts[-1] :])
+            size += len(held[-1])
+            if large or size > most:
+                large = True
+                for part in held:
+                    yield passed(open_key, part)
+                held = []
             yield batch(links)
         yield batch([solve(held)] if held else [])
 
     def solve(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.empty(0, np.uint64), np.empty(0, np.uint64)
         fp = parts[0] if len(parts) == 1 else np.concatenate(parts)
         return solver(np.unique(fp))
 
+    def passed(key: int, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(np.full(len(fp), key))], names=["a", "b", "key"])
+
     def batch(links: list) -> pa.RecordBatch:
         a = np.concatenate([x for x, _ in links]) if links else np.empty(0, np.uint64)
         b = np.concatenate([x for _, x in links]) if links else np.empty(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], names=["a", "b", "key"])
 
+    met = durable(fuzzy_key_rows(distinct, explode).sortWithinPartitions("key").mapInArrow(meet, "a long, b long, key long"))
+    links = met.where("b is not null").select("a", "b")
+    large = met.where("b is null").select("key", F.col("a").alias("fp"))
+    if large.limit(1).count():
+        links = links.union(within_a_bit(large) if solver is span else with_least(large, "key"))
+    return links.distinct()
+
+
+def fuzzy_key_rows(distinct: DataFrame, explode: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """key, fp of every key of every fingerprint, dealt by key.
+
+    A fingerprint is small, its keys are not: they are made by as many tasks as there are partitions. An expression
+    deals the fingerprints, for Spark drops a repartition by the column that they are grouped by already.
+    """
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A fingerprint is small, its keys are not: they are made by as many tasks as there are partitions.
-    keys = distinct.select("fp").repartition(n, "fp").mapInArrow(explode, "key long, fp long")
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long").distinct()
+    dealt = distinct.select("fp").repartition(n, F.xxhash64("fp"))
+    return dealt.mapInArrow(explode, "key long, fp long").repartition(n, "key")
 
 
 # --- operators ------------------------------------------------------------------------------------

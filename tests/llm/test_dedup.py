@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from glossator.llm import simhash as sh
 from glossator.llm.components import connected_components
@@ -113,18 +114,73 @@ def test_links_of_dense_groups():
     flips = np.uint64(1) << rng.integers(0, 64, (6, 150, 3)).astype(np.uint64)
     fp = np.unique((centre[:, None] ^ flips[:, :, 0] ^ np.where(rng.random((6, 150)) < 0.5, flips[:, :, 1], 0).astype(np.uint64)).ravel())
     expected = components_model([int(x) for x in fp], list(range(len(fp))))
-    limit, answers = sh.NEIGHBOUR_BUCKET, []
+    a, b = sh.span(fp)
+    assert roots_of(fp, a.tolist(), b.tolist()) == expected
+
+
+def roots_of(fp, a, b):
+    place = {int(x): i for i, x in enumerate(fp)}
+    root = list(range(len(fp)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, y in zip(a, b, strict=True):
+        i, j = find(place[x]), find(place[y])
+        root[max(i, j)] = min(i, j)
+    return [find(i) for i in range(len(fp))]
+
+
+@pytest.mark.parametrize("largest", [100_000, 8, 1])
+def test_large_buckets_leave_their_task(spark, monkeypatch, largest):
+    """Keys with more fingerprints than a task may hold give the same components, by rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 64, 4, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (4, 120, 3)).astype(np.uint64)
+    fp = np.unique((centre[:, None] ^ flips[:, :, 0] ^ np.where(rng.random((4, 120)) < 0.5, flips[:, :, 1], 0).astype(np.uint64)).ravel())
+    expected = components_model([int(x) for x in fp], list(range(len(fp))))
+    monkeypatch.setattr(sh, "LARGEST_BUCKET", largest)
+    monkeypatch.setattr(sh, "along_salts", counting(sh.along_salts, calls := []))
+    rows = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, "16")  # so that keys go on from batch to batch
     try:
-        for sh.NEIGHBOUR_BUCKET in (100_000, 10):
-            a, b = sh.span(fp)
-            place = {int(x): i for i, x in enumerate(fp)}
-            root = list(range(len(fp)))
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                root[place[x]] = place[y]
-            answers.append(root)
+        links, star = (sh.fingerprint_links(rows, f).collect() for f in (sh.span, sh.star))
     finally:
-        sh.NEIGHBOUR_BUCKET = limit
-    assert answers == [expected, expected]
+        spark.conf.unset(conf)
+    unsigned = lambda x: x % (1 << 64)
+    assert roots_of(fp, [unsigned(x.a) for x in links], [unsigned(x.b) for x in links]) == expected
+    assert bool(calls) == (largest < 9)
+    low = roots_of(fp, [unsigned(x.a) for x in star], [unsigned(x.b) for x in star])
+    assert all(low[i] == low[root] for i, root in enumerate(expected))
+
+
+def counting(f, calls):
+    return lambda *a: calls.append(1) or f(*a)
+
+
+def test_keys_are_made_by_all_tasks(spark):
+    """The repartition before the expansion is in the plan that runs, though an aggregate dealt by the same column."""
+    fps = spark.range(5000).select(((F.col("id") % 700) * 7919).alias("fp")).groupBy("fp").agg(F.count("*").alias("n"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def tasks(batches):
+        from pyspark import TaskContext
+
+        import pyarrow as pa
+
+        k = sum(b.num_rows for b in batches)
+        if k:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([k])], names=["key", "fp"])
+
+    made = sh.fuzzy_key_rows(fps, tasks)
+    rows = made.collect()
+    assert len(rows) == n and sum(r.fp for r in rows) == 700
+    assert made._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
 
 
 def test_components(spark):
