@@ -40,3 +40,21 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and cut off from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def open_fs(path: str):
+    """(file system, path in it) of a URI, for use in tasks. Paths are qualified on the driver first (``qualified``): a
+    plain one can only be a file of this machine."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
+
+
+def publish(fs, part: str, path: str) -> None:
+    """Gives a complete file its name. Some file systems move onto no file that is there: a task that is run again takes
+    its old one away."""
+    if fs.get_file_info(path).type.name != "NotFound":
+        fs.delete_file(path)
+    fs.move(part, path)
