@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossator.sources.storage import durable, fresh_path, qualified, shared_dir
+from glossator.sources.storage import durable, fresh_path, open_fs, publish, qualified, shared_dir
 
 __all__ = ["SPACE", "WORD", "along_salts", "documents", "durable", "fresh_path", "give_back", "id_crc", "lots", "open_fs", "publish", "qualified", "shared_dir", "small", "spare_name", "spent_shuffles_removed", "worker_cache"]
 
@@ -132,21 +132,3 @@ def lots(text: str | bytes, size: int = 1 << 20) -> Iterator[str | bytes]:
         yield text[i:k]
         i = k
     yield text[i:] if i else text
-
-
-def open_fs(path: str):
-    """(file system, path in it) of a URI. Writers qualify plain paths on the driver (``qualified``): here one can only
-    be a file of this machine."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if ":" in path.split("/", 1)[0] else (fs.LocalFileSystem(), path)
-
-
-def publish(fs, part: str, path: str) -> None:
-    """Gives a complete file its name. Some file systems move onto no file that is there: a task that is run again takes
-    its old one away."""
-    if fs.get_file_info(path).type.name != "NotFound":
-        fs.delete_file(path)
-    fs.move(part, path)
