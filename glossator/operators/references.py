@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glossator.functions import citations as ct
 from glossator.functions import text as tx
-from glossator.functions.similarity import similarity
+from glossator.functions.similarity import best_candidate, letter_counts, ratio_bound, similarity
 from glossator.sources.storage import durable
 
 
@@ -109,8 +109,10 @@ def first_by_source(refs: DataFrame, catalog: DataFrame, ref_key: Column, record
 
 def settles(found: DataFrame, least: float) -> DataFrame:
     """References whose exact record is the cited work: like titles, or no title to compare."""
-    sim = F.when(F.col("cited_title").isNull(), 1.0).otherwise(similarity(ct.normal_title(F.col("cited_title")), ct.normal_title(F.coalesce("title", F.lit("")))))
-    return found.where(sim >= least).select(*REF_KEY)
+    rows = found.withColumn("_a", ct.normal_title(F.col("cited_title"))).withColumn("_b", ct.normal_title(F.coalesce("title", F.lit(""))))
+    rows = rows.where(F.col("_a").isNull() | (ratio_bound(F.col("_a"), F.col("_b"), letter_counts(F.col("_a")), letter_counts(F.col("_b"))) >= least))
+    sim = F.when(F.col("_a").isNull(), 1.0).otherwise(similarity(F.col("_a"), F.col("_b")))
+    return rows.where(sim >= least).select(*REF_KEY)
 
 
 def title_search(refs: DataFrame, catalog: DataFrame, top_k: int = TOP_K, hot_share: float = 0.05) -> DataFrame:
@@ -215,6 +217,54 @@ def scored(refs: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.when(F.coalesce(F.col("_doi") == F.col("c__doi"), F.lit(False)), 1.0).otherwise(mixed))
 
 
+def best_scored(refs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Of each reference with candidates the row of ``scored`` that is decisive, with _exact, and _seen, the titles compared
+    for it: among records found by the entry's own id the one whose title is closest, else the best score; the first of
+    equal ones.
+
+    Equal titles, equal DOIs and missing titles are scored by themselves, and the best of them is found by aggregation.
+    Of the other candidates only those whose bound reaches it are compared, by descending bound; they are few, for a
+    search gives each source's first records only.
+    """
+    c = normalised(candidates)
+    c = c.select(*REF_KEY, *(F.col(x).alias(f"c_{x}") for x in [*CANDIDATE, "matched_by", "cand_ord", "_title", "_doi", "_names"]), letter_counts(F.col("_title")).alias("_c_letters"))
+    rows = normalised(refs).withColumn("_letters", letter_counts(F.col("_title"))).join(c, REF_KEY)
+    by_id = F.col("c_matched_by").isin("doi", "arxiv")
+    no_authors = (F.size("_names") == 0) | (F.coalesce(F.size("c_authors"), F.lit(0)) <= 0)
+    year = ct.year_score(F.col("year"), F.col("c_year"))
+    same_doi = F.coalesce(F.col("_doi") == F.col("c__doi"), F.lit(False))
+    # A score is w times the similarity of the titles, and a, and b, added up in this order.
+    w = F.when(no_authors, 0.8).otherwise(0.6)
+    a = F.when(no_authors, 0.0).otherwise(0.25 * ct.name_overlap(F.col("_names"), F.col("c__names")))
+    b = F.when(no_authors, 0.2 * year).otherwise(0.15 * year)
+    known = F.when(F.col("_title").isNull() | F.col("c__title").isNull(), 0.0).when(F.col("_title") == F.col("c__title"), 1.0)
+    rows = rows.withColumn("_by_id", by_id).withColumn("_same_doi", same_doi).withColumn("_w", w).withColumn("_a", a).withColumn("_b", b).withColumn("_sim", known)
+    # What decides: the closeness of titles for records by id, the score for others.
+    aim = lambda r: F.when(F.col("_by_id"), F.when(F.col("title").isNotNull(), r).otherwise(0.0)).when(F.col("_same_doi"), 1.0).otherwise(F.col("_w") * r + F.col("_a") + F.col("_b"))
+    settled = F.col("_sim").isNotNull() | (~F.col("_by_id") & F.col("_same_doi"))
+    bound = F.coalesce("_sim", ratio_bound(F.col("_title"), F.col("c__title"), F.col("_letters"), F.col("_c_letters")))
+    rows = durable(rows.withColumn("_aim", F.when(settled, aim(F.col("_sim")))).withColumn("_bound", F.when(~settled, bound)).drop("_letters", "_c_letters"))
+    place = F.when(F.col("_aim").isNotNull(), F.struct(-F.col("_aim"), "c_cand_ord"))
+    best = rows.groupBy(*REF_KEY).agg(F.max("_by_id").alias("_exact"), F.min(F.when(F.col("_by_id"), place)).alias("_e"), F.min(F.when(~F.col("_by_id"), place)).alias("_s"))
+    best = best.select(*REF_KEY, "_exact", F.when(F.col("_exact"), F.col("_e")).otherwise(F.col("_s")).alias("_k"))
+    plain = F.col("_by_id")
+    entry = F.struct(F.col("c_cand_ord").cast("long").alias("ord"), F.col("c__title").alias("title"), F.col("_bound").alias("bound"), F.when(plain, 1.0).otherwise(F.col("_w")).alias("w"), F.when(plain, 0.0).otherwise(F.col("_a")).alias("a"), F.when(plain, 0.0).otherwise(F.col("_b")).alias("b"))
+    doubtful = rows.where("_aim is null").join(best, REF_KEY).where(F.col("_by_id") == F.col("_exact"))
+    doubtful = doubtful.where(F.col("_k").isNull() | (aim(F.col("_bound")) >= -F.col("_k.col1")))
+    asked = doubtful.groupBy(*REF_KEY).agg(F.first("_title").alias("_title"), F.collect_list(entry).alias("_list"))
+    found = asked.select(*REF_KEY, best_candidate(F.col("_title"), F.col("_list")).alias("_f"))
+    found = durable(found.select(*REF_KEY, F.col("_f.ord").alias("_ord"), F.col("_f.ratio").alias("_ratio"), F.col("_f.seen").alias("_seen")))
+    rival = rows.join(found, [*(rows[k] == found[k] for k in REF_KEY), rows["c_cand_ord"] == found["_ord"]]).select(*(rows[k] for k in REF_KEY), "_ratio", "_seen", F.struct((-aim(F.col("_ratio"))).alias("col1"), "c_cand_ord").alias("_r"))
+    both = best.join(rival, REF_KEY, "left").withColumn("_won", F.coalesce(F.col("_k").isNull() | (F.col("_r") < F.col("_k")), F.lit(False)))
+    chosen = both.select(*(F.col(k).alias(f"_{k}") for k in REF_KEY), "_exact", F.when(F.col("_won"), F.col("_r.c_cand_ord")).otherwise(F.col("_k.c_cand_ord")).alias("_ord"), F.when(F.col("_won"), F.col("_ratio")).alias("_ratio"), F.coalesce("_seen", F.lit(0)).alias("_seen"))
+    out = rows.join(chosen, [*(F.col(k) == F.col(f"_{k}") for k in REF_KEY), F.col("c_cand_ord") == F.col("_ord")])
+    # A record with the same DOI may win unseen: its score is 1, and its title is compared for what is said of it.
+    unseen = F.col("_sim").isNull() & F.col("_ratio").isNull()
+    sim = F.coalesce("_sim", "_ratio", similarity(F.when(unseen, F.col("_title")), F.when(unseen, F.col("c__title"))))
+    out = out.withColumn("title_sim", sim)
+    return out.withColumn("score", F.when(F.col("_same_doi"), 1.0).otherwise(F.col("_w") * F.col("title_sim") + F.col("_a") + F.col("_b")))
+
+
 def metadata_problems() -> Column:
     """Array of disagreements between a reference and its candidate in one row of ``scored``."""
     text = lambda c: c.cast("string")
@@ -230,16 +280,10 @@ def classify(refs: DataFrame, candidates: DataFrame, th: Thresholds = Thresholds
     """Each reference with its status, score, problems and best candidate (c_*).
 
     A record found by the entry's own id settles what the entry is: the one whose title is closest, the first
-    of equal ones. Else the best score decides, again the first of equal ones. An entry without a title whose
-    id resolved is judged by its metadata.
+    of equal ones. Else the best score decides, again the first of equal ones (``best_scored``). An entry without a
+    title whose id resolved is judged by its metadata.
     """
-    rows = scored(refs, candidates)
-    by_id = F.col("c_matched_by").isin("doi", "arxiv")
-    close = F.when(F.col("title").isNotNull(), F.col("title_sim")).otherwise(0.0)
-    # Places in both orders are compared before anything is shuffled: a reference sends one row a task.
-    chosen = rows.groupBy(*REF_KEY).agg(F.min(F.when(by_id, F.struct(-close, "c_cand_ord"))).alias("e"), F.min(F.struct(-F.col("score"), "c_cand_ord")).alias("b"))
-    chosen = chosen.select(*(F.col(k).alias(f"_{k}") for k in REF_KEY), F.col("e").isNotNull().alias("_exact"), F.coalesce("e.c_cand_ord", "b.c_cand_ord").alias("_ord"))
-    best = rows.join(chosen, [*(F.col(k) == F.col(f"_{k}") for k in REF_KEY), F.col("c_cand_ord") == F.col("_ord")])
+    best = best_scored(refs, candidates)
     problems = metadata_problems()
     same = F.col("title").isNull() | (F.col("title_sim") >= th.same_work)
     other_work = F.concat(F.lit("the cited "), F.when(F.col("c_matched_by") == "doi", "DOI").otherwise("arXiv id"), F.lit(' resolves to a different work: "'), F.col("c_title"), F.lit('" ('), F.coalesce(F.col("c_year").cast("string"), F.lit("n.d.")), F.lit(")"))

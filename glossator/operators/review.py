@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossator.functions import text as tx
-from glossator.functions.similarity import LOCATE_THRESHOLD, QUOTE_CHARS, locate_quote
+from glossator.functions.similarity import LOCATE_THRESHOLD, QUOTE_CHARS, covering_paragraph
+from glossator.sources.storage import durable
 
 WINDOW_SIZE = 3
 CONTEXT_TOKENS = 6000
 BACK_JOIN_CHARS = 200
+#: Paragraphs of a document that are matched together.
+BIN = 64
 
 
 def reach(window: int) -> tuple[int, int]:
@@ -51,57 +54,76 @@ def review_plan(docs: DataFrame) -> DataFrame:
     return planned.select("doc_id", F.size("p").alias("paragraphs"), F.size(tx.passages(F.col("p"))).alias("passages"), "doc_tokens", F.greatest(F.lit(4000), F.floor(F.col("doc_tokens") / 10)).alias("max_summary_tokens"))
 
 
-def document_lists(docs: DataFrame, comments: DataFrame | None = None) -> DataFrame:
-    """doc_id and its normalised paragraphs as one array (``_paras``)."""
+def document_paragraphs(docs: DataFrame, comments: DataFrame | None = None) -> DataFrame:
+    """doc_id, bin, paragraph_index and para, the normalised text, of every paragraph of the documents (of those with
+    comments, if these are given); a bin is 64 paragraphs."""
     needed = docs if comments is None else docs.join(comments.select("doc_id").distinct(), "doc_id", "left_semi")
-    return needed.select("doc_id", F.transform(tx.paragraphs(F.col("text")), tx.for_matching).alias("_paras"))
+    rows = paragraph_rows(needed)
+    return rows.select("doc_id", F.floor(F.col("paragraph_index") / BIN).cast("int").alias("bin"), "paragraph_index", tx.for_matching(F.col("text")).alias("para"))
 
 
-def anchored(comments: DataFrame, lists: DataFrame, allowed: Column | None = None, threshold: float = LOCATE_THRESHOLD) -> DataFrame:
+def passage_paragraphs(docs: DataFrame, passages: DataFrame, comments: DataFrame) -> DataFrame:
+    """doc_id, bin, paragraph_index and para of the documents with comments; a bin is a passage."""
+    own = passages.select("doc_id", F.col("passage_index").alias("bin"), F.explode("paragraph_indices").alias("paragraph_index"))
+    return document_paragraphs(docs, comments).drop("bin").join(own, ["doc_id", "paragraph_index"]).select("doc_id", "bin", "paragraph_index", "para")
+
+
+def wanted_quote() -> Column:
+    return F.nullif(F.substring(tx.for_matching(F.col("quote")), 1, QUOTE_CHARS), F.lit(""))
+
+
+def containing(asks: DataFrame, paras: DataFrame, key: list[str], on: list[str]) -> DataFrame:
+    """The key of each ask that some paragraph of its bins contains, and the first such paragraph. JVM only; the rows of the
+    join are those that match."""
+    met = asks.alias("a").join(paras.alias("p"), [F.col(f"a.{c}") == F.col(f"p.{c}") for c in on] + [F.contains(F.col("p.para"), F.col("a._quote"))])
+    return met.groupBy(*(F.col(f"a.{c}").alias(c) for c in key)).agg(F.min("p.paragraph_index").alias("_found"))
+
+
+def anchored(comments: DataFrame, paras: DataFrame, window: int | None = None, threshold: float = LOCATE_THRESHOLD) -> DataFrame:
     """comments (doc_id, quote, ...) with ``paragraph_index``: the first paragraph that contains the normalised
-    quote, else the one that covers most of it, null below the threshold. ``allowed`` restricts the paragraphs
-    by an array of indices, in that order.
+    quote, else the one that covers most of it, null below the threshold. paras: doc_id, bin, paragraph_index, para.
 
-    Containment is settled in the JVM; only what it leaves open goes to the string matcher.
+    With a ``window`` comments have a passage_index, bins are passages, and a comment meets those in reach of its own.
+    It is a range join: each quote goes to the bins of its range, and meets the paragraphs there. Quotes are looked up
+    once however many comments have them. Only those that no paragraph contains go to the matcher, with the paragraphs
+    of their range, or, over a whole document, with those of a bin at a time; so no row holds more than that.
     """
     columns = [c for c in comments.columns if c != "paragraph_index"]
-    joined = comments.select(*columns).join(lists, "doc_id", "left")
-    paras = F.coalesce(F.col("_paras"), F.array().cast("array<string>"))
-    if allowed is not None:
-        paras = F.transform(allowed, lambda i: F.element_at(F.col("_paras"), i + 1))
-    quote = F.substring(tx.for_matching(F.col("quote")), 1, QUOTE_CHARS)
-    rows = joined.withColumn("_list", paras).withColumn("_quote", F.nullif(quote, F.lit("")))
-    exact = F.array_position(F.transform("_list", lambda p: F.contains(p, F.col("_quote"))), F.lit(True)) - 1
-    rows = rows.withColumn("_exact", F.when(exact >= 0, exact.cast("int")))
-    open_quote = F.when(F.col("_exact").isNull(), F.col("_quote"))
-    open_list = F.when(F.col("_exact").isNull() & F.col("_quote").isNotNull(), F.col("_list"))
-    rows = rows.withColumn("_found", F.coalesce("_exact", locate_quote(open_quote, open_list, threshold)))
-    index = F.col("_found") if allowed is None else F.element_at(allowed, F.col("_found") + 1)
-    return rows.withColumn("paragraph_index", index.cast("int")).select(*columns, "paragraph_index")
+    key = ["doc_id", "_quote"] if window is None else ["doc_id", "passage_index", "_quote"]
+    rows = comments.select(*columns).withColumn("_quote", wanted_quote())
+    asks = rows.where("_quote is not null").select(*key).distinct()
+    on, per = ["doc_id"], [*key, "bin"]
+    if window is not None:
+        before, after = reach(window)
+        asks = asks.withColumn("bin", F.explode(F.sequence(F.col("passage_index") - before, F.col("passage_index") + after)))
+        on, per = ["doc_id", "bin"], key
+    asks = durable(asks)
+    exact = durable(containing(asks, paras, key, on))
+    left = asks.join(exact, key, "left_anti").join(paras, on)
+    lists = left.groupBy(*per).agg(F.array_sort(F.collect_list(F.struct("paragraph_index", "para"))).alias("_list"))
+    scored = lists.select(*key, "_list", covering_paragraph(F.col("_quote"), F.transform("_list", lambda x: x.para), threshold).alias("_f"))
+    scored = scored.where("_f.place is not null").select(*key, F.struct((-F.col("_f.score")).alias("s"), F.element_at("_list", F.col("_f.place") + 1).paragraph_index.alias("i")).alias("_f"))
+    fuzzy = scored.groupBy(*key).agg(F.min("_f").alias("_f")).select(*key, F.col("_f.i").alias("_covered"))
+    found = rows.join(exact, key, "left").join(fuzzy, key, "left")
+    return found.select(*columns, F.coalesce("_found", "_covered").cast("int").alias("paragraph_index"))
 
 
 def anchor_in_document(comments: DataFrame, docs: DataFrame) -> DataFrame:
     """Anchors over whole documents."""
-    return anchored(comments, document_lists(docs, comments))
+    return anchored(comments, document_paragraphs(docs, comments))
 
 
-def anchor_in_window(comments: DataFrame, docs: DataFrame, passages: DataFrame, window: int = WINDOW_SIZE) -> DataFrame:
+def anchor_in_window(comments: DataFrame, docs: DataFrame, passages: DataFrame, window: int = WINDOW_SIZE, threshold: float = LOCATE_THRESHOLD) -> DataFrame:
     """Anchors of comments (doc_id, passage_index, quote, ...) over the paragraphs of the passages around each."""
-    before, after = reach(window)
-    w = Window.partitionBy("doc_id").orderBy("passage_index").rowsBetween(-before, after)
-    near = passages.select("doc_id", "passage_index", F.flatten(F.collect_list("paragraph_indices").over(w)).alias("_allowed"))
-    rows = comments.join(near, ["doc_id", "passage_index"], "left")
-    out = anchored(rows, document_lists(docs, comments), F.col("_allowed"))
-    return out.drop("_allowed")
+    return anchored(comments, passage_paragraphs(docs, passages, comments), window, threshold)
 
 
 def exact_anchors(comments: DataFrame, docs: DataFrame) -> DataFrame:
     """comments with the first paragraph that contains the normalised quote, null where none does. JVM only."""
-    quote = F.nullif(F.substring(tx.for_matching(F.col("quote")), 1, QUOTE_CHARS), F.lit(""))
-    # A column of its own before the join: within the lambda it would be made anew for each paragraph.
-    joined = comments.withColumn("_quote", quote).join(document_lists(docs, comments), "doc_id", "left")
-    at = F.array_position(F.transform("_paras", lambda p: F.contains(p, F.col("_quote"))), F.lit(True)) - 1
-    return joined.withColumn("paragraph_index", F.when(at >= 0, at.cast("int"))).drop("_paras", "_quote")
+    rows = comments.withColumn("_quote", wanted_quote())
+    asks = rows.where("_quote is not null").select("doc_id", "_quote").distinct()
+    found = containing(asks, document_paragraphs(docs, comments), ["doc_id", "_quote"], ["doc_id"])
+    return rows.join(found, ["doc_id", "_quote"], "left").select(*comments.columns, F.col("_found").cast("int").alias("paragraph_index"))
 
 
 def back_join(consolidated: DataFrame, originals: DataFrame) -> DataFrame:

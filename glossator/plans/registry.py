@@ -400,10 +400,14 @@ def classify_exact_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ref_index", "status", "c_source", F.size("problems").alias("n_problems"))
 
 
+def retitled_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of which some have a longer title than the record, or one with other letters."""
+    return entries_in(spark, sf_dir).withColumn("title", F.when(F.col("k") % 5 == 0, F.concat(F.lit("The "), F.initcap("title"))).when(F.col("k") % 5 == 1, F.regexp_replace("title", "[aeiou]", "x")).otherwise(F.col("title")))
+
+
 @query()
 def check_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = entries_in(spark, sf_dir).withColumn("title", F.when(F.col("k") % 5 == 0, F.concat(F.lit("The "), F.initcap("title"))).when(F.col("k") % 5 == 1, F.regexp_replace("title", "[aeiou]", "x")).otherwise(F.col("title")))
-    out = rf.check(refs, catalog_in(spark, sf_dir))
+    out = rf.check(retitled_entries(spark, sf_dir), catalog_in(spark, sf_dir))
     return out.select("doc_id", "ref_index", "status", F.round("score", 6).alias("score"), "c_source", "c_matched_by", F.array_join("problems", "; ").alias("problems"))
 
 
@@ -503,6 +507,20 @@ def locate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rv.anchor_in_document(garbled, papers_in(spark, sf_dir)).select("doc_id", "paragraph_index")
 
 
+@query(f"""WITH RECURSIVE {PAPERS}, {PARAS}, {packed(1000)}, m AS MATERIALIZED (SELECT doc_id, passage_index, paragraph_index, {MATCH.format(x='para')} AS para FROM w),
+q AS MATERIALIZED (SELECT a.doc_id, a.passage_index, {MATCH.format(x=f'substr({MATCH.format(x="b.text")}, 5, 60)')} AS quote FROM passages a JOIN passages b ON a.doc_id = b.doc_id AND b.passage_index = a.passage_index + CASE a.passage_index % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 4 END)
+SELECT q.doc_id, q.passage_index, (min(paragraph_index) FILTER (contains(para, quote)))::INT AS paragraph_index FROM q JOIN m ON m.doc_id = q.doc_id AND m.passage_index BETWEEN q.passage_index - 5 AND q.passage_index + 2 WHERE quote <> '' GROUP BY q.doc_id, q.passage_index""")
+def locate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quote of each passage, of one within its window, or of one beyond it, looked for in the window."""
+    papers = papers_in(spark, sf_dir)
+    parts = rv.passage_rows(papers, 1000)
+    k = F.col("passage_index")
+    quoted = parts.select("doc_id", F.col("passage_index").alias("_of"), F.substring(tx.for_matching(F.col("text")), 5, 60).alias("quote"))
+    asked = parts.select("doc_id", "passage_index", (k + F.when(k % 3 == 0, 0).when(k % 3 == 1, 2).otherwise(4)).alias("_of")).join(quoted, ["doc_id", "_of"])
+    asked = asked.where(tx.for_matching(F.col("quote")) != "").select("doc_id", "passage_index", "quote")
+    return rv.anchor_in_window(asked, papers, parts, threshold=1.01).select("doc_id", "passage_index", "paragraph_index")
+
+
 @query("SELECT conv_id AS doc_id, o.turn AS ord, coalesce(CASE WHEN o.turn % 2 = 0 THEN 7 END, l.p) AS paragraph_index FROM conversations o LEFT JOIN (SELECT conv_id, substr(text, 1, 200) AS k, arg_max(turn, turn) * 10 AS p FROM conversations GROUP BY ALL) l USING (conv_id) WHERE substr(o.text, 1, 200) = l.k")
 def consolidate_backjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.col("text").alias("quote"))
