@@ -139,7 +139,7 @@ def utf8(texts: pa.Array) -> list[bytes]:
 # A segment's place is one long: first window's start, number of windows (12 bits), offset of the anchor (12 bits).
 # Its state: 0, known to be a repeat and of no further use; 1, to be judged; 2, known to be a repeat and to be
 # judged for the others.
-SEGMENT = "gram long, content long, doc_id long, tie int, place long, state byte"
+SEGMENT = "gram long, content long, doc_id long, tie long, place long, state byte"
 KEY = ["doc_id", "tie"]
 
 
@@ -274,7 +274,7 @@ def compared(cold: DataFrame, length: int) -> DataFrame:
     """kind 0 rows for the windows that segments of one gram share."""
     n = int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cold.select("gram", *KEY, "place", "bytes").repartition(n, "gram").sortWithinPartitions("gram")
-    out_schema = "doc_id long, tie int, lo long, hi long"
+    out_schema = "doc_id long, tie long, lo long, hi long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -339,7 +339,7 @@ def compared(cold: DataFrame, length: int) -> DataFrame:
 
 
 def keyed_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(F.col(text).cast("string")).alias("tie"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("tie"), F.col(text).cast("string").alias("text"))
 
 
 def repeated_ranges(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:

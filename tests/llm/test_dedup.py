@@ -246,3 +246,14 @@ def test_long_texts_are_cut_with_overlap(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 256)
     got = {x.doc_id: tuple(x)[1:] for x in repeats_digest(docs_of(spark, texts)).collect()}
     assert [got[i] for i in range(2)] == repeats_model(texts, 200)
+
+
+def test_repeats_of_rows_that_share_their_id_or_have_none(spark):
+    r = random.Random(6)
+    rnd = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = rnd(60)
+    texts = [rnd(r.randint(0, 80)) + shared[: r.choice([0, 10, 40, 60])] + rnd(r.randint(0, 50)) for _ in range(40)]
+    ids = [None if i % 3 == 0 else 7 for i in range(40)]
+    rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), DOC)
+    got = sorted((tuple(x) for x in repeats_digest(rows, length=24, gram=10).collect()), key=repr)
+    assert got == sorted(((i, *m) for i, m in zip(ids, repeats_model(texts, 24), strict=True)), key=repr)
