@@ -2,40 +2,108 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "doc_id long, passage_index int, summary string"
+from glossator.sources.storage import fresh_path, open_fs, publish, qualified
 
+OUTPUT = "doc_id long, passage_index int, summary string, error string"
+RETRIES = 3
+#: Milliseconds before the first new attempt; twice that before each further one.
+BACKOFF = 1000
 
-def folding(update: Callable[[str, str, int], str], most_chars: int) -> type:
-    """A processor that folds passages into a summary by ``update(summary, passage, index)``. Passages that were
-    folded already are passed over, so a batch that is sent again changes nothing; those that come too early
-    wait in the state until the ones before them have come."""
+
+class Waiting:
+    """Texts of passages that came too early, as files of the shared folder; the state holds their numbers only."""
+
+    def __init__(self, path: str):
+        self.fs, self.base = open_fs(path)
+
+    def place(self, doc_id: int, index: int) -> str:
+        return f"{self.base}/{doc_id % 256:02x}/{doc_id}-{index}.json"
+
+    def put(self, doc_id: int, index: int, text: str) -> None:
+        place = self.place(doc_id, index)
+        self.fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
+        with self.fs.open_output_stream(f"{place}.part") as f:
+            f.write(json.dumps(text).encode())
+        publish(self.fs, f"{place}.part", place)
+
+    def get(self, doc_id: int, index: int) -> str:
+        with self.fs.open_input_stream(self.place(doc_id, index)) as f:
+            return json.loads(f.read())
+
+
+def folding(update: Callable[[str, str, int], str], most_chars: int, path: str, timers: bool = False, retries: int = RETRIES, backoff: int = BACKOFF, ttl: int | None = None) -> type:
+    """A processor that folds passages into a summary by ``update(summary, passage, index)``.
+
+    Passages that were folded already are passed over, so a batch that is sent again changes nothing. Those that come
+    too early wait: their texts in files under ``path``, under names that a batch which runs again writes anew, and
+    their numbers in the state. Files stay until the folder is cleared, for a batch that fails later reads them again.
+
+    An ``update`` that raises ends the stream, unless there are ``timers``. Then its document waits ``backoff`` milliseconds, then twice that, and
+    so on, and is tried again by a timer, while others go on. After ``retries`` attempts the passage is passed over: its
+    row has the error, and the summary before it stays.
+    """
 
     class Folding(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.summary = handle.getValueState("summary", "next int, text string")
-            self.waiting = handle.getMapState("waiting", "passage_index int", "text string")
+            self.handle = handle
+            self.summary = handle.getValueState("summary", "next int, text string, attempts int", ttl)
+            self.waiting = handle.getMapState("waiting", "passage_index int", "size int", ttl)
+            self.texts = Waiting(path)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-            held = self.summary.get() if self.summary.exists() else (0, "")
-            at, text = int(held[0]), held[1]
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            at, _, attempts = self.held()
+            due = None
             for part in rows:
                 for i, t in zip(part["passage_index"].tolist(), part["text"].tolist(), strict=True):
-                    if i >= at:
-                        self.waiting.updateValue((int(i),), (t,))
+                    if i == at and due is None:
+                        due = t or ""
+                        self.waiting.updateValue((int(i),), (-1,))
+                    elif i >= at and not self.waiting.containsKey((int(i),)):
+                        self.texts.put(key[0], int(i), t or "")
+                        self.waiting.updateValue((int(i),), (len(t or ""),))
+            # A document whose last attempt failed waits for its timer.
+            if attempts and due is not None:
+                self.texts.put(key[0], at, due)
+                self.waiting.updateValue((at,), (len(due),))
+            yield self.told(key[0], timerValues, due, not attempts)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield self.told(key[0], timerValues, None)
+
+        def held(self) -> tuple[int, str, int]:
+            at, text, attempts = self.summary.get() if self.summary.exists() else (0, "", 0)
+            return int(at), text or "", int(attempts)
+
+        def told(self, doc_id: int, timer_values, due: str | None, go: bool = True) -> pd.DataFrame:
+            at, text, attempts = self.held()
             done = []
-            while self.waiting.containsKey((at,)):
-                text = update(text, self.waiting.getValue((at,))[0], at)[:most_chars]
+            while go and self.waiting.containsKey((at,)):
+                passage = due if due is not None else self.texts.get(doc_id, at)
+                try:
+                    text, error = update(text, passage, at)[:most_chars], None
+                except Exception as e:  # noqa: BLE001  told in the row
+                    if not timers:
+                        raise
+                    attempts += 1
+                    if attempts < retries:
+                        if due is not None:
+                            self.texts.put(doc_id, at, due)
+                            self.waiting.updateValue((at,), (len(due),))
+                        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + backoff * 2 ** (attempts - 1))
+                        break
+                    error = f"{type(e).__name__}: {e}"
                 self.waiting.removeKey((at,))
-                done.append((key[0], at, text))
-                at += 1
-            self.summary.update((at, text))
-            yield pd.DataFrame(done, columns=["doc_id", "passage_index", "summary"])
+                done.append((doc_id, at, text, error))
+                at, attempts, due = at + 1, 0, None
+            self.summary.update((at, text, attempts))
+            return pd.DataFrame(done, columns=["doc_id", "passage_index", "summary", "error"])
 
         def close(self) -> None:
             pass
@@ -43,11 +111,15 @@ def folding(update: Callable[[str, str, int], str], most_chars: int) -> type:
     return Folding
 
 
-def running_summaries(passages: DataFrame, update: Callable[[str, str, int], str], most_tokens: int = 4000) -> DataFrame:
-    """doc_id, passage_index and the summary after it, for a stream of passages (doc_id, passage_index, text).
+def running_summaries(passages: DataFrame, update: Callable[[str, str, int], str], most_tokens: int = 4000, path: str | None = None, timers: bool = False, retries: int = RETRIES, backoff: int = BACKOFF, ttl: int | None = None) -> DataFrame:
+    """doc_id, passage_index, the summary after it, and error, for a stream of passages (doc_id, passage_index, text).
 
-    State is one summary for each document and the passages that came too early; it lives in the state store
-    and its checkpoint, so a restart goes on where it was.
+    State is one summary for each document and the numbers of passages that came too early, whose texts are under
+    ``path``: give the same one to each start of a stream, as with its checkpoint. The state lives in the state store,
+    so a restart goes on where it was. With ``timers`` calls that fail are tried again, rows with an error are passages
+    that ``retries`` attempts could not fold, and with ``ttl`` (milliseconds) a document's state goes when nothing came
+    for so long. Such a stream is for continuous triggers: with one that ends when all input is read it would not end.
     """
-    processor = folding(update, most_tokens * 4)
-    return passages.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=processor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    spark = passages.sparkSession
+    processor = folding(update, most_tokens * 4, qualified(spark, path or fresh_path(spark, "waiting")), timers, retries, backoff, ttl if timers else None)
+    return passages.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=processor(), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if timers else "None")

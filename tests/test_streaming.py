@@ -1,22 +1,93 @@
-"""Running summaries: passages that come too early wait, repeated ones change nothing, a restart goes on."""
+"""Running summaries: passages that come too early wait, repeated ones change nothing, a restart goes on, and a document
+whose calls fail holds up no other."""
 
-from glossator.streaming.progressive import running_summaries
+import os
+import time
+
+import pytest
+
+from glossator.streaming.progressive import Waiting, running_summaries
 
 SCHEMA = "doc_id long, passage_index int, text string"
 
 
-def test_running_summaries(spark, tmp_path):
+@pytest.fixture
+def stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    os.makedirs(out)
 
-    def send(rows):
+    def send(rows, update, until=None, **options):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(SCHEMA).parquet(source)
-        made = running_summaries(stream, lambda s, p, i: f"{s}|{i}{p}", most_tokens=3)
-        q = made.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
-        q.awaitTermination()
-        return {(r.doc_id, r.passage_index): r.summary for r in spark.read.parquet(out).collect()}
-
-    assert send([(1, 1, "b"), (2, 0, "x")]) == {(2, 0): "|0x"}
-    assert send([(1, 0, "a"), (2, 0, "y")]) == {(2, 0): "|0x", (1, 0): "|0a", (1, 1): "|0a|1b"}
-    assert send([(1, 2, "c" * 99)])[1, 2] == "|0a|1b|2cccc"
+        read = spark.readStream.schema(SCHEMA).parquet(source)
+        made = running_summaries(read, update, path=str(tmp_path / "waiting"), timers=until is not None, **options)
+        write = made.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", state)
+        found = lambda: {(r.doc_id, r.passage_index): (r.summary, r.error) for r in spark.read.schema("doc_id long, passage_index int, summary string, error string").parquet(out).collect()}
+        if until is None:
+            write.trigger(availableNow=True).start().awaitTermination()
+        else:
+            q, end = write.trigger(processingTime="300 milliseconds").start(), time.time() + 60
+            try:
+                while q.isActive and time.time() < end and not until(found()):
+                    time.sleep(0.5)
+                assert q.exception() is None
+            finally:
+                q.stop()
+        return found()
+
+    return send
+
+
+def joined(s, p, i):
+    return f"{s}|{i}{p}"
+
+
+def test_running_summaries(stream):
+    one = lambda rows: {k: s for k, (s, _) in stream(rows, joined, most_tokens=3).items()}
+    assert one([(1, 1, "b"), (2, 0, "x")]) == {(2, 0): "|0x"}
+    assert one([(1, 0, "a"), (2, 0, "y")]) == {(2, 0): "|0x", (1, 0): "|0a", (1, 1): "|0a|1b"}
+    assert one([(1, 2, "c" * 99)])[1, 2] == "|0a|1b|2cccc"
+
+
+def test_state_holds_no_text_of_early_passages(stream, spark, tmp_path):
+    """Ten thousand early passages of 1,000 characters: their texts lie in files, and the state's entries are numbers."""
+    text = "t" * 1000
+    stream([(1, i, text) for i in range(1, 10_001)], joined)
+    state = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "state"))
+    entries = state.selectExpr("user_map_key.passage_index AS k", "user_map_value.size AS n").collect() if "user_map_key" in state.columns else state.selectExpr("explode(map_value) AS (k, v)").selectExpr("k.passage_index AS k", "v.size AS n").collect()
+    assert sorted(e.k for e in entries) == list(range(1, 10_001)) and {e.n for e in entries} == {1000}
+    held = sum(os.path.getsize(f"{d}/{f}") for d, _, files in os.walk(tmp_path / "state") for f in files if "/state" in d)
+    assert held < 2_000_000  # of 10 MB of text
+    got = stream([(1, 0, "first")], lambda s, p, i: f"{i}:{len(p)}")
+    assert len(got) == 10_001 and got[1, 10_000] == ("10000:1000", None)
+
+
+def test_failures_wait_for_their_timer_and_others_go_on(stream, tmp_path):
+    """Document 1 fails twice, document 2 always at its second passage; document 3 is not kept waiting."""
+
+    def update(s, p, i):
+        if p == "twice":
+            with open(tmp_path / "attempts", "a") as f:
+                f.write("x")
+            if os.path.getsize(tmp_path / "attempts") < 3:
+                raise OSError("down")
+        if p == "always":
+            raise ValueError("no such thing")
+        return joined(s, p, i)
+
+    rows = [(1, 0, "twice"), (1, 1, "b"), (2, 0, "a"), (2, 1, "always"), (2, 2, "c"), (3, 0, "z")]
+    first = stream(rows, update, until=lambda got: (3, 0) in got, backoff=2000)
+    assert first[3, 0] == ("|0z", None) and (1, 0) not in first
+    got = stream([(3, 1, "y")], update, until=lambda got: len(got) == 7, backoff=200)
+    assert got == {
+        (1, 0): ("|0twice", None), (1, 1): ("|0twice|1b", None), (2, 0): ("|0a", None),
+        (2, 1): ("|0a", "ValueError: no such thing"), (2, 2): ("|0a|2c", None), (3, 0): ("|0z", None), (3, 1): ("|0z|1y", None),
+    }
+    assert os.path.getsize(tmp_path / "attempts") == 3
+
+
+def test_waiting_texts(tmp_path):
+    w = Waiting(str(tmp_path))
+    w.put(-5, 2, "é\n")
+    w.put(-5, 2, "other")
+    assert w.get(-5, 2) == "other"
