@@ -300,12 +300,12 @@ def cited_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     head = F.when(k % 3 == 0, "\n## 7. R e f e r e n c e s:\n").when(k % 3 == 1, "\n\n").otherwise(F.lit(None))
     tail = F.when(k % 2 == 0, "\nAppendix A\nmore").otherwise("")
-    docs = table(spark, sf_dir, "documents").join(lists, "doc_id")
+    docs = table(spark, sf_dir, "documents").join(lists, "doc_id", "left")
     return docs.select("doc_id", F.concat("text", F.coalesce(F.concat(head, F.col("refs"), tail), F.lit(""))).alias("text"), F.lit(False).alias("was_ocr"))
 
 
 CITED = """refs AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY ref_index) AS refs FROM entries GROUP BY doc_id),
-cited AS (SELECT doc_id, text || coalesce(CASE doc_id % 3 WHEN 0 THEN chr(10) || '## 7. R e f e r e n c e s:' || chr(10) WHEN 1 THEN chr(10) || chr(10) END || refs || CASE doc_id % 2 WHEN 0 THEN chr(10) || 'Appendix A' || chr(10) || 'more' ELSE '' END, '') AS text FROM documents JOIN refs USING (doc_id)),
+cited AS (SELECT doc_id, text || coalesce(CASE doc_id % 3 WHEN 0 THEN chr(10) || '## 7. R e f e r e n c e s:' || chr(10) WHEN 1 THEN chr(10) || chr(10) END || refs || CASE doc_id % 2 WHEN 0 THEN chr(10) || 'Appendix A' || chr(10) || 'more' ELSE '' END, '') AS text FROM documents LEFT JOIN refs USING (doc_id)),
 lines AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cited), unnest(range(1, len(ls) + 1)) AS u(i)),
 placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS off FROM lines)"""
 CUT = r"CASE WHEN regexp_matches({x}, '(^|\n)[ \t]*(#{{1,6}}[ \t]*)?(appendix|appendices|supplementary)\b', 'i') THEN regexp_replace({x}, '\n[ \t]*(#{{1,6}}[ \t]*)?(appendix|appendices|supplementary)\b(.|\n)*$', '', 'i') ELSE {x} END"
@@ -459,13 +459,17 @@ def cost_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.cost_by_model(calls_in(spark, sf_dir), costs.price_table(spark), "doc_id").select("doc_id", costs.rounded(F.col("cost")).alias("cost_usd"))
 
 
-LIVE = """{"sample_spec": {"input_cost_per_token": 1, "output_cost_per_token": 1}, "openai/gpt-5": {"input_cost_per_token": 0.25, "output_cost_per_token": 0.5}, "free": {"input_cost_per_token": 0, "output_cost_per_token": 0}, "bad": {"mode": "x"}}"""
+#: A live price list made of the parts: one replaces a known price, some lack one of their prices.
+LIVE_ROWS = "live AS (SELECT CASE p_partkey WHEN 1 THEN 'openai/gpt-5' ELSE 'part/' || p_partkey END AS key, p_size * 1000000.0 AS prompt, (p_partkey % 40) * 1000000.0 AS completion FROM part WHERE p_partkey % 9 <> 0)"
 
 
-@query(f"WITH prices(ord, key, prompt, completion) AS (VALUES {PRICE_ROWS}) SELECT key, CASE WHEN key = 'openai/gpt-5' THEN 250000.0 ELSE prompt END AS prompt, CASE WHEN key = 'openai/gpt-5' THEN 500000.0 ELSE completion END AS completion FROM prices UNION ALL SELECT 'free', 0.0, 0.0")
+@query(f"WITH prices(ord, key, prompt, completion) AS (VALUES {PRICE_ROWS}), {LIVE_ROWS} SELECT key, prompt::DOUBLE AS prompt, completion::DOUBLE AS completion FROM live UNION ALL SELECT key, prompt, completion FROM prices WHERE key NOT IN (SELECT key FROM live)")
 def pricing_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = costs.live_prices(spark.createDataFrame([(LIVE,)], "value string"))
-    return costs.overlay_prices(costs.price_table(spark), live).select("key", "prompt", "completion")
+    k = F.col("p_partkey")
+    key = F.when(k == 1, "openai/gpt-5").otherwise(F.concat(F.lit("part/"), k.cast("string")))
+    cost = F.struct(F.col("p_size").alias("input_cost_per_token"), F.when(k % 9 != 0, k % 40).alias("output_cost_per_token"))
+    rows = table(spark, sf_dir, "part").select(F.to_json(F.create_map(key, cost, F.lit("sample_spec"), cost)).alias("value"))
+    return costs.overlay_prices(costs.price_table(spark), costs.live_prices(rows)).select("key", "prompt", "completion")
 
 
 # --- answers --------------------------------------------------------------------------------------
@@ -474,13 +478,13 @@ def pricing_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers made of conversations: fenced arrays, and objects with feedback."""
     c = table(spark, sf_dir, "conversations")
-    item = F.to_json(F.struct(F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), F.substring("text", 1, 80).alias("quote"), F.when(F.col("turn") % 2 == 0, "A wrong FORMULA here").otherwise("Unclear").alias("message"), F.when(F.col("turn") % 3 == 0, "logical").otherwise("other").alias("type")))
+    item = F.to_json(F.struct(F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), F.coalesce("text", F.lit("")).alias("quote"), F.when(F.col("turn") % 2 == 0, "A wrong FORMULA here").otherwise("Unclear").alias("message"), F.when(F.col("turn") % 3 == 0, "logical").otherwise("other").alias("type")))
     listed = F.concat(F.lit("["), item, F.lit("]"))
     text = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```"))).otherwise(F.concat(F.lit('{"overall_feedback": "good", "comments": '), listed, F.lit("}")))
     return c.select("conv_id", "turn", text.alias("response"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'good' END AS overall_feedback, 'Turn ' || turn AS title, substr(text, 1, 80) AS quote, CASE WHEN turn % 2 = 0 THEN 'A wrong FORMULA here' ELSE 'Unclear' END AS explanation, CASE WHEN turn % 3 = 0 THEN 'logical' WHEN turn % 2 = 0 THEN 'technical' ELSE 'logical' END AS comment_type, NULL::INT AS paragraph_index FROM conversations")
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN '' ELSE 'good' END AS overall_feedback, 'Turn ' || turn AS title, coalesce(text, '') AS quote, CASE WHEN turn % 2 = 0 THEN 'A wrong FORMULA here' ELSE 'Unclear' END AS explanation, CASE WHEN turn % 3 = 0 THEN 'logical' WHEN turn % 2 = 0 THEN 'technical' ELSE 'logical' END AS comment_type, NULL::INT AS paragraph_index FROM conversations")
 def parse_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = answers_in(spark, sf_dir).withColumn("r", rs.parse_review(F.col("response")))
     return rows.select("conv_id", "turn", "r.overall_feedback", F.explode("r.comments").alias("c")).select("conv_id", "turn", "overall_feedback", "c.*")
@@ -745,4 +749,4 @@ def streaming_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     summaries = running_summaries(stream, lambda s, p, i: f"{s}{i}:{len(p)};")
     q = summaries.writeStream.foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("doc_id", "passage_index", "summary")

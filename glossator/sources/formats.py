@@ -123,7 +123,7 @@ def joined_pages(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
 
 # --- doubtful notation ----------------------------------------------------------------------------
 
-# Letters that recognition takes for one another.
+# Letters that recognition takes for one another: a choice of ours, for no list of them is published.
 CONFUSABLE = ("il", "it", "lt", "uv", "nm", "ce", "oa", "gq")
 LEAST_FREQUENT = 3
 
