@@ -31,12 +31,20 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM p
 """
 
+#: The base patterns, written out apart from the operator's rules: pattern, group whose length counts, its least length.
+SECRETS = {
+    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    "access": ("AKIA[A-Z0-9]+", 0, 20),
+    "hex": ("[0-9a-f]+", 0, 24),
+}
+
 
 def _spans(rule: Rule, number: int) -> str:
     """A kind's spans: texts between the matches and the matches themselves, their lengths added up."""
-    regex = (rule.quick or rule.regex).replace("'", "''")
-    return f"""s{number} AS (SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda k: {{'start': (coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT, 'kind': {number}, 'size': length(m[k])::INT, 'g': length(g[k])}}), lambda y: y.g >= {rule.least}) AS sp
-FROM (SELECT doc_id, regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {rule.group}) AS g, regexp_split_to_array(t, '{regex}') AS p FROM t))"""
+    regex, group, least = SECRETS.get(rule.kind, (rule.regex, rule.group, rule.least))
+    regex = regex.replace("'", "''")
+    return f"""s{number} AS (SELECT doc_id, list_filter(list_transform(range(1, len(m) + 1), lambda k: {{'start': (coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT, 'kind': {number}, 'size': length(m[k])::INT, 'g': length(g[k])}}), lambda y: y.g >= {least}) AS sp
+FROM (SELECT doc_id, regexp_extract_all(t, '{regex}', 0) AS m, regexp_extract_all(t, '{regex}', {group}) AS g, regexp_split_to_array(t, '{regex}') AS p FROM t))"""
 
 
 def secrets() -> str:
