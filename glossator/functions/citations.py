@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,14 +24,46 @@ ENTRY_PATTERNS = (
 APPENDIX = r"(?im)^[ \t]*(?:#{1,6}[ \t]*)?(?:appendix|appendices|supplementary)(?![A-Za-z0-9_])"
 CITATION = "\\[(\\d{1,3}(?:\\s*[,;–—-]\\s*\\d{1,3})*)\\]"
 MAX_RANGE = 50
-# Latin letters with marks, and the letters without them.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+#: The marks that are taken off letters.
+MARKS = re.compile("[\u0300-\u036f]")
+
+
+@cache
+def decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition, marks taken off, is one other character, these characters, and those of
+    which it is several letters or digits of ASCII. By Unicode's own tables; decompositions into several characters of
+    which none is such (CJK compounds, Hangul syllables) are left out, for titles keep none of them."""
+    one, other, several = [], [], {}
+    for i in (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x110000)):
+        plain = MARKS.sub("", unicodedata.normalize("NFKD", chr(i)))
+        if len(plain) == 1 and plain != chr(i):
+            one.append(chr(i))
+            other.append(plain)
+        elif len(plain) > 1 and re.search("[a-z0-9]", plain):
+            several[chr(i)] = plain
+    return "".join(one), "".join(other), several
+
+
+def ranges(chars: str) -> str:
+    """A class of an expression for these characters, which ascend, by ranges: long lists of single ones are slow."""
+    runs: list[list[int]] = []
+    for i in map(ord, chars):
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 def without_accents(c: Column) -> Column:
-    """Lower-case Latin letters without their marks, combining ones included."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[\x{0300}-\x{036f}]", "")
+    """Letters without their marks, full-width, mathematical, raised and lowered forms, ligatures and the like as the plain
+    characters that they stand for."""
+    one, other, several = decompositions()
+    keys, values = "".join(several), list(several.values())
+    found = lambda x: F.try_element_at(F.lit(values), F.nullif(F.instr(F.lit(keys), x), F.lit(0)))
+    spelt = F.array_join(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(found(x), x)), "")
+    plain = F.translate(F.when(c.rlike(ranges(keys)), spelt).otherwise(c), one, other)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(plain, r"[\x{0300}-\x{036f}]", "")).otherwise(c)
 
 
 def normal_title(c: Column) -> Column:

@@ -113,3 +113,22 @@ def test_locate():
     table = "| a | b | " * 100 + "the 7 percent gain of model x over model y in table two " + "| c | d | " * 100
     assert locate("the 7 percent gainn of modell x over model y in table two", ["short", table]) == 1
     assert ratio("", "") == 1.0
+
+
+def test_titles_decompose_as_unicode_does(spark):
+    """Every code point, between two letters: the normal title is that of its compatibility decomposition."""
+    import re
+    import unicodedata
+
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    rows = spark.range(0, len(points), 1, 8).select(F.col("id")).join(spark.createDataFrame([(k, f"a{chr(i)}b") for k, i in enumerate(points)], "id long, t string"), "id")
+    got = {r.id: r.n for r in rows.select("id", ct.normal_title(F.col("t")).alias("n")).collect()}
+
+    def plain(t):
+        t = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", t))
+        t = re.sub(r"[{}$]", "", re.sub(r"\\[a-zA-Z]+", " ", t))
+        return re.sub(r"\s+", " ", re.sub("[^a-z0-9 ]+", " ", t)).strip()
+
+    lowered = {r.id: r.l for r in rows.select("id", F.lower("t").alias("l")).collect()}
+    wrong = [hex(points[k]) for k in got if got[k] != plain(lowered[k])]
+    assert not wrong, wrong[:20]
