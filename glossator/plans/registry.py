@@ -22,6 +22,7 @@ from glossator.plans import prompts as pr
 from glossator.plans import reference_review as rr
 from glossator.plans import report
 from glossator.plans.ledger import ChatOptions, Ledger
+from glossator.plans.paper_store import PaperStore
 from glossator.sources import catalogs, formats
 from glossator.sources.html import page_title, parse_pages
 from glossator.sources.storage import fresh_path
@@ -166,6 +167,18 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "text", "error")
 
 
+@query(rf"""WITH p AS (SELECT url || '#' || page_id AS url, html, page_id % 5 AS k FROM pages)
+SELECT url, CASE WHEN k = 1 THEN 'txt' END AS format, CASE WHEN k IN (0, 2) THEN replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') WHEN k = 1 THEN substr(list_filter(list_transform(string_split(html, chr(10)), lambda x: {t('x')}), lambda x: x <> '')[1], 1, 200) END AS title,
+ CASE WHEN k = 1 THEN length(html) END::INT AS n, CASE k WHEN 3 THEN 'unsupported media type: image/png' WHEN 4 THEN 'HTTP 404' END AS error FROM p""")
+def page_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched pages by what they are: web pages, said or not, plain text, media that cannot be read, and failures."""
+    k = F.col("page_id") % 5
+    media = F.when(k == 0, "text/html; charset=utf-8").when(k == 1, "text/plain").when(k == 3, "image/png")
+    rows = table(spark, sf_dir, "pages").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), media.alias("media_type"), F.when(k != 4, F.encode("html", "UTF-8")).alias("content"), F.when(k == 4, "HTTP 404").alias("error"))
+    parsed = formats.parse_fetched(rows)
+    return parsed.select("url", "format", "title", F.when(F.col("format") == "txt", F.length("text")).alias("n"), "error")
+
+
 @query(rf"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Paper ' || doc_id WHEN 1 THEN coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: {t('x')}), lambda x: x <> '')[1], 1, 200), '') ELSE 'Head ' || doc_id END AS title, doc_id % 3 = 0 AS was_ocr, length(CASE doc_id % 3 WHEN 2 THEN '## Head ' || doc_id || chr(10) || text ELSE text END)::INT AS n FROM documents")
 def frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, body = F.col("doc_id"), F.col("text")
@@ -545,6 +558,22 @@ def paper_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "title", F.size("paragraphs").alias("n_paragraphs"), e.value.label.alias("label"), e.key.alias("key"), F.element_at(e.value.comments, 1).id.alias("first_id"), e.value.cost_usd.alias("cost_usd"))
 
 
+@query(rf"""WITH {PAPERS}, {PARAS}, ti AS (SELECT doc_id, coalesce(substr(regexp_replace(list_filter(list_transform(string_split(text, chr(10)), lambda x: {t('x')}), lambda x: x <> '')[1], '^#+\s*', ''), 1, 200), 'Untitled') AS title FROM papers)
+SELECT doc_id, title, (len(ps) + (CASE WHEN was_ocr THEN 1 ELSE 0 END))::INT AS n_paragraphs, CASE WHEN source = 'src0' THEN 'zero_shot__gpt-5-mini' ELSE 'local__gpt-5-mini,zero_shot__gpt-5-mini' END AS keys, CASE WHEN source = 'src0' THEN 'second' ELSE 'second,first' END AS feedback FROM paras JOIN ti USING (doc_id) JOIN documents USING (doc_id)""")
+def papers_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of a store after two runs: the second replaces a block or adds one, and changes no title or paragraph."""
+    docs = papers_in(spark, sf_dir)
+    store = PaperStore(spark, fresh_path(spark, "papers"), 8)
+    told = table(spark, sf_dir, "documents").select("doc_id", F.lit("openai/gpt-5-mini").alias("model"), "source")
+    nothing = quotes_in(spark, sf_dir).where("false").withColumns({"paragraph_index": F.lit(0), "method": F.lit("x")})
+    unpaid = calls_in(spark, sf_dir).where("false").withColumn("method", F.lit("x"))
+    for text, method, said in ((F.col("text"), F.lit("zero_shot"), "first"), (F.concat(F.lit("Other words. "), "text"), F.when(F.col("source") == "src0", "zero_shot").otherwise("local"), "second")):
+        results = told.withColumn("method", method).withColumn("overall_feedback", F.lit(said)).drop("source")
+        store.upsert(docs.withColumn("text", text), report.method_blocks(results, nothing, unpaid, costs.price_table(spark)))
+    joined = lambda c: F.array_join(c, ",")
+    return store.papers().select("doc_id", "title", F.size("paragraphs").alias("n_paragraphs"), joined(F.map_keys("methods")).alias("keys"), joined(F.transform(F.map_values("methods"), lambda m: m.overall_feedback)).alias("feedback"))
+
+
 @query("SELECT doc_id, 'Look at {passage} of ' || text || ' on 2026-01-02, {unknown}' AS prompt FROM documents")
 def prompts_interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = {"a": F.lit("{passage}"), "passage": F.col("text"), "currentDate": F.lit("2026-01-02")}
