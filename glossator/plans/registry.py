@@ -636,7 +636,7 @@ def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_stub(prompt: str, model: str, max_tokens: int) -> tuple[str, int, int]:
-    """Reads the entries of the sample bibliographies back out of the prompt."""
+    """Reads the entries of the sample bibliographies back out of the prompt, some with another title, author or year."""
     import json
     import re
 
@@ -645,8 +645,13 @@ def reference_stub(prompt: str, model: str, max_tokens: int) -> tuple[str, int,
         return '{"verdict": "verified", "explanation": "same work"}', n, 9
     if prompt.startswith("END OF A PAPER"):
         return "NONE", n, 1
-    found = re.findall(r"\[(\d+)\] (\w+), A\. (.*?)\. J\. Parts (\d+)\(\d+\), (\d{4})", prompt)
-    return "Here: " + json.dumps([{"label": a, "raw": f"[{a}] {b}, A. {c}. J. Parts {v}", "title": c, "authors": [f"A. {b}"], "year": y, "kind": "paper"} for a, b, c, v, y in found]), n, 50
+    found = re.findall(r"\[(\d+)\] Smith(\d+), A\. (.*?)\. J\. Parts (\d+)\(\d+\), (\d{4})", prompt)
+    entries = []
+    for label, who, title, volume, year in found:
+        k = int(label)
+        read = f"The {title.title()}" if k % 5 == 0 else re.sub("[aeiou]", "x", title) if k % 5 == 1 else title
+        entries.append({"label": label, "raw": f"[{label}] Smith{who}, A. {title}. J. Parts {volume}", "title": read, "authors": [f"A. Smith{chr(97 + int(who) + (k % 11 == 0))}"], "year": int(year) + 5 * (k % 7 == 0), "kind": "paper"})
+    return "Here: " + json.dumps(entries), n, 50
 
 
 @query()
