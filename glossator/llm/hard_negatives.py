@@ -1,15 +1,15 @@
 """Hard negatives by a two-dimensional block matrix multiply.
 
 Scores are the product of the anchors' matrix with that of all rows, which no task could hold. Rows are dealt over
-R shards, anchors over Q, and the dimensions are cut into chunks; cell (q, r, k) of the grid gets chunk k of anchor
-shard q and of row shard r, each panel being sent along its side of the grid. The cell's product is a tile of
-partial scores in int64, and the tiles of one (q, r) are shuffled together and added up. All pieces are of bounded
-size whatever the table's: a row shard has some 4096 rows, an anchor shard some 256, and there are four chunks at
-most.
-
-A tile then gives each anchor's best rows of the same label; the best of all tiles are its positives. Their scores
-go back to the tiles, and each tile gives the best rows of other labels within the window of each (anchor,
-positive); these are reduced to the first few. Only tops leave the tiles.
+R shards, anchors over Q, and the dimensions are cut into chunks; cell (q, r) of the grid gets, chunk by chunk, the
+panels of anchor shard q and of row shard r, each panel being sent along its side of the grid. The cell multiplies
+chunk by chunk and adds the partial scores up in int64 where they are; no score leaves it. Of its tile it has a
+slice of anchors at a time, so a task holds two panels and a slice, whatever the table's size.
+
+A cell then gives each anchor's best rows of the same label; the best of all cells are its positives. Their scores
+go back with the anchors' panels, the scores are made once more, and each cell gives the best rows of other labels
+within the window of each (anchor, positive); these are reduced to the first few. Tiles are made anew because they
+grow with anchors times rows: kept, or shuffled to be added up, they outgrow any disk, while panels grow as the rows.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +29,18 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 5
 #: A negative has at least this share of the positive's score, in hundredths, and at most all of it.
 LEAST_SHARE = 80
-#: Rows and anchors of a shard, about; dimensions of a chunk at least, and chunks at most.
-ROWS, ANCHORS, CHUNK, CHUNKS = 4096, 256, 32, 4
+#: Rows of a shard, about, while there are no more than SHARDS of them, then up to WIDER times as many; anchors of a shard;
+#: dimensions of a chunk at least, and chunks at most.
+ROWS, SHARDS, WIDER, ANCHORS, CHUNK, CHUNKS = 4096, 48, 16, 16384, 32, 4
+#: Scores of a cell that are in hand at a time, about.
+SLICE = 1 << 20
 #: Windows that may be broadcast.
 BROADCAST_WINDOWS = 200_000
 
 PIECE = "id long, label long, k int, piece binary"
-PARTIAL = "q int, r int, k int, anchors binary, anchor_labels binary, ids binary, labels binary, scores binary"
-TILE = "q int, r int, anchors binary, anchor_labels binary, ids binary, labels binary, scores binary, best array<struct<anchor:long,id:long,score:long>>"
+BEST = "anchor long, id long, score long"
 FOUND = "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
+WINDOWS = "array<struct<id:long,score:long>>"
 
 
 def first(scores: np.ndarray, k: int) -> np.ndarray:
@@ -77,88 +81,99 @@ def pieces(rows: DataFrame, dims: int, chunks: int, scale: int) -> DataFrame:
     return rows.select("id", "label", "v").mapInArrow(run, PIECE)
 
 
-def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, labels and pieces of a panel, in order of the ids."""
-    ids, labels = (table.column(c).to_numpy() for c in ("id", "label"))
-    x = np.frombuffer(b"".join(table.column("piece").to_pylist()), "<i4").reshape(len(ids), -1)
-    o = np.argsort(ids, kind="stable")
-    return ids[o], labels[o], x[o].astype(np.int64)
+def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list]:
+    """Ids and labels of a panel in order of the ids, its chunks, each in that order, and the windows of its rows."""
+    chunks, known = [], None
+    for k in np.unique(table.column("k").to_numpy()).tolist():
+        own = table.filter(pc.equal(table.column("k"), k))
+        ids = own.column("id").to_numpy()
+        o = np.argsort(ids, kind="stable")
+        known = known or (ids[o], own.column("label").to_numpy()[o], own.column("windows").take(pa.array(o)))
+        chunks.append(np.frombuffer(b"".join(own.column("piece").to_pylist()), "<i4").reshape(len(ids), -1)[o])
+    return known[0], known[1], chunks, known[2]
 
 
 def partial_tiles(own: DataFrame, asking: DataFrame, q: int, r: int) -> DataFrame:
-    """The grid's products of the pieces of all rows and those of the anchors: one row for each (anchor shard, row shard,
-    chunk) that both sides have."""
+    """What the grid's partial products are made of: for each (anchor shard, row shard, chunk) the pieces of the anchors
+    and those of the rows."""
     shard = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int")
     along = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     panel = ["id", "label", "k", "piece"]
-    rows = own.select(*panel, shard("id", r, "row").alias("r")).withColumn("q", along(q))
-    anchors = asking.select(*panel, shard("id", q, "anchor").alias("q")).withColumn("r", along(r))
+    rows = own.select(*panel, F.lit(False).alias("asks"), F.lit(None).cast(WINDOWS).alias("windows"), shard("id", r, "row").alias("r")).withColumn("q", along(q))
+    anchors = asking.select(*panel, F.lit(True).alias("asks"), F.when(F.col("k") == 0, F.col("windows")).alias("windows"), shard("id", q, "anchor").alias("q")).withColumn("r", along(r))
+    return rows.unionByName(anchors)
 
-    def multiply(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        at = tuple(x.as_py() for x in key)
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_pylist([], pa.schema([(n, pa.binary() if t == "binary" else pa.int32()) for n, t in (c.split() for c in PARTIAL.split(", "))]))
-        ids, labels, x = matrix(left)
-        anchor_ids, anchor_labels, y = matrix(right)
-        names = [a.astype("<i8").tobytes() if not at[2] else None for a in (anchor_ids, anchor_labels, ids, labels)]
-        values = [pa.array([v], pa.int32()) for v in at] + [pa.array([v], pa.binary()) for v in (*names, product(y, x).astype("<i8").tobytes())]
-        return pa.Table.from_arrays(values, names=[c.split()[0] for c in PARTIAL.split(", ")])
 
-    return rows.groupBy("q", "r", "k").cogroup(anchors.groupBy("q", "r", "k")).applyInArrow(multiply, PARTIAL)
+def scores_of(y: list[np.ndarray], x: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """The scores of the anchors y with the rows x, a slice of anchors at a time, and where that begins: products of the
+    chunks, added up."""
+    step = max(1, SLICE // max(1, len(x[0])))
+    x = [b.astype(np.int64) for b in x]
+    for i in range(0, len(y[0]), step):
+        total = None
+        for a, b in zip(y, x, strict=True):
+            part = product(a[i : i + step].astype(np.int64), b)
+            total = part if total is None else np.add(total, part, out=total)
+        yield i, total
 
 
-def longs(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, "<i8")
+def panels(cell: pa.Table) -> Iterator[tuple]:
+    """Both panels of a cell, anchors first; nothing where it lacks one."""
+    asks = cell.column("asks")
+    anchors, rows = cell.filter(asks), cell.filter(pc.invert(asks))
+    if anchors.num_rows and rows.num_rows:
+        yield matrix(anchors), matrix(rows)
 
 
-def best_of(anchors: np.ndarray, anchor_labels: np.ndarray, ids: np.ndarray, labels: np.ndarray, scores: np.ndarray, most: int) -> list[dict]:
-    """Each anchor's first rows of its label in the tile."""
-    out = []
-    for a, (anchor, label) in enumerate(zip(anchors.tolist(), anchor_labels.tolist(), strict=True)):
-        at = np.flatnonzero((labels == label) & (ids != anchor))
-        at = at[first(scores[a, at], most)]
-        out += [{"anchor": anchor, "id": i, "score": s} for i, s in zip(ids[at].tolist(), scores[a, at].tolist(), strict=True)]
-    return out
+def listed(rows: list[tuple], schema: str) -> pa.Table:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names=names)
 
 
 def tiles(partial: DataFrame, most: int) -> DataFrame:
-    """Partial tiles added up, each with the first rows of the same label of its anchors."""
-    names = ("anchors", "anchor_labels", "ids", "labels")
-    best = pa.list_(pa.struct([("anchor", pa.int64()), ("id", pa.int64()), ("score", pa.int64())]))
-
-    def add(key: tuple, found: pa.Table) -> pa.Table:
-        total, known = None, None
-        for k, scores, *told in zip(*(found.column(c).to_pylist() for c in ("k", "scores", *names)), strict=True):
-            total = longs(scores).copy() if total is None else total + longs(scores)
-            known = told if k == 0 else known
-        anchors, anchor_labels, ids, labels = map(longs, known)
-        tops = best_of(anchors, anchor_labels, ids, labels, total.reshape(len(anchors), len(ids)), most)
-        values = [pa.array([x.as_py()], pa.int32()) for x in key] + [pa.array([x], pa.binary()) for x in (*known, total.tobytes())] + [pa.array([tops], best)]
-        return pa.Table.from_arrays(values, names=["q", "r", *names, "scores", "best"])
-
-    return partial.groupBy("q", "r").applyInArrow(add, TILE)
-
-
-def within(tile: DataFrame, most: int, least_share: int) -> DataFrame:
-    """For each window (anchor, positive, score) of a tile's row the first rows of other labels in it."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {n: b.column(c)[i].as_py() for c, n in enumerate(b.schema.names)}
-                anchors, anchor_labels, ids, labels = (longs(row[n]) for n in ("anchors", "anchor_labels", "ids", "labels"))
-                scores = longs(row["scores"]).reshape(len(anchors), len(ids))
-                place = {a: p for p, a in enumerate(anchors.tolist())}
-                out = []
-                for w in row["windows"]:
-                    a, score = place[w["anchor"]], w["score"]
-                    at = np.flatnonzero((scores[a] <= score) & (100 * scores[a] >= least_share * score) & (labels != anchor_labels[a]))
-                    at = at[first(scores[a, at], most)]
-                    out += [(w["anchor"], w["id"], score, n, s) for n, s in zip(ids[at].tolist(), scores[a, at].tolist(), strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
-
-    return tile.select("anchors", "anchor_labels", "ids", "labels", "scores", "windows").mapInArrow(run, FOUND)
+    """Each anchor's first rows of its label in each cell."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        out = []
+        for (anchors, anchor_labels, y, _), (ids, labels, x, _) in panels(cell):
+            for label in np.unique(anchor_labels).tolist():
+                mine, same = np.flatnonzero(anchor_labels == label), np.flatnonzero(labels == label)
+                if not len(same):
+                    continue
+                own = ids[same]
+                for i, scores in scores_of([a[mine] for a in y], [b[same] for b in x]):
+                    for anchor, row in zip(anchors[mine[i : i + len(scores)]].tolist(), scores, strict=True):
+                        at = first(row, most + 1)
+                        at = at[own[at] != anchor][:most]
+                        out += [(anchor, n, s) for n, s in zip(own[at].tolist(), row[at].tolist(), strict=True)]
+        return listed(out, BEST)
+
+    return partial.groupBy("q", "r").applyInArrow(run, BEST)
+
+
+def within(partial: DataFrame, most: int, least_share: int) -> DataFrame:
+    """For each window (anchor, positive, score) the first rows of other labels in it of each cell."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        out = []
+        for (anchors, anchor_labels, y, windows), (ids, labels, x, _) in panels(cell):
+            windows = windows.to_pylist()
+            for i, scores in scores_of(y, x):
+                for anchor, label, told, row in zip(anchors[i : i + len(scores)].tolist(), anchor_labels[i : i + len(scores)].tolist(), windows[i : i + len(scores)], scores, strict=True):
+                    if not told:
+                        continue
+                    # Rows that are in a window of the anchor at all.
+                    least = -(-least_share * min(w["score"] for w in told) // 100)
+                    near = np.flatnonzero((row >= least) & (row <= max(w["score"] for w in told)))
+                    near = near[labels[near] != label]
+                    own = row[near]
+                    for w in told:
+                        at = np.flatnonzero((own <= w["score"]) & (100 * own >= least_share * w["score"]))
+                        at = near[at[first(own[at], most)]]
+                        out += [(anchor, w["id"], w["score"], n, s) for n, s in zip(ids[at].tolist(), row[at].tolist(), strict=True)]
+        return listed(out, FOUND)
+
+    return partial.groupBy("q", "r").applyInArrow(run, FOUND)
 
 
 def hard_negatives(vectors: DataFrame, is_anchor: Column | None = None, vec_id: str = "vec_id", embedding: str = "embedding", label: str | Column = "label", positives: int = POSITIVES, negatives: int = NEGATIVES, least_share: int = LEAST_SHARE, scale: int = SCALE) -> DataFrame:
@@ -180,17 +195,17 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column | None = None, vec_id:
     if rows.groupBy("id").count().where("count > 1").limit(1).count():
         rows = rows.groupBy("id").agg(F.min(F.struct("label", "v", "anchor")).alias("x")).select("id", "x.*")
     n, m, dims = known[0], known[1], max(1, known[2] or 0)
-    q, r, chunks = max(1, -(-m // ANCHORS)), max(1, -(-n // ROWS)), min(CHUNKS, -(-dims // CHUNK))
+    wide = min(max(ROWS, -(-n // SHARDS)), ROWS * WIDER)
+    q, r, chunks = max(1, -(-m // ANCHORS)), max(1, -(-n // wide)), min(CHUNKS, -(-dims // CHUNK))
+    cut = lambda x: pieces(x, dims, chunks, scale)
     with spent_shuffles_removed(spark):
-        tile = durable(tiles(partial_tiles(pieces(rows, dims, chunks, scale), pieces(rows.where("anchor"), dims, chunks, scale), q, r), positives))
-        best = tile.select("q", F.explode("best").alias("b")).select("q", "b.*")
+        asking = cut(rows.where("anchor"))
+        best = tiles(partial_tiles(cut(rows), asking.withColumn("windows", F.lit(None).cast(WINDOWS)), q, r), positives)
         order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id")
         chosen = durable(best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= positives).drop("n"))
-        windows = chosen.groupBy("q").agg(F.collect_list(F.struct("anchor", "id", "score")).alias("windows"))  # those of some 256 anchors
-        if chosen.count() <= BROADCAST_WINDOWS:
-            met = tile.join(F.broadcast(windows), "q")
-        else:
-            met = tile.join(windows.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))), ["q", "r"])
+        windows = chosen.groupBy("anchor").agg(F.collect_list(F.struct("id", "score")).alias("windows"))  # a few of each anchor
+        windows = F.broadcast(windows) if chosen.count() <= BROADCAST_WINDOWS else windows
+        met = partial_tiles(cut(rows), asking.join(windows, asking["id"] == windows["anchor"]).drop("anchor"), q, r)
         order = Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id")
         found = within(met, negatives, least_share).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
         return durable(found.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score"))

@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glossator.llm import hard_negatives as hn
 from glossator.llm import vector_codes as vc
@@ -168,3 +169,13 @@ def test_scores_come_from_the_tiles(spark, monkeypatch):
     partial = hn.partial_tiles
     monkeypatch.setattr(hn, "partial_tiles", lambda *a: partial(*a).where("k = 0"))
     assert sorted_rows(hn.hard_negatives(df, df.vec_id % 10 == 0)) != whole
+
+
+def test_no_tile_leaves_its_cell(spark):
+    """What is shuffled grows as the rows, not as anchors times rows."""
+    n, dims = 1200, 64
+    df = spark.createDataFrame(vectors(n, dims, grid=4), VEC).selectExpr("vec_id AS id", "CAST(label AS long) AS label", "CAST(embedding AS array<double>) AS v")
+    own = hn.pieces(df, dims, 2, 256)
+    rows = hn.partial_tiles(own, own.withColumn("windows", F.lit(None).cast("array<struct<id:long,score:long>>")), 1, 1)
+    held = rows.agg(*(F.sum(F.length(c)).alias(c) for c, t in rows.dtypes if t == "binary")).first()
+    assert sum(held) == 2 * n * dims * 4
