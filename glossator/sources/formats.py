@@ -247,7 +247,7 @@ def parse_fetched(fetched: DataFrame, pdf_pages=None, max_pages: int | None = No
     got = rows.where("content is not null")
     files = parse_files(got.where("format is not null").select(F.col("url").alias("path"), "format", "content"), pdf_pages, max_pages).withColumnRenamed("path", "url")
     is_page = F.col("_mime").isNull() | F.col("_mime").isin("", "text/html", "application/xhtml+xml")
-    pages = parse_pages(got.where(F.col("format").isNull() & is_page).select("url", "format", F.decode("content", "UTF-8").alias("html")))
+    pages = parse_pages(got.where(F.col("format").isNull() & is_page).select("url", "format", F.decode("content", "UTF-8").alias("html")), keep_loose=True)
     pages = pages.select("url", "format", "title", "text", F.lit(False).alias("was_ocr"), "error")
     other = got.where(F.col("format").isNull() & ~is_page).select("url", "format", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("was_ocr"), F.concat(F.lit("unsupported media type: "), F.col("media_type")).alias("error"))
     return files.select("url", "format", "title", "text", "was_ocr", "error").unionByName(pages).unionByName(other).unionByName(failed)
