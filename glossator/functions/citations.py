@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossator.functions.text import lines, squeeze, trim
+from glossator.functions.text import let, lines, squeeze, trim
 
 # Headings of a bibliography, as they read without marks and accents.
 SECTION_KEYWORDS = ("references", "reference", "referencescited", "bibliography", "workscited", "literaturecited", "bibliographie", "bibliografia", "referencias", "literaturverzeichnis", "参考文献")
@@ -151,16 +151,16 @@ def looks_like_bibliography(c: Column) -> Column:
 def overflow_citations(body: Column, highest: Column) -> Column:
     """Numbers cited in the text, ranges of under 50 included, above the highest label; in ascending order."""
     groups = F.regexp_extract_all(body, F.lit(CITATION), F.lit(1))
-    parts = F.flatten(F.transform(groups, lambda g: F.split(g, "[,;]")))
+    # Without white space, and with one kind of comma and of dash, each of which splits without an expression.
+    parts = F.flatten(F.transform(groups, lambda g: F.split(F.translate(g, ";–— \t\n\x0b\f\r", ",--"), ",")))
+    none = F.array().cast("array<int>")
 
-    def numbers(part: Column) -> Column:
-        ends = F.transform(F.split(part, "[–—-]"), lambda x: F.trim(F.regexp_replace(x, r"\s", "")).cast("int"))
+    def spanned(ends: Column) -> Column:
         low, high = F.element_at(ends, 1), F.try_element_at(ends, F.lit(2))
-        spans = (F.size(ends) == 2) & (high > low) & (high - low < MAX_RANGE)
-        return F.when(spans, F.sequence(low, F.when(spans, high).otherwise(low))).when(F.size(ends) == 1, F.array(low)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(ends) == 1, ends).when((F.size(ends) == 2) & (high > low) & (high - low < MAX_RANGE), F.sequence(low, high)).otherwise(none)
 
+    numbers = lambda part: let(F.split(part, "-").cast("array<int>"), spanned)
     cited = F.array_distinct(F.flatten(F.transform(parts, numbers)))
-    none = F.array().cast("array<int>")
     return F.when(highest > 0, F.array_sort(F.filter(F.coalesce(cited, none), lambda n: n > highest))).otherwise(none)
 
 

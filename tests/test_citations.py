@@ -132,3 +132,11 @@ def test_titles_decompose_as_unicode_does(spark):
     lowered = {r.id: r.l for r in rows.select("id", F.lower("t").alias("l")).collect()}
     wrong = [hex(points[k]) for k in got if got[k] != plain(lowered[k])]
     assert not wrong, wrong[:20]
+
+
+def test_overflow_reads_a_range_once(spark):
+    """Values with all kinds of dashes and white space, and no part of a citation is split again for each use of it."""
+    body = F.lit("See [ 1 ] is none, [9 ,\t30 – 32;7], [40—41; 50-99], [60-\n10] and [8-8].".replace("[ 1 ]", "[1]"))
+    assert one(spark, ct.overflow_citations(body, F.lit(6))) == [7, 9, 30, 31, 32, 40, 41, *range(50, 100)]
+    made = spark.range(1).select(ct.overflow_citations(F.lit("[1]"), F.col("id")).alias("n"))
+    assert made._jdf.queryExecution().analyzed().toString().count("split(") == 2
