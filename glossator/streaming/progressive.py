@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from glossator.sources.storage import fresh_path, open_fs, publish, qualified
@@ -15,6 +14,8 @@ OUTPUT = "doc_id long, passage_index int, summary string, error string"
 RETRIES = 3
 #: Milliseconds before the first new attempt; twice that before each further one.
 BACKOFF = 1000
+#: Characters of a document's new passages that are in hand at a time.
+IN_HAND = 4 << 20
 
 
 class Waiting:
@@ -41,7 +42,8 @@ class Waiting:
 def folding(update: Callable[[str, str, int], str], most_chars: int, path: str, timers: bool = False, retries: int = RETRIES, backoff: int = BACKOFF, ttl: int | None = None) -> type:
     """A processor that folds passages into a summary by ``update(summary, passage, index)``.
 
-    Passages that were folded already are passed over, so a batch that is sent again changes nothing. Those that come
+    Passages that were folded already are passed over, so a batch that is sent again changes nothing. Those that can be
+    folded at once never enter the state, which each question to it costs a message. Those that come
     too early wait: their texts in files under ``path``, under names that a batch which runs again writes anew, and
     their numbers in the state. Files stay until the folder is cleared, for a batch that fails later reads them again.
 
@@ -57,35 +59,50 @@ def folding(update: Callable[[str, str, int], str], most_chars: int, path: str,
             self.waiting = handle.getMapState("waiting", "passage_index int", "size int", ttl)
             self.texts = Waiting(path)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            at, _, attempts = self.held()
-            due = None
-            for part in rows:
-                for i, t in zip(part["passage_index"].tolist(), part["text"].tolist(), strict=True):
-                    if i == at and due is None:
-                        due = t or ""
-                        self.waiting.updateValue((int(i),), (-1,))
-                    elif i >= at and not self.waiting.containsKey((int(i),)):
-                        self.texts.put(key[0], int(i), t or "")
-                        self.waiting.updateValue((int(i),), (len(t or ""),))
-            # A document whose last attempt failed waits for its timer.
-            if attempts and due is not None:
-                self.texts.put(key[0], at, due)
-                self.waiting.updateValue((at,), (len(due),))
-            yield self.told(key[0], timerValues, due, not attempts)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            yield self.told(key[0], timerValues, None)
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            doc_id, state = key[0], self.held()
+            waits = self.waiting.exists()
+            fresh: dict[int, str] = {}
+            size = 0
+            for r in rows:
+                i, t = int(r["passage_index"]), r["text"] or ""
+                if i < state[0] or i in fresh or (waits and self.waiting.containsKey((i,))):
+                    continue
+                fresh[i] = t
+                size += len(t)
+                if size > IN_HAND:
+                    state = yield from self.folded(doc_id, state, fresh, waits, timerValues)
+                    waits, size = self.put_away(doc_id, fresh) or waits, 0
+            state = yield from self.folded(doc_id, state, fresh, waits, timerValues)
+            self.put_away(doc_id, fresh)
+            self.summary.update(state)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            state = yield from self.folded(key[0], self.held(), {}, True, timerValues, again=True)
+            self.summary.update(state)
 
         def held(self) -> tuple[int, str, int]:
-            at, text, attempts = self.summary.get() if self.summary.exists() else (0, "", 0)
+            at, text, attempts = self.summary.get() or (0, "", 0)
             return int(at), text or "", int(attempts)
 
-        def told(self, doc_id: int, timer_values, due: str | None, go: bool = True) -> pd.DataFrame:
-            at, text, attempts = self.held()
-            done = []
-            while go and self.waiting.containsKey((at,)):
-                passage = due if due is not None else self.texts.get(doc_id, at)
+        def put_away(self, doc_id: int, fresh: dict[int, str]) -> bool:
+            """Passages that are left wait; whether there are any."""
+            for i, t in fresh.items():
+                self.texts.put(doc_id, i, t)
+                self.waiting.updateValue((i,), (len(t),))
+            some = bool(fresh)
+            fresh.clear()
+            return some
+
+        def folded(self, doc_id: int, state: tuple[int, str, int], fresh: dict[int, str], waits: bool, timer_values, again: bool = False) -> Iterator[Row]:
+            """Rows of the passages that can be folded now; returns the state after them. They leave ``fresh`` or the state."""
+            at, text, attempts = state
+            # A document whose last attempt failed waits for its timer.
+            while again or not attempts:
+                there = at in fresh
+                if not there and not (waits and self.waiting.containsKey((at,))):
+                    break
+                passage = fresh[at] if there else self.texts.get(doc_id, at)
                 try:
                     text, error = update(text, passage, at)[:most_chars], None
                 except Exception as e:  # noqa: BLE001  told in the row
@@ -93,17 +110,16 @@ def folding(update: Callable[[str, str, int], str], most_chars: int, path: str,
                         raise
                     attempts += 1
                     if attempts < retries:
-                        if due is not None:
-                            self.texts.put(doc_id, at, due)
-                            self.waiting.updateValue((at,), (len(due),))
                         self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + backoff * 2 ** (attempts - 1))
                         break
                     error = f"{type(e).__name__}: {e}"
-                self.waiting.removeKey((at,))
-                done.append((doc_id, at, text, error))
-                at, attempts, due = at + 1, 0, None
-            self.summary.update((at, text, attempts))
-            return pd.DataFrame(done, columns=["doc_id", "passage_index", "summary", "error"])
+                if there:
+                    del fresh[at]
+                else:
+                    self.waiting.removeKey((at,))
+                yield Row(doc_id=doc_id, passage_index=at, summary=text, error=error)
+                at, attempts = at + 1, 0
+            return at, text, attempts
 
         def close(self) -> None:
             pass
@@ -122,4 +138,4 @@ def running_summaries(passages: DataFrame, update: Callable[[str, str, int], str
     """
     spark = passages.sparkSession
     processor = folding(update, most_tokens * 4, qualified(spark, path or fresh_path(spark, "waiting")), timers, retries, backoff, ttl if timers else None)
-    return passages.groupBy("doc_id").transformWithStateInPandas(statefulProcessor=processor(), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if timers else "None")
+    return passages.groupBy("doc_id").transformWithState(statefulProcessor=processor(), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if timers else "None")

@@ -91,3 +91,38 @@ def test_waiting_texts(tmp_path):
     w.put(-5, 2, "é\n")
     w.put(-5, 2, "other")
     assert w.get(-5, 2) == "other"
+
+
+class State:
+    """A state variable that counts the questions to it."""
+
+    def __init__(self):
+        self.asked, self.value, self.map = 0, None, {}
+
+    def __getattr__(self, name):
+        def ask(*a):
+            self.asked += 1
+            if name == "update":
+                self.value = a[0]
+            elif name == "updateValue":
+                self.map[a[0]] = a[1]
+            elif name == "removeKey":
+                self.map.pop(a[0], None)
+            return {"get": self.value, "exists": bool(self.map), "containsKey": bool(a) and a[0] in self.map}.get(name)
+
+        return ask
+
+
+def test_passages_in_order_ask_the_state_three_times(tmp_path):
+    from pyspark.sql import Row
+
+    from glossator.streaming.progressive import folding
+
+    class Handle:
+        getValueState = getMapState = lambda self, *a: State()
+
+    p = folding(joined, 100, str(tmp_path))()
+    p.init(Handle())
+    got = list(p.handleInputRows((1,), iter([Row(passage_index=i, text=str(i)) for i in (0, 2, 1, 0)]), None))
+    assert [(r.passage_index, r.summary) for r in got] == [(0, "|00"), (1, "|00|11"), (2, "|00|11|22")]
+    assert p.summary.asked + p.waiting.asked == 3 and p.summary.value == (3, "|00|11|22", 0)
