@@ -77,7 +77,9 @@ class PaperStore:
         kept = self._read(said, dirty).join(changed.select("doc_id"), "doc_id", "left_anti")
         out = changed.unionByName(kept).withColumn("bucket", self.bucket())
         lot = f"{number + 1:012d}-{self._fresh()}"
-        out.repartition(min(len(dirty), self.buckets), "bucket").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/data/{lot}")
+        # By ranges, so that tasks grow in number with the partitions and not with the buckets; a task is in few buckets.
+        n = max(len(dirty), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        out.repartitionByRange(n, "bucket", "doc_id").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(f"{self.path}/data/{lot}")
         folders = {**said.get("folders", {}), **{str(b): f"{lot}/bucket={b}" for b in dirty}}
         return self._publish(number + 1, {"buckets": self.buckets, "folders": folders})
 

@@ -81,3 +81,10 @@ def test_of_two_writers_one_fails(spark, tmp_path):
     with pytest.raises(Exception, match="exists"):
         store._publish(1, said)
     assert store.version()[1] == said
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    store = PaperStore(spark, str(tmp_path / "p"), 1)
+    docs = docs_of(spark, *((i, f"Text {i}") for i in range(200)))
+    assert store.upsert(docs, blocks_of(spark, *((i, "a", str(i)) for i in range(200)))) == 1
+    assert len(list((tmp_path / "p" / "data").rglob("*.parquet"))) > 1 and store.papers().count() == 200
