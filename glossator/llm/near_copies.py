@@ -8,8 +8,8 @@ found by an exact join, to which those that are in one component already are as
 The join goes by prefixes. Shingles have one order for all texts; of two sets of that similarity, the
 first ``n - ceil(0.8 n) + 1`` shingles of either, n being its size, have one in common. Texts that share such
 a shingle meet, and the pairs that their sizes and places leave open are compared by their whole sets. The
-order puts shingles last that are frequent in a sample, so that common passages seldom bring texts together;
-any order gives the same pairs, so the sample decides speed only. Between the two stands a bound: each text
+order puts shingles last that are frequent, counted in all texts, so that common passages seldom bring texts
+together; any order gives the same pairs, so the counts decide speed only. Between the two stands a bound: each text
 has a small histogram of its shingles' hashes, two sets cannot have more in common than the lesser counts of
 all cells add up to, and pairs for which that is too little are settled without their sets.
 
@@ -35,10 +35,12 @@ from glossator.llm.simhash import fingerprint_links, keep_first, majority, set_b
 
 SHINGLE = 5
 SEED = 42
-#: Texts that the order of shingles is taken from, about, and in how many of them a shingle is frequent.
-SAMPLE, FREQUENT = 20_000, 3
+#: In how many texts a shingle is frequent.
+FREQUENT = 3
 #: The most frequent shingles that are sent to all tasks.
 SENT = 200_000
+#: Shingles that a task counts at a time, and those of a row that it sends.
+COUNTED, PIECE = 1 << 20, 256
 #: Nodes that may be broadcast, eight bytes each.
 BROADCAST_ROWS = 200_000
 #: Pairs of a bucket that are in hand at a time.
@@ -70,18 +72,92 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("node"))
 
 
-def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of shingles that are frequent in a sample, and in how many of its texts."""
+def bucket_bits(texts: DataFrame) -> int:
+    """How many high bits of a hash name its bucket: some 4 MB of text to a bucket, and several buckets to a task."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max((4 * n).bit_length(), (size >> 22).bit_length())
+
+
+def tallied(held: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of all arrays, ascending, and the sums of their counts."""
+    found, n = np.concatenate(held), np.concatenate(counts)
+    o = np.argsort(found)
+    found, n = found[o], n[o]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[first], np.add.reduceat(n, first)
+
+
+def shingle_counts(texts: DataFrame) -> DataFrame:
+    """token and count (in how many texts it is) of every shingle that FREQUENT texts or more have, of all texts. Copies of
+    a text count once in each task that meets them.
+
+    Tasks count what they meet, and send it by ranges of hashes as arrays of a few hundred; of each range the sums are made."""
+    bits, least = bucket_bits(texts), FREQUENT
 
     def run(batches: Iterable[pa.RecordBatch]) -> Rows:
+        worker_cache("near copies")
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for b in small(batches):
-            for t in b.column(1).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["token"])
+            for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if node in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+                held.append(shingle_set(t))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield sent(held)
+                    held, size = [], 0
+        if held:
+            yield sent(held)
+        give_back()
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = tallied(held, [np.ones(len(own), "<u4") for own in held])
+        bucket = (found >> np.uint64(64 - bits)).astype(np.int32)
+        starts = np.union1d(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, np.arange(0, len(found), PIECE))
+        ends = np.append(starts, len(found)).astype(np.int32)
+
+        def pieces(values: np.ndarray) -> pa.Array:
+            return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends * values.dtype.itemsize), pa.py_buffer(values)])
+
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pieces(found), pieces(n.astype("<u4"))], names=["bucket", "tokens", "counts"])
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Rows:
+        held: tuple[list[np.ndarray], list[np.ndarray]] = [], []
+        last = None
+        for b in batches:
+            for bucket, tokens, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != last and held[0]:
+                    yield often(*held)
+                    held = [], []
+                last = bucket
+                held[0].append(np.frombuffer(tokens, "<u8"))
+                held[1].append(np.frombuffer(counts, "<u4"))
+        if held[0]:
+            yield often(*held)
+        give_back()
+
+    def often(held: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = tallied(held, [c.astype(np.int64) for c in counts])
+        return pa.RecordBatch.from_arrays([pa.array(found[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["token", "count"])
 
-    share = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod("node", F.lit(share)) == 0).select("node", "text").dropDuplicates(["node"])
-    counts = sample.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
-    found = counts.orderBy(F.desc("count"), "token").limit(SENT).toArrow()
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = texts.select("node", "text").mapInArrow(run, "bucket int, tokens binary, counts binary")
+    return parts.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(summed, "token long, count long")
+
+
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the shingles that are most frequent in all texts, SENT of them at most, and their counts. Of
+    shingles with the same count all come or none."""
+    counts = durable(shingle_counts(texts))
+    # One row for each count that occurs: with n shingles in all there are fewer than sqrt(2 n).
+    classes = counts.groupBy("count").agg(F.count("*").alias("tokens")).orderBy(F.desc("count")).collect()
+    fit = [r["count"] for r, total in zip(classes, np.cumsum([r.tokens for r in classes])) if total <= SENT]
+    found = counts.where(F.col("count") >= (fit[-1] if fit else 1 << 62)).toArrow()
     token, count = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     o = np.argsort(token)
     return token[o], count[o]

@@ -68,3 +68,22 @@ def test_edges(spark):
     assert got.columns == ["doc_id", "text", "token"]
     assert sorted((x.doc_id is None, x.text) for x in got.collect()) == [(False, "a b")]
     assert nc.drop_near_copies(rows.limit(0)).count() == 0
+
+
+def test_shingles_are_counted_in_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(nc, "SENT", 9)
+    line = "a line that stands in many texts of all there are"
+    texts = [f"{line} and {i} follows" for i in range(50)] + [f"three more words before {i // 3} come" for i in range(30)] + [None, ""]
+    docs = spark.createDataFrame([(i, f"{t} {i}" if t else t) for i, t in enumerate(texts)], DOC)
+    docs = docs.union(spark.range(40_000).selectExpr("id + 1000", "'x y'"))
+    counts = {}
+    for t in {f"{t} {i}" if t else "" for i, t in enumerate(texts)} | {"x y"}:
+        for s in shingles(t):
+            h = int(nc.shingle_set(s)[0])
+            counts[h] = counts.get(h, 0) + 1
+    texts = nc.keyed(docs, "doc_id", "text").repartition(7, "node")  # a text's copies in one task
+    got = nc.shingle_counts(texts).collect()
+    assert sorted((x.token % (1 << 64), x["count"]) for x in got) == sorted((h, n) for h, n in counts.items() if n >= 3)
+    token, count = nc.frequent_shingles(texts)
+    assert list(count) == [50] * 8 and set(token.tolist()) == {h for h, n in counts.items() if n == 50}
+    assert len(nc.frequent_shingles(texts.limit(0))[0]) == 0
