@@ -129,8 +129,9 @@ class LanguageFilter:
             first = first & m
         return first
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text: the share that the best corrected count has among all."""
+        texts = clean(texts)  # a line end within a text would count as the start of another
         width = self.table.dtype.itemsize * 8
         letters, n = np.zeros(len(texts)), np.zeros(len(texts))
         hits = np.zeros((len(texts), max(1, len(self.languages))))
@@ -189,7 +190,7 @@ def predict_language(model: LanguageFilter, text: Column) -> Column:
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
-            texts = clean(t)
+            texts = list(t)
             found = [x for i in range(0, len(texts), TOGETHER) for x in model.predict(texts[i : i + TOGETHER])]
             yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
