@@ -339,7 +339,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, doc_i
                 out.add(k, ids + tail)
             count += b.num_rows
         if out is not None and count:
-            row = (file_no, name, count, out.close(), *out.bounds())
+            # A file of this machine is named plainly, for tools that know no URIs.
+            row = (file_no, name.removeprefix("file://"), count, out.close(), *out.bounds())
             kinds = (pa.int32(), pa.string(), *[pa.int64()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["file_no", "path", "docs", "tokens", "least", "most"])
 
